@@ -36,6 +36,11 @@ def _block_counts(df: DataFrame, blocks: str) -> DataFrame:
     return df.groupBy("repository_id").agg(F.max(blocks).alias(blocks))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """New column identities, so that two sides that come from one table can be co-grouped."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the best `k` scores, larger first, smaller id first among equals."""
     if len(scores) > k:
@@ -91,7 +96,7 @@ def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = C.SEARCH_DE
                      [row[p] for row, p in zip(similar, picks)])
 
     keys = ["repository_id", "eb", "qb"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, HITS)
+    hits = _fresh(left).groupBy(*keys).cogroup(_fresh(right).groupBy(*keys)).applyInArrow(score, HITS)
     return top_k(hits, ["repository_id", "question_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -123,11 +128,19 @@ def postings(entities: DataFrame) -> DataFrame:
     )
 
 
+def explode_array(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
+    """Explodes a costly array expression once.
+
+    A plain explode makes the optimizer filter on the size of the array first, which repeats the whole expression.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def search_terms(questions: DataFrame) -> DataFrame:
     """(repository_id, question_id, term) as matched in the index: only letters and digits of each keyword."""
     stripped = F.transform("terms", lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
     kept = F.array_distinct(F.filter(stripped, lambda t: t != ""))
-    return questions.select("repository_id", "question_id", F.explode(kept).alias("term"))
+    return explode_array(questions, kept, "term", "repository_id", "question_id")
 
 
 def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH, entity_block: int = ENTITY_BLOCK,
@@ -169,7 +182,7 @@ def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH,
         return _hits(held_rows.column("repository_id")[0].as_py(), asked_ids.tolist(), picks, ids, scores)
 
     keys = ["repository_id", "eb", "qb"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, HITS)
+    hits = _fresh(left).groupBy(*keys).cogroup(_fresh(right).groupBy(*keys)).applyInArrow(score, HITS)
     return top_k(hits, ["repository_id", "question_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -179,7 +192,7 @@ def symbol_matches(questions: DataFrame, entities: DataFrame, k: int = C.SYMBOL_
     The first `k` by id of each name are enough to give the first `k` by id of any set of names, so a name shared by
     very many entities is cut before the join and the result stays exact.
     """
-    wanted = questions.select("repository_id", "question_id", F.explode("candidates").alias("name"))
+    wanted = explode_array(questions, F.col("candidates"), "name", "repository_id", "question_id")
     named = entities.select("repository_id", "id", F.lower("symbol_name").alias("name"))
     asked_names = wanted.select("repository_id", "name").distinct()
     named = named.join(asked_names, ["repository_id", "name"], "left_semi")
