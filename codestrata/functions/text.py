@@ -135,20 +135,32 @@ def code_reference(text: Column) -> Column:
     )
 
 
-def call_names(text: Column, limit: int | None = C.MAX_CALLS) -> Column:
-    """Distinct names that are called in `text`, last name of a member chain, keywords left out."""
+def call_names(text: Column, limit: int | None = C.MAX_CALLS, language: Column | None = None) -> Column:
+    """Distinct names that are called in `text`, last name of a member chain, the language's keywords left out."""
     found = F.regexp_extract_all(text, F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1))
-    names = F.array_distinct(F.filter(found, lambda n: ~n.isin(*CALL_KEYWORDS)))
+
+    def is_keyword(name: Column) -> Column:
+        common = name.isin(*CALL_KEYWORDS[""])
+        if language is None:
+            return common
+        for lang, words in CALL_KEYWORDS.items():
+            if lang:
+                common = common | ((language == lang) & name.isin(*words))
+        return common
+
+    names = F.array_distinct(F.filter(found, lambda n: ~is_keyword(n)))
     return names if limit is None else F.slice(names, 1, limit)
 
 
-# Words that stand before a parenthesis without being called.
-CALL_KEYWORDS = (
-    "if", "for", "while", "switch", "catch", "return", "function", "func", "def", "class", "with", "and", "or", "not",
-    "in", "is", "elif", "except", "lambda", "typeof", "await", "async", "new", "throw", "do",
-    "else", "yield", "assert", "del", "raise", "import", "from", "try", "synchronized", "case", "go", "defer",
-    "select", "range", "interface", "struct", "map", "chan", "var", "const", "let", "type", "void", "delete",
-)
+# Words that stand before a parenthesis without being called: in every language, and in one.
+CALL_KEYWORDS = {
+    "": ("if", "for", "while", "switch", "return", "else"),
+    "TypeScript": ("catch", "function", "typeof", "await", "async", "new", "throw", "do", "yield", "delete", "void", "super", "in", "of", "case"),
+    "JavaScript": ("catch", "function", "typeof", "await", "async", "new", "throw", "do", "yield", "delete", "void", "super", "in", "of", "case"),
+    "Python": ("and", "or", "not", "in", "is", "elif", "except", "lambda", "with", "await", "yield", "assert", "del", "raise", "import", "from", "def", "class"),
+    "Java": ("catch", "new", "throw", "synchronized", "assert", "super", "this", "try", "do", "case"),
+    "Go": ("func", "go", "defer", "select", "range", "interface", "struct", "map", "chan", "case", "var", "const", "type", "import"),
+}
 
 
 def chunk_type(language: Column) -> Column:
@@ -166,7 +178,7 @@ def impact_reason(depth: Column, relationship: Column, via_name: Column, target_
     return F.when(depth == 1, direct).otherwise(indirect)
 
 
-def header_of(lines: Column, start: Column, below: int) -> Column:
+def header_of(lines: Column, start: Column, below: Column) -> Column:
     """Up to six decorator lines directly above `start`, then the first `below` lines from it."""
     first = F.greatest(start - 6, F.lit(1))
     window = F.reverse(F.slice(lines, first, start - first))
@@ -182,4 +194,4 @@ def header_of(lines: Column, start: Column, below: int) -> Column:
         )
 
     above = F.aggregate(window, initial, step, lambda acc: acc["kept"])
-    return F.array_join(F.concat(above, F.slice(lines, start, F.lit(below))), "\n")
+    return F.array_join(F.concat(above, F.slice(lines, start, below)), "\n")

@@ -112,6 +112,6 @@ def module_entities(files: DataFrame, entities: DataFrame, min_lines: int = 8, m
             F.lit("module").alias("symbol_type"), "language", F.lit(1).cast("long").alias("start_line"),
             F.size(lines_of(F.col("content"))).cast("long").alias("end_line"), F.col("text").alias("content"),
             F.lit(None).cast("string").alias("parent"), F.lit(False).alias("exported"), F.lit(None).cast("string").alias("route"),
-            call_names(F.col("content"), C.MAX_MODULE_CALLS).alias("calls"), F.lit(None).cast("string").alias("handler"),
+            call_names(F.col("content"), C.MAX_MODULE_CALLS, F.col("language")).alias("calls"), F.lit(None).cast("string").alias("handler"),
         )
     )

@@ -25,6 +25,37 @@ BRAND = "lower(replace(p_brand, '#', '_'))"
 LANGUAGE = "case p_size % 4 when 0 then 'TypeScript' when 1 then 'Python' when 2 then 'Java' else 'Go' end"
 EXT = "case p_size % 4 when 0 then '.ts' when 1 then '.py' when 2 then '.java' else '.go' end"
 
+UPPER = f"concat(upper(substring({SYMBOL}, 1, 1)), substring({SYMBOL}, 2))"
+KEY = "cast(p_partkey as string)"
+NEXT = "cast(p_partkey + 4 as string)"
+
+
+def _lines(*rows: str) -> str:
+    """Source text with {name}, {Name}, {brand}, {key} and {next} filled in, as a SQL expression."""
+    text = "\n".join(rows).replace("'", "''")
+    marks = {"{name}": SYMBOL, "{Name}": UPPER, "{brand}": BRAND, "{key}": KEY, "{next}": NEXT}
+    for mark, expression in marks.items():
+        text = text.replace(mark, f"', {expression}, '")
+    return "concat(" + ", ".join(x for x in f"'{text}'".replace("\n", "', chr(10), '").split("\0")) + ")"
+
+
+TS_CODE = _lines(
+    "import { load } from '../{brand}/f{next}';", 'import React from "react";', "", "export function {name}(id: string) {",
+    '  const text = "} not an end";', "  if (id) { return load(id); }", "  return format(text); // }", "}", "",
+    "export class {Name}Service {", "  find(id: string) {", "    return this.query(id);", "  }", "}", "",
+    "app.get('/{brand}/{key}', {name});")
+PY_CODE = _lines(
+    "from app.{brand} import f{next}", "", 'router = APIRouter(prefix="/{brand}")', "", "", '@router.post("/{id}")', "def {name}(id):",
+    '    """Docs', "def fake():", '    """', "    return load(id)", "", "", "class {Name}Model(BaseModel):", "    def full(self):",
+    "        return join(self.name)")
+JAVA_CODE = _lines(
+    "package com.acme.{brand};", "", "import com.acme.{brand}.F{next};", "", '@RequestMapping("/{brand}")', "public class F{key} {",
+    '    @GetMapping("/{id}")', "    public String {name}(Long id) {", '        if (id == null) { throw new Missing("{"); }',
+    "        return service.load(id);", "    }", "}")
+GO_CODE = _lines(
+    "package f{key}", "", 'import "example.org/{brand}/f{next}"', "", "type Store struct {", "    name string", "}", "",
+    "func (s *Store) {Name}(id string) error {", "    return load(id)", "}", "", "func init() {", '    r.GET("/{brand}/{key}", {name})', "}")
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "code_entities": (("part",), f"""
 select p_partkey as id, concat('repo', cast(p_partkey % 4 as string)) as repository_id,
@@ -100,6 +131,14 @@ select concat('repo', cast(doc_id % 4 as string)) as repository_id, concat('docs
  case when doc_id % 2 = 0 then '.md' else '.vue' end) as path, case when doc_id % 2 = 0 then 'Markdown' else 'Vue' end as language,
  case when doc_id % 2 = 0 then replace(text, concat('.', chr(10)), concat('.', chr(10), '## ')) else text end as content
 from documents"""),
+    # One source file per part, in one of four languages.
+    "code_files": (("part",), f"""
+select concat('repo', cast(p_partkey % 4 as string)) as repository_id,
+ case p_size % 4 when 0 then concat('src/', {BRAND}, '/f', {KEY}, '.ts') when 1 then concat('app/', {BRAND}, '/f', {KEY}, '.py')
+  when 2 then concat('src/main/java/com/acme/', {BRAND}, '/F', {KEY}, '.java') else concat({BRAND}, '/f', {KEY}, '/code.go') end as path,
+ {LANGUAGE} as language,
+ case p_size % 4 when 0 then {TS_CODE} when 1 then {PY_CODE} when 2 then {JAVA_CODE} else {GO_CODE} end as content
+from part"""),
     # Entities with text: a document where one has the same number, else a line of code.
     "entity_text": (("code_entities", "documents"), """
 select e.*, coalesce(d.text, concat('return ', e.symbol_name, '(', e.module, ');')) as content
