@@ -36,9 +36,17 @@ def _block_counts(df: DataFrame, blocks: str) -> DataFrame:
     return df.groupBy("repository_id").agg(F.max(blocks).alias(blocks))
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """New column identities, so that two sides that come from one table can be co-grouped."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
+TILE = ["repository_id", "eb", "qb"]
+
+
+def _tiles(df: DataFrame):
+    """Groups rows by tile, shuffled by all three keys.
+
+    Without the explicit shuffle Spark may keep a placement by repository alone, which satisfies the grouping but puts
+    all tiles of a repository into one task. New column identities let two sides of one table be co-grouped.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(count, *TILE).groupBy(*TILE)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -95,8 +103,7 @@ def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = C.SEARCH_DE
         return _hits(held_rows.column("repository_id")[0].as_py(), asked_rows.column("question_id").to_pylist(), picks, ids,
                      [row[p] for row, p in zip(similar, picks)])
 
-    keys = ["repository_id", "eb", "qb"]
-    hits = _fresh(left).groupBy(*keys).cogroup(_fresh(right).groupBy(*keys)).applyInArrow(score, HITS)
+    hits = _tiles(left).cogroup(_tiles(right)).applyInArrow(score, HITS)
     return top_k(hits, ["repository_id", "question_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -181,8 +188,7 @@ def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH,
             scores.append(total[best])
         return _hits(held_rows.column("repository_id")[0].as_py(), asked_ids.tolist(), picks, ids, scores)
 
-    keys = ["repository_id", "eb", "qb"]
-    hits = _fresh(left).groupBy(*keys).cogroup(_fresh(right).groupBy(*keys)).applyInArrow(score, HITS)
+    hits = _tiles(left).cogroup(_tiles(right)).applyInArrow(score, HITS)
     return top_k(hits, ["repository_id", "question_id"], [F.desc("score"), F.asc("id")], k)
 
 
