@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.functions import constants as C
 
-from .ranking import top_k
+from .ranking import top_k, union_all
 from .stats import module_counts, module_nodes
 
 PAIR = ["repository_id", "source", "target"]
@@ -36,7 +36,7 @@ def module_edges(files: DataFrame, entities: DataFrame, relationships: DataFrame
         .where(F.col("source") != F.col("target")).select(*PAIR)
     )
     calls = _call_ends(relationships, entities, "module")
-    return imports.unionByName(calls).groupBy(*PAIR).agg(F.count("*").alias("weight"))
+    return union_all(imports, calls).groupBy(*PAIR).agg(F.count("*").alias("weight"))
 
 
 def module_graph(files, entities, relationships, file_imports, limit: int | None = 60) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +56,7 @@ def file_edges(entities: DataFrame, relationships: DataFrame, file_imports: Data
     """Weighted file-to-file edges: one per import, one per call between two files."""
     imports = file_imports.select("repository_id", F.col("source_file").alias("source"), F.col("target_file").alias("target"))
     calls = _call_ends(relationships, entities, "file_path")
-    return imports.unionByName(calls).groupBy(*PAIR).agg(F.count("*").alias("weight"))
+    return union_all(imports, calls).groupBy(*PAIR).agg(F.count("*").alias("weight"))
 
 
 def file_graph(files: DataFrame, entities: DataFrame, relationships: DataFrame, file_imports: DataFrame,
@@ -81,7 +81,7 @@ def file_graph(files: DataFrame, entities: DataFrame, relationships: DataFrame,
         weighted.join(inside.withColumnRenamed("path", end), ["repository_id", end]).select(*key, "source", "target", "weight")
         for end in ("source", "target")
     ]
-    edges = sides[0].unionByName(sides[1]).distinct()
+    edges = union_all(*sides).distinct()
     if max_edges is not None:
         edges = top_k(edges, key, [F.asc("source"), F.asc("target")], max_edges, "_r").drop("_r")
 
@@ -92,7 +92,7 @@ def file_graph(files: DataFrame, entities: DataFrame, relationships: DataFrame,
     described = files.select("repository_id", "path", F.col("line_count").alias("lines"), "language",
                              F.col("module").alias("own_module"))
     external = outside.join(described, ["repository_id", "path"]).withColumn("external", F.lit(True))
-    nodes = members.withColumn("own_module", F.col("module")).withColumn("external", F.lit(False)).unionByName(external)
+    nodes = union_all(members.withColumn("own_module", F.col("module")).withColumn("external", F.lit(False)), external)
 
     known = nodes.select(*key, "path")
     edges = edges.join(known.withColumnRenamed("path", "source"), [*key, "source"], "left_semi").join(
@@ -106,4 +106,4 @@ def edges_of_node(edges: DataFrame) -> DataFrame:
     side = lambda node, other, direction: edges.select(
         "repository_id", F.col(node).alias("node"), F.col(other).alias("other"), F.lit(direction).alias("direction"), "weight"
     )
-    return side("source", "target", "out").unionByName(side("target", "source", "in"))
+    return union_all(side("source", "target", "out"), side("target", "source", "in"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .ranking import union_all
+
 EDGE = ["repository_id", "source_entity_id", "target_entity_id", "relationship_type"]
 
 
@@ -22,7 +24,7 @@ def neighbour_edges(anchors: DataFrame, relationships: DataFrame, set_col: str =
         F.lit("in").alias("direction"),
     )
     inside = anchors.select(set_col, "repository_id", F.col("anchor").alias("id"))
-    return outgoing.unionByName(incoming.join(inside, [set_col, "repository_id", "id"], "left_anti"))
+    return union_all(outgoing, incoming.join(inside, [set_col, "repository_id", "id"], "left_anti"))
 
 
 def with_entities(rows: DataFrame, entities: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,8 +74,6 @@ def dependency_cards(targets: DataFrame, entities: DataFrame, relationships: Dat
         none("long").alias("id"), F.explode(external_imports(F.col("imports"))).alias("name"),
         none("string").alias("file_path"), none("string").alias("relationship_type"),
     )
-    return (
-        near.unionByName(external)
-        .unionByName(file_side("source_file", "target_file", "file_import"))
-        .unionByName(file_side("target_file", "source_file", "imported_by"))
+    return union_all(
+        near, external, file_side("source_file", "target_file", "file_import"), file_side("target_file", "source_file", "imported_by")
     )

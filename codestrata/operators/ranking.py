@@ -26,6 +26,18 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
 
 
+def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Union by name.
+
+    Spark 4.1 may plan a union over inputs with one partitioning as a partition-wise merge; with adaptive execution the
+    inputs can then differ in partition count, which fails or repeats rows. The setting is turned off for the session.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def checkpoint_location(spark: SparkSession) -> None:
     """Makes sure reliable checkpoints have a folder: the session's own, or a temporary one in local mode only."""
     context = spark.sparkContext

@@ -16,7 +16,7 @@ from codestrata.functions import constants as C
 from codestrata.functions.paths import is_generated_file, is_test_file
 from codestrata.functions.text import identifier_words
 
-from .ranking import top_k
+from .ranking import top_k, union_all
 
 ENTITY_BLOCK = 8192
 QUESTION_BLOCK = 1024
@@ -214,13 +214,12 @@ def fuse(semantic: DataFrame, keyword: DataFrame, symbol: DataFrame, k: int = C.
     """
     key = ["repository_id", "question_id", "id"]
     reciprocal = lambda weight: F.lit(weight) / (F.lit(C.RRF_K) + F.col("rank") - 1)
-    lists = (
-        semantic.select(*key, reciprocal(1.0).alias("part"), F.lit("semantic").alias("reason"), F.col("score").alias("similarity"))
-        .unionByName(keyword.select(*key, reciprocal(C.KEYWORD_WEIGHT).alias("part"), F.lit("keyword").alias("reason"),
-                                    F.lit(None).cast("double").alias("similarity")))
-        .unionByName(symbol.select(
-            *key, (F.when(F.col("is_identifier"), C.IDENTIFIER_BONUS).otherwise(C.WORD_BONUS) / C.RRF_K).alias("part"),
-            F.lit("symbol").alias("reason"), F.lit(None).cast("double").alias("similarity")))
+    none = F.lit(None).cast("double")
+    bonus = F.when(F.col("is_identifier"), C.IDENTIFIER_BONUS).otherwise(C.WORD_BONUS) / C.RRF_K
+    lists = union_all(
+        semantic.select(*key, reciprocal(1.0).alias("part"), F.lit("semantic").alias("reason"), F.col("score").alias("similarity")),
+        keyword.select(*key, reciprocal(C.KEYWORD_WEIGHT).alias("part"), F.lit("keyword").alias("reason"), none.alias("similarity")),
+        symbol.select(*key, bonus.alias("part"), F.lit("symbol").alias("reason"), none.alias("similarity")),
     )
     in_list = lambda name: F.bool_or(F.col("reason") == name)
     fused = lists.groupBy(*key).agg(

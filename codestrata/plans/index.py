@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from codestrata.operators import architecture, chunks, extract, resolve, search, stats
-from codestrata.operators.ranking import cut, stable_id
+from codestrata.operators.ranking import cut, stable_id, union_all
 from codestrata.sources import files as file_source, store
 
 from .search import embed_entities
@@ -26,7 +26,7 @@ def staging_entities(texts: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     pieces = cut_files.withColumn("parent", none).withColumn("exported", F.lit(False)).withColumn("route", none).withColumn(
         "calls", F.array().cast("array<string>")).withColumn("handler", none)
-    return parsed.select(*STAGING).unionByName(modules.select(*STAGING)).unionByName(pieces.select(*STAGING))
+    return union_all(parsed.select(*STAGING), modules.select(*STAGING), pieces.select(*STAGING))
 
 
 def index_corpus(raw: DataFrame, embed_batch=None, max_files: int | None = None) -> dict[str, DataFrame]:

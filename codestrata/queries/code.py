@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codestrata.operators import extract
+from codestrata.operators.ranking import union_all
 from codestrata.plans import index
 
 from . import query
@@ -84,5 +85,5 @@ def index_corpus(v: Views):
     out = None
     for name in ("files", "code_entities", "embeddings", "relationships", "file_imports"):
         counted = tables[name].groupBy("repository_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "repository_id", "n")
-        out = counted if out is None else out.unionByName(counted)
+        out = counted if out is None else union_all(out, counted)
     return out

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import constants as C, vectors
 from codestrata.operators import search
+from codestrata.operators.ranking import cut
 from codestrata.plans import search as search_plan
 
 from . import query
@@ -161,8 +162,9 @@ def hybrid_search(v: Views):
 
 
 def retrieved(v: Views):
+    """Hits of every question, over embeddings and postings stored beforehand as an index would."""
     return search_plan.hybrid_search(
-        v.questions, v.code_entities, search_plan.embed_entities(v.entity_text), search.postings(v.entity_text)
+        v.questions, v.code_entities, cut(search_plan.embed_entities(v.entity_text)), cut(search.postings(v.entity_text))
     )
 
 

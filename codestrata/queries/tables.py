@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codestrata.operators.ranking import top_k
+from codestrata.operators.ranking import union_all
 from codestrata.operators.verify import verify_answers, answer_paths, unknown_paths, invalid_citations
 from codestrata.sources import catalog, files as file_source, store
 from codestrata.streaming import answers as folding
@@ -113,7 +113,7 @@ def cascade_delete(v: Views):
     out = None
     for name, df in store.without_repositories(tables, deleted).items():
         counted = df.groupBy("repository_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "repository_id", "n")
-        out = counted if out is None else out.unionByName(counted)
+        out = counted if out is None else union_all(out, counted)
     return out
 
 

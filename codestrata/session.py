@@ -13,6 +13,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
