@@ -107,12 +107,9 @@ def dotted_to_path(spec: Column, directory: Column) -> Column:
 
 
 def suffixes(path: Column) -> Column:
-    """Every trailing run of segments, the whole path first."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"),
-    )
+    """Every trailing run of segments, shortest first; the last is the whole path."""
+    count = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) + 1
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.call_function("substring_index", path, F.lit("/"), -k))
 
 
 def route_of_file(path: Column, name: Column) -> Column:

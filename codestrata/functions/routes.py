@@ -21,40 +21,30 @@ ROUTER_PREFIX = r"(?:url_)?prefix\s*=\s*[\"']([^\"']*)[\"']"
 
 
 def router_prefixes(content: Column) -> Column:
-    """Map from router variable to its path prefix, for every router of a file that has one; the last binding wins."""
+    """array(struct(key, value)) of router variables of a file and their path prefixes, in order of binding."""
     bindings = F.regexp_extract_all(content, F.lit(ROUTER_BINDING), F.lit(0))
-    entries = F.transform(
-        F.filter(bindings, lambda b: F.regexp_extract(b, ROUTER_BINDING, 2).rlike(ROUTER_PREFIX)),
+    arguments = lambda b: F.regexp_extract(b, ROUTER_BINDING, 2)
+    return F.transform(
+        F.filter(bindings, lambda b: arguments(b).rlike(ROUTER_PREFIX)),
         lambda b: F.struct(
-            F.regexp_extract(b, ROUTER_BINDING, 1).alias("key"),
-            F.regexp_extract(F.regexp_extract(b, ROUTER_BINDING, 2), ROUTER_PREFIX, 1).alias("value"),
+            F.regexp_extract(b, ROUTER_BINDING, 1).alias("key"), F.regexp_extract(arguments(b), ROUTER_PREFIX, 1).alias("value")
         ),
     )
-    last_only = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
-    )
-    return F.map_from_entries(last_only)
-
-
-def class_prefix(header: Column) -> Column:
-    return F.coalesce(
-        F.nullif(F.regexp_extract(header, CONTROLLER_PREFIX, 1), F.lit("")),
-        F.nullif(F.regexp_extract(header, REQUEST_MAPPING_PREFIX, 1), F.lit("")),
-        F.lit(""),
-    )
 
 
 def decorator_route(header: Column, prefix: Column, prefixes: Column | None = None) -> Column:
     """'VERB /path' from the first decorator that declares a route, else null.
 
-    `prefix` is the class prefix; `prefixes` maps a router variable to its own.
+    `prefix` is the class prefix; `prefixes` from `router_prefixes` gives a router variable its own, the last one binding.
     """
     router = F.regexp_extract(header, VERB_DECORATOR, 1)
     action = F.regexp_extract(header, VERB_DECORATOR, 2)
     declared = F.regexp_extract(F.regexp_extract(header, VERB_DECORATOR, 4), METHODS_ARGUMENT, 1)
     verb = F.when(action.isin("route", "api_route"), F.when(declared != "", declared).otherwise("GET")).otherwise(action)
-    bound = prefix if prefixes is None else F.coalesce(F.try_element_at(prefixes, router), prefix)
+    bound = prefix
+    if prefixes is not None:
+        own = F.filter(prefixes, lambda p: p["key"] == router)
+        bound = F.coalesce(F.try_element_at(own, F.lit(-1))["value"], prefix)
     called = F.concat_ws(" ", F.upper(verb), join_route(bound, F.regexp_extract(header, VERB_DECORATOR, 3)))
 
     mapping = F.regexp_extract(header, MAPPING_ANNOTATION, 1)

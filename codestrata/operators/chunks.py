@@ -18,9 +18,26 @@ def _piece(name: Column, start: Column, end: Column, lines: Column) -> Column:
     )
 
 
-def window_pieces(path: Column, text: Column, size: int = C.CHUNK_LINES) -> Column:
-    """Fixed windows of `size` lines; blank windows are left out."""
-    lines, base = lines_of(text), base_name(path)
+def with_lines(files: DataFrame) -> DataFrame:
+    """Adds `lines` and, for Markdown, `starts`: the first lines of its sections.
+
+    Both are columns of their own because a lambda evaluates what it encloses once per element.
+    """
+    i_heading = F.filter(
+        F.transform("lines", lambda line, i: F.when((i == 0) | is_heading(line), i + 1)), lambda i: i.isNotNull()
+    )
+    once = F.inline(F.array(F.struct(lines_of(F.col("content")).alias("lines"))))
+    return files.select("*", once).select("*", F.inline(F.array(F.struct(
+        F.when(F.col("language") == "Markdown", i_heading).otherwise(F.array().cast("array<int>")).alias("starts")))))
+
+
+def is_heading(line: Column) -> Column:
+    return line.rlike(r"^#{1,3}" + C.JS_SPACE)
+
+
+def window_pieces(size: int = C.CHUNK_LINES) -> Column:
+    """Fixed windows of `size` lines over columns path and lines; blank windows are left out."""
+    lines, base = F.col("lines"), base_name(F.col("path"))
     count = F.size(lines)
 
     def piece(start: Column) -> Column:
@@ -32,27 +49,21 @@ def window_pieces(path: Column, text: Column, size: int = C.CHUNK_LINES) -> Colu
     return F.filter(pieces, lambda p: ~is_blank(p["content"]))
 
 
-def heading_pieces(path: Column, text: Column, size: int = C.CHUNK_LINES) -> Column:
-    """Sections that begin at a level 1–3 heading, long ones cut each `size` lines; named 'file › heading'."""
-    lines, base = lines_of(text), base_name(path)
-    count = F.size(lines)
-    is_heading = lambda line: line.rlike(r"^#{1,3}" + C.JS_SPACE)
-    starts = F.filter(F.sequence(F.lit(1), count), lambda i: (i == 1) | is_heading(F.get(lines, i - 1)))
-    sections = F.transform(
-        starts,
-        lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(starts, i + 1) - 1, count).alias("end")),
-    )
+def heading_pieces(size: int = C.CHUNK_LINES) -> Column:
+    """Sections that begin at a level 1–3 heading, long ones cut each `size` lines; named 'file › heading'.
 
-    def cuts(section: Column) -> Column:
-        first = F.get(lines, section["start"] - 1)
+    Over columns path, lines and starts.
+    """
+    lines, starts, base = F.col("lines"), F.col("starts"), base_name(F.col("path"))
+
+    def cuts(start: Column, i: Column) -> Column:
+        first = F.get(lines, start - 1)
+        end = F.coalesce(F.get(starts, i + 1) - 1, F.size(lines))
         title = F.when(is_heading(first), F.substring(F.regexp_replace(first, "^#+" + C.JS_SPACE + "*", ""), 1, 80)).otherwise(base)
         name = F.concat(base, F.lit(" › "), title)
-        return F.transform(
-            F.sequence(section["start"], section["end"], F.lit(size)),
-            lambda s: _piece(name, s, F.least(s + size - 1, section["end"]), lines),
-        )
+        return F.transform(F.sequence(start, end, F.lit(size)), lambda s: _piece(name, s, F.least(s + size - 1, end), lines))
 
-    return F.filter(F.flatten(F.transform(sections, cuts)), lambda p: ~is_blank(p["content"]))
+    return F.filter(F.flatten(F.transform(starts, cuts)), lambda p: ~is_blank(p["content"]))
 
 
 def chunk_files(files: DataFrame, size: int = C.CHUNK_LINES, max_windows: int | None = None, max_sections: int | None = None) -> DataFrame:
@@ -62,10 +73,8 @@ def chunk_files(files: DataFrame, size: int = C.CHUNK_LINES, max_windows: int |
     chunks as a small index would.
     """
     cut = lambda pieces, limit: pieces if limit is None else F.slice(pieces, 1, limit)
-    pieces = F.when(
-        F.col("language") == "Markdown", cut(heading_pieces(F.col("path"), F.col("content"), size), max_sections)
-    ).otherwise(cut(window_pieces(F.col("path"), F.col("content"), size), max_windows))
-    return files.select(
+    pieces = F.when(F.col("language") == "Markdown", cut(heading_pieces(size), max_sections)).otherwise(cut(window_pieces(size), max_windows))
+    return with_lines(files.select("repository_id", "path", "language", "content")).select(
         "repository_id", F.col("path").alias("file_path"), "language", chunk_type(F.col("language")).alias("symbol_type"),
         F.inline(pieces),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import constants as C
@@ -19,6 +20,7 @@ from codestrata.functions.text import identifier_words
 from .ranking import top_k, union_all
 
 ENTITY_BLOCK = 8192
+TERM_BLOCK = 2048
 QUESTION_BLOCK = 1024
 DIGITS = 6
 
@@ -118,7 +120,8 @@ def nearest(entities: DataFrame, vector: Column, k: int = C.SEARCH_DEPTH) -> Dat
 def postings(entities: DataFrame) -> DataFrame:
     """Inverted index rows (repository_id, id, term, weight, tf): name 1.0, path 0.4, content 0.1 per occurrence.
 
-    `weight` is the sum over occurrences. Words are counted map-side before the shuffle.
+    `weight` is the sum over occurrences. Entities are placed by id before their words are spread: the text crosses the
+    network once, and the words of an entity are counted where they are.
     """
     def words(text: Column, weight: float) -> Column:
         found = F.regexp_extract_all(F.lower(identifier_words(F.coalesce(text, F.lit("")))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -129,7 +132,8 @@ def postings(entities: DataFrame) -> DataFrame:
         words(F.col("content"), C.CONTENT_WEIGHT),
     )
     return (
-        entities.select("repository_id", "id", F.explode(tokens).alias("t"))
+        entities.select("repository_id", "id", "symbol_name", "file_path", "content").repartition("repository_id", "id")
+        .select("repository_id", "id", F.explode(tokens).alias("t"))
         .groupBy("repository_id", "id", F.col("t.term").alias("term"))
         .agg(F.round(F.sum("t.weight"), DIGITS).alias("weight"), F.count("*").alias("tf"))
     )
@@ -150,7 +154,7 @@ def search_terms(questions: DataFrame) -> DataFrame:
     return explode_array(questions, kept, "term", "repository_id", "question_id")
 
 
-def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH, entity_block: int = ENTITY_BLOCK,
+def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH, entity_block: int = TERM_BLOCK,
                question_block: int = QUESTION_BLOCK) -> DataFrame:
     """The `k` entities with the largest summed weight of a question's terms (any term may match).
 
@@ -159,7 +163,10 @@ def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH,
     """
     asked = _with_blocks(search_terms(questions), "question_id", question_block, "qb", "qbs")
     wanted = asked.select("repository_id", "term", "qb").distinct()
-    held = _with_blocks(index.select("repository_id", "id", "term", "weight"), "id", entity_block, "eb", "ebs")
+    asked_for = index.select("repository_id", "id", "term", "weight").join(
+        wanted.select("repository_id", "term").distinct(), ["repository_id", "term"], "left_semi"
+    )
+    held = _with_blocks(asked_for, "id", entity_block, "eb", "ebs")
     tiles = held.select("repository_id", "term", "eb").distinct().join(wanted, ["repository_id", "term"])
     left = held.join(tiles, ["repository_id", "term", "eb"]).select("repository_id", "eb", "qb", "id", "term", "weight")
     right = asked.join(tiles, ["repository_id", "term", "qb"]).select("repository_id", "eb", "qb", "question_id", "term")
@@ -167,13 +174,14 @@ def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH,
     def score(held_rows: pa.Table, asked_rows: pa.Table) -> pa.Table:
         if not len(held_rows) or not len(asked_rows):
             return _hits("", [], [], np.empty(0, "int64"), [])
-        terms, held_term = np.unique(held_rows.column("term").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        words = held_rows.column("term").combine_chunks().dictionary_encode()
+        held_term, terms = words.indices.to_numpy(), words.dictionary
         ids, held_id = np.unique(held_rows.column("id").to_numpy(), return_inverse=True)
         order = np.argsort(held_term, kind="stable")
         held_id, weight = held_id[order], held_rows.column("weight").to_numpy()[order]
         starts = np.searchsorted(held_term[order], np.arange(len(terms) + 1))
         asked_ids, asked_id = np.unique(asked_rows.column("question_id").to_numpy(), return_inverse=True)
-        asked_term = np.searchsorted(terms, asked_rows.column("term").to_numpy(zero_copy_only=False).astype(str))
+        asked_term = pc.index_in(asked_rows.column("term"), value_set=terms).to_numpy()
         by_question = np.argsort(asked_id, kind="stable")
         bounds = np.searchsorted(asked_id[by_question], np.arange(len(asked_ids) + 1))
         picks, scores = [], []

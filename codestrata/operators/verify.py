@@ -51,7 +51,7 @@ def match_references(references: DataFrame, sources: DataFrame) -> DataFrame:
 
     sources(question_id, n, file, start_line, end_line) → (question_id, text, n, file, start_line, end_line).
     """
-    parsed = references.select("question_id", "text", code_reference(F.col("text")).alias("r")).where(F.col("r").isNotNull())
+    parsed = references.select("question_id", "text", F.inline(F.array(F.struct(code_reference(F.col("text")).alias("r"))))).where(F.col("r").isNotNull())
     parsed = parsed.withColumn("tail", F.col("r.path"))
     tails = sources.select("question_id", "n", "file", "start_line", "end_line", F.explode(suffixes(F.col("file"))).alias("tail"))
     joined = parsed.join(tails, ["question_id", "tail"]).select(

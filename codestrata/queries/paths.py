@@ -279,7 +279,7 @@ DECORATOR = f"""case p_partkey % 8
 SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat('GET /v1/', {BRAND}) WHEN 1 THEN concat('POST /api/', {BRAND}) WHEN 2 THEN concat('GET /api/', {BRAND})
  WHEN 3 THEN concat('GET /api/', {BRAND}) WHEN 4 THEN concat('PUT /api/', {BRAND}) WHEN 5 THEN concat('POST /api/', {BRAND}) WHEN 6 THEN 'DELETE /api' END AS route FROM part""")
 def decorator_routes(v: Views):
-    prefixes = F.create_map(F.lit("router"), F.lit("/v1"))
+    prefixes = F.array(F.struct(F.lit("router").alias("key"), F.lit("/v1").alias("value")))
     return v.part.select(F.col("p_partkey").alias("id"), routes.decorator_route(F.expr(DECORATOR), F.lit("api"), prefixes).alias("route"))
 
 

@@ -28,20 +28,16 @@ cut AS (SELECT repository_id, path, base, language, s, head, (n - first_n) // 60
 SELECT repository_id, path, CASE WHEN total > 60 THEN concat(base, ' (lines ', start_line, '-', end_line, ')') ELSE base END AS symbol_name,
  start_line, end_line, md5(content) AS digest FROM win WHERE regexp_matches(content, '\\S')""")
 def text_windows(v: Views):
-    files = v.doc_files.where("language <> 'Markdown'")
-    return files.select("repository_id", "path", F.inline(chunks.window_pieces(F.col("path"), F.col("content")))).select(
-        "repository_id", "path", "symbol_name", "start_line", "end_line", F.md5("content").alias("digest")
-    )
+    made = chunks.chunk_files(v.doc_files.where("language <> 'Markdown'"))
+    return made.select("repository_id", F.col("file_path").alias("path"), "symbol_name", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
 @query("heading_sections_g2", DOCS + LINES + SECTIONS + """
 SELECT repository_id, path, concat(base, ' › ', CASE WHEN regexp_matches(head, '^#{1,3}\\s') THEN substring(regexp_replace(head, '^#+\\s*', ''), 1, 80) ELSE base END) AS symbol_name,
  start_line, end_line, md5(content) AS digest FROM cut WHERE regexp_matches(content, '\\S')""")
 def heading_sections(v: Views):
-    files = v.doc_files.where("language = 'Markdown'")
-    return files.select("repository_id", "path", F.inline(chunks.heading_pieces(F.col("path"), F.col("content")))).select(
-        "repository_id", "path", "symbol_name", "start_line", "end_line", F.md5("content").alias("digest")
-    )
+    made = chunks.chunk_files(v.doc_files.where("language = 'Markdown'"))
+    return made.select("repository_id", F.col("file_path").alias("path"), "symbol_name", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
 @query("file_chunks_g1_g2_g3", DOCS + LINES + WINDOWS + SECTIONS + """
