@@ -36,19 +36,26 @@ def cosine(left: Column, right: Column) -> Column:
 def hashed_terms(dimensions: int = C.EMBEDDING_DIMENSIONS) -> EmbedBatch:
     """Batch function: signed feature hashing of the lower-case words of each text. Deterministic, no model needed."""
 
+    known: dict[str, tuple[int, float]] = {}  # places of words this task has met
+
     def place(word: str) -> tuple[int, float]:
         digest = hashlib.md5(word.encode()).hexdigest()
         return int(digest[:7], 16) % dimensions, 1.0 if digest[7] < "8" else -1.0
 
     def embed(texts: list[str]) -> np.ndarray:
-        known: dict[str, tuple[int, float]] = {}
-        out = np.zeros((len(texts), dimensions))
+        rows, columns, signs = [], [], []
         for row, text in enumerate(texts):
             for word in re.findall(r"[a-z0-9]+", text.lower()):
                 at = known.get(word)
                 if at is None:
+                    if len(known) >= 500_000:
+                        known.clear()
                     at = known[word] = place(word)
-                out[row, at[0]] += at[1]
+                rows.append(row)
+                columns.append(at[0])
+                signs.append(at[1])
+        out = np.zeros((len(texts), dimensions))
+        np.add.at(out, (rows, columns), signs)
         return out
 
     return embed

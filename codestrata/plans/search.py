@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.functions import text, vectors
 from codestrata.operators import search
+from codestrata.operators.ranking import cut
 
 
 def understand(questions: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def hybrid_search(questions: DataFrame, entities: DataFrame, embeddings: DataFra
     questions(question_id, repository_id, text[, focus_name]); entities without content; embeddings and index as built
     once at indexing time.
     """
-    asked = understand(questions)
+    asked = cut(understand(questions))  # read once, used by every list below
     with_vectors = vectors.embed_questions(asked.select("repository_id", "question_id", "search_text"), "search_text", embed_batch)
     semantic = search.vector_top_k(with_vectors, embeddings)
     keyword = search.term_top_k(asked, index)

@@ -26,7 +26,7 @@ def scan_corpus(spark: SparkSession, root: str, depth: int = 1, max_bytes: int |
         F.array_join(F.slice(parts, F.lit(1), F.lit(depth)), "/").alias("repository_id"),
         F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/").alias("path"),
         F.col("length").alias("size"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
