@@ -17,7 +17,7 @@ SELECT q.vec_id AS question_id, e.vec_id AS id, round(list_cosine_similarity(CAS
  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS rank
 FROM embeddings q, embeddings e QUALIFY rank <= 40""")
 def vector_neighbours(v: Views):
-    held = v.embeddings.select(F.lit("all").alias("repository_id"), F.col("vec_id").alias("id"), "embedding")
+    held = v.embeddings.select(F.when(F.col("vec_id").isNotNull(), "all").alias("repository_id"), F.col("vec_id").alias("id"), "embedding")
     asked = held.withColumnRenamed("id", "question_id")
     return search.vector_top_k(asked, held).drop("repository_id")
 
@@ -85,8 +85,8 @@ word AS (SELECT doc_id AS id, w AS term, round(sum(0.1::DOUBLE), 6) AS weight FR
 SELECT question_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM (
  SELECT t.question_id, w.id, round(sum(w.weight), 6) AS score FROM term t JOIN word w ON w.term = t.term WHERE t.term <> '' GROUP BY ALL)) WHERE rank <= 40""")
 def document_search(v: Views):
-    asked = search_plan.understand(v.benchmark.select(F.col("item_id").alias("question_id"), F.lit("docs").alias("repository_id"), "text"))
-    held = v.documents.select(F.lit("docs").alias("repository_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"),
+    asked = search_plan.understand(v.benchmark.select(F.col("item_id").alias("question_id"), F.when(F.col("item_id").isNotNull(), "docs").alias("repository_id"), "text"))
+    held = v.documents.select(F.when(F.col("doc_id").isNotNull(), "docs").alias("repository_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"),
                               F.lit("").alias("symbol_name"), F.lit("").alias("file_path"))
     return search.term_top_k(asked, search.postings(held)).drop("repository_id")
 
