@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -52,6 +53,12 @@ def checkpoint_location(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, which every executor can reach."""
+    checkpoint_location(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes `df` to the checkpoint folder and reads it from there: reused branches start from the stored rows."""
     checkpoint_location(df.sparkSession)

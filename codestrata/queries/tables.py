@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from codestrata.operators.ranking import union_all
+from codestrata.operators.ranking import scratch_folder, union_all
 from codestrata.operators.verify import verify_answers, answer_paths, unknown_paths, invalid_citations
-from codestrata.sources import catalog, files as file_source, store
+from codestrata.sources import catalog, events, files as file_source, store
 from codestrata.streaming import answers as folding
 
 from . import query
@@ -71,21 +71,18 @@ def project_match(v: Views):
 TOPICS = "case when c_custkey % 3 = 0 then 'null' else concat('[\"a\",\"b\",\"c\",\"d\",\"e\",\"f\",\"', c_mktsegment, '\"]') end"
 RECORD = f"""concat('{{"id":', cast(c_custkey as string), ',"name":"', c_name, '","full_name":"acme/', c_name, '","html_url":"https://github.com/acme/', c_name,
  '","private":', case when c_nationkey % 2 = 0 then 'true' else 'false' end, ',"owner":{{"login":"acme","type":"', case when c_nationkey % 3 = 0 then 'Organization' else 'Bot' end,
- '"}},"stargazers_count":', cast(c_nationkey as string), ',"size":12,"default_branch":"main","topics":', {TOPICS}, ',"archived":false}}')"""
+ '"}},"description":"about ', c_mktsegment, '","forks_count":', cast(c_nationkey + 1 as string), ',"language":"Go","pushed_at":"2024-01-02","stargazers_count":', cast(c_nationkey as string), ',"size":12,"default_branch":"main","topics":', {TOPICS}, ',"archived":false}}')"""
 
 
 @query("repository_metadata_s15", """
 SELECT c_custkey AS id, concat('acme/', c_name) AS full_name, c_name AS name, 'acme' AS owner, CASE WHEN c_nationkey % 3 = 0 THEN 'Organization' ELSE 'User' END AS owner_type,
- c_nationkey % 2 = 0 AS private, concat('https://github.com/acme/', c_name) AS url, NULL AS description, c_nationkey AS stars, NULL AS forks, NULL AS language, 12 AS size_kb,
- 'main' AS default_branch, NULL AS updated_at, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'a,b,c,d,e,f' END AS topics, false AS archived FROM customer""")
+ c_nationkey % 2 = 0 AS private, concat('https://github.com/acme/', c_name) AS url, concat('about ', c_mktsegment) AS description, c_nationkey AS stars, c_nationkey + 1 AS forks, 'Go' AS language, 12 AS size_kb,
+ 'main' AS default_branch, '2024-01-02' AS updated_at, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'a,b,c,d,e,f' END AS topics, false AS archived FROM customer""")
 def repository_metadata(v: Views):
     flat = catalog.flatten_metadata(v.customer.select(F.expr(RECORD).alias("raw")))
     return flat.withColumn("topics", F.array_join("topics", ","))
 
 
-OUTLINE = ctes("code_entities", "doc_files")
-
-
 @query("file_outline_s7", ctes("code_entities") + """
 SELECT repository_id, file_path AS path, id, symbol_name, symbol_type, start_line, end_line, parent, route FROM code_entities
 WHERE symbol_type NOT IN ('doc', 'config', 'chunk')""")
@@ -101,6 +98,23 @@ def file_content(v: Views):
     return content.select("repository_id", "path", F.md5("content").alias("digest"))
 
 
+# The files of every repository are written, then two repositories are replaced.
+@query("replaced_repositories_s8", ctes("files") + """
+SELECT repository_id, path, language, line_count + CASE WHEN repository_id IN ('repo0', 'repo1') THEN 1 ELSE 0 END AS line_count FROM files""")
+def replaced_repositories(v: Views):
+    folder = scratch_folder(v.spark, "files")
+    store.replace_repositories(v.files, folder)
+    changed = v.files.where(F.col("repository_id").isin("repo0", "repo1")).withColumn("line_count", F.col("line_count") + 1)
+    store.replace_repositories(changed, folder)
+    return v.spark.read.parquet(folder).select("repository_id", "path", "language", "line_count")
+
+
+# The data folder itself as a corpus: file contents are not opened, since only paths and sizes are wanted.
+@query("corpus_scan_s1")
+def corpus_scan(v: Views):
+    return file_source.scan_corpus(v.spark, v.sf_dir, depth=0, max_bytes=None).select("path", "size")
+
+
 # Repositories named by a rule are deleted; what is left of each table is counted.
 @query("cascade_delete_s9", ctes("code_entities", "relationships", "files", "file_imports") + """
 SELECT 'code_entities' AS name, repository_id, count(*) AS n FROM code_entities WHERE repository_id NOT IN ('repo1', 'repo2') GROUP BY ALL
@@ -148,6 +162,14 @@ def answer_fold(v: Views):
     return folding.fold_answers(v.spark.sql(EVENTS))
 
 
+@query("event_files_s11", EVENTS.replace("select conv_id", "SELECT conv_id"))
+def event_file_round_trip(v: Views):
+    v.conversations.createOrReplaceTempView("conversations")
+    folder = scratch_folder(v.spark, "events")
+    events.write_events(v.spark.sql(EVENTS), folder)
+    return events.read_events(v.spark, folder)
+
+
 PATHS_SQL = f"""
 , token AS (SELECT question_id, repository_id, p, i FROM (SELECT question_id, repository_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (
   SELECT *, list_filter(f, lambda x, j: list_position(f, x) = j) AS ps FROM (SELECT *, regexp_extract_all(text, {lit(C.ANSWER_PATH_PATTERN)}) AS f FROM answers)))

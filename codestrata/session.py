@@ -13,6 +13,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites of every column cost more than the planning
     "spark.sql.unionOutputPartitioning": "false",
 }
 
