@@ -16,6 +16,8 @@ from codestrata.functions.paths import route_of_file
 from codestrata.functions.routes import CONTROLLER_PREFIX, REQUEST_MAPPING_PREFIX, decorator_route, router_prefixes
 from codestrata.functions.text import call_names, clip, header_of, lines_of
 
+from .ranking import place
+
 FILE = ["repository_id", "path"]
 JS, PY, JAVA, GO = ("TypeScript", "JavaScript"), ("Python",), ("Java",), ("Go",)
 PARSED = JS + PY + JAVA + GO
@@ -242,7 +244,7 @@ def extract_entities(files: DataFrame) -> DataFrame:
 
     files(repository_id, path, language, content); other languages are passed over.
     """
-    placed = files.where(F.col("language").isin(*PARSED)).select(*FILE, "language", "content").repartition(*FILE)
+    placed = place(files.where(F.col("language").isin(*PARSED)).select(*FILE, "language", "content"), *FILE)
     found = definition_ranges(scanned_lines(placed))
     # A file's definitions meet its text once; both sides are placed by file already.
     listed = found.groupBy(*FILE).agg(F.collect_list(F.struct("n", "start", "end", "kind", "place", "name", "receiver", "called", "owner",

@@ -27,6 +27,15 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
 
 
+def place(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffles by `keys` into the configured number of partitions.
+
+    The explicit count keeps adaptive execution from merging partitions by size: the stages that follow are heavy on
+    work per byte (regular expressions, matrix products), so small partitions are wanted.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Union by name.
 

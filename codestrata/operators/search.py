@@ -17,7 +17,7 @@ from codestrata.functions import constants as C
 from codestrata.functions.paths import is_generated_file, is_test_file
 from codestrata.functions.text import identifier_words
 
-from .ranking import top_k, union_all
+from .ranking import place, top_k, union_all
 
 ENTITY_BLOCK = 8192
 TERM_BLOCK = 2048
@@ -47,8 +47,7 @@ def _tiles(df: DataFrame):
     Without the explicit shuffle Spark may keep a placement by repository alone, which satisfies the grouping but puts
     all tiles of a repository into one task. New column identities let two sides of one table be co-grouped.
     """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(count, *TILE).groupBy(*TILE)
+    return place(df.select(*[F.col(c).alias(c) for c in df.columns]), *TILE).groupBy(*TILE)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -132,7 +131,7 @@ def postings(entities: DataFrame) -> DataFrame:
         words(F.col("content"), C.CONTENT_WEIGHT),
     )
     return (
-        entities.select("repository_id", "id", "symbol_name", "file_path", "content").repartition("repository_id", "id")
+        place(entities.select("repository_id", "id", "symbol_name", "file_path", "content"), "repository_id", "id")
         .select("repository_id", "id", F.explode(tokens).alias("t"))
         .groupBy("repository_id", "id", F.col("t.term").alias("term"))
         .agg(F.round(F.sum("t.weight"), DIGITS).alias("weight"), F.count("*").alias("tf"))

@@ -88,7 +88,7 @@ def document_search(v: Views):
     asked = search_plan.understand(v.benchmark.select(F.col("item_id").alias("question_id"), F.when(F.col("item_id").isNotNull(), "docs").alias("repository_id"), "text"))
     held = v.documents.select(F.when(F.col("doc_id").isNotNull(), "docs").alias("repository_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"),
                               F.lit("").alias("symbol_name"), F.lit("").alias("file_path"))
-    return search.term_top_k(asked, search.postings(held)).drop("repository_id")
+    return search.term_top_k(cut(asked), cut(search.postings(held))).drop("repository_id")
 
 
 ASKED = ctes("questions", "entity_text") + UNDERSTOOD
