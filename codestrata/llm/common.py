@@ -43,3 +43,20 @@ def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; rows without an id count as remainder 0 of their empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, label of at most `rows` labelled documents whose id has another remainder than `held_out`.
+
+    Drawn evenly by a hash of the id, so only the ids of about `rows` rows are ever sorted, and only texts of the drawn
+    documents leave the scan.  Repeated labels of a document count once, by the largest.
+    """
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+             .where((F.col("label").isin(0, 1)) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    share = min(1.0, 1.1 * rows / max(1, labels.count()))
+    drawn = (known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    sample = documents(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")  # at most `rows` ids
+    return stored(sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").dropDuplicates(["doc_id"]), "sample")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, simhash
-from .common import table
+from . import exact_dedup, language, quality, simhash, toxicity
+from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,12 +23,38 @@ def registered(name: str, sql: str | None = None):
     return put
 
 
+def _classified(scores: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    return scores.select("doc_id", (remainder("doc_id", modulus) == held_out).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@registered("op2_bradley_terry_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.trained(docs, table(spark, sf_dir, "labels"))
+    return _classified(quality.quality_scores(docs, model), quality.MODULUS, quality.HELD_OUT)
+
+
 @registered("op6_simhash_components")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_components(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@registered("op8_rank_order_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc_id", (remainder("doc_id", language.MODULUS) == language.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+@registered("op9_toxic_segments")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.toxic_passages(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+    return _classified(found, toxicity.MODULUS, toxicity.HELD_OUT)
+
+
 @registered("op10_exact_dedup", """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
        count(*) over (partition by coalesce(text, '')) as group_size,
