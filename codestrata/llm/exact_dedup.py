@@ -120,7 +120,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = marked.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                               F.lit(True).alias("kept"), "text_sha256")
     rows = marked.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # stored, so that the join deals both sides anew and can split a hot group
+    groups = stored(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "exact")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
     several = (rows.join(groups, "text_sha256").select("*", copies.alias("copy"))
                .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"))
