@@ -221,8 +221,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = union_all(linked.select(F.col("node").alias("fp"), "root"), linked.select(F.col("root").alias("fp"), "root").distinct())
     tied = member.join(distinct, "fp")
     lowest = tied.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = (distinct.join(tied.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp", "left")
-             .select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    # stored, so that the join deals both sides anew and can split a hot fingerprint
+    by_fp = stored(distinct.join(tied.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp", "left")
+                   .select("fp", F.coalesce("component_id", "low").alias("component_id")), "simhash")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
