@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language, packing, quality, simhash, surrogates, toxicity
+from . import exact_dedup, language, packing, quality, simhash, surrogates, topk, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.quality_scores(docs, model), quality.MODULUS, quality.HELD_OUT)
 
 
+@registered("op5_block_pruned_top_k", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 @registered("op6_simhash_components")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_components(table(spark, sf_dir, "documents"))
