@@ -12,6 +12,13 @@ from ..operators.ranking import scratch_folder
 Batches = Iterator[pa.RecordBatch]
 
 
+def slices(batches: Batches, rows: int = 1000) -> Batches:
+    """The same rows in smaller batches: texts become Python objects a few megabytes at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

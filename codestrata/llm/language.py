@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Batches, documents, remainder
+from .common import documents, remainder, slices, Batches
 
 #: n-grams of a profile, longest n-gram, training rows of a language at most.
 PROFILE, LONGEST, SAMPLE_ROWS = 300, 3, 3000
@@ -112,7 +112,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
 
     def run(batches: Batches) -> Batches:
         letters, known = Letters(), Profiles(profiles)
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in batch.column(1).to_pylist():
                 top = ranked(*letters.grams(text))

@@ -15,9 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ranking import cut, union_all
-from .common import Batches, documents, stored
+from .common import documents, slices, stored, Batches
 
 BITS = 3
+#: For near copies: word fingerprints of which one half has to agree but for a bit, words of a shingle, and the least
+#: similarity of two texts' shingles, as estimated by SKETCH least hashes of which a bit each is compared.
+SIGNS, NEAR_WORDS, SIMILARITY, SKETCH = 3, 5, 0.8, 256
 WORDS = 3
 SEED = 42
 #: Rows of one anchor that are compared at once, and homes above which an anchor's visitors are split over several tasks.
@@ -25,9 +28,21 @@ BLOCK = 4096
 PAIRS_AT_ONCE = 1 << 20
 
 
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII only, both
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The number whose bit i is 1 if set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """SimHash of a text: bit i is 1 if set in over half of the shingles' hashes; 0 without words."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII only, both
+    tokens = _tokens(text)
     if not tokens:
         return 0
     joined = b" ".join(tokens)
@@ -37,17 +52,47 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     hash_of = xxhash.xxh64_intdigest
     stops = ends[words - 1:] if len(tokens) >= words else ends[-1:]
     hashes = np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), "<u8", n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return _majority(hashes)
+
+
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of the same things."""
+    x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (turn + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_DRAW = np.random.default_rng(11).integers(1 << 32, size=(2, SKETCH), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    """A bit of the least of the hashes under each of SKETCH permutations, packed: texts share a bit for every shingle they share."""
+    x = np.unique((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32))
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 1 << 10):
+        least = np.minimum(least, (x[at:at + (1 << 10), None] * _DRAW[0] + _DRAW[1]).min(axis=0))
+    return np.packbits((np.bitwise_count(least * np.uint32(0x9E3779B1) & np.uint32(0xFFFF0000)) & 1).astype(bool))
+
+
+def signature(text: str | None) -> tuple[list[int], bytes]:
+    """SIGNS fingerprints of the distinct words of a text, and the sketch of its shingles of NEAR_WORDS words."""
+    tokens = _tokens(text)
+    if not tokens:
+        return [0] * SIGNS, bytes(SKETCH // 8)
+    alone = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(tokens)}
+    hashes = np.fromiter(alone.values(), "<u8", len(alone))
+    shingle = np.fromiter(map(alone.__getitem__, tokens), "<u8", len(tokens))
+    wide = shingle[:len(tokens) - NEAR_WORDS + 1] if len(tokens) >= NEAR_WORDS else shingle[:1]
+    for i in range(1, min(NEAR_WORDS, len(tokens))):
+        wide = _mixed(wide, i) + shingle[i:i + len(wide)]
+    return [_majority(_mixed(hashes, turn)) for turn in range(SIGNS)], _least(_mixed(wide, SIGNS)).tobytes()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id and the fingerprint as a long."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
@@ -91,18 +136,17 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _replicas(batches: Batches) -> Batches:
+    """Columns node, check and one or more fingerprints → a row for every anchor within reach of a half of one of them."""
     for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(fp), 1 << 15):
-            part = fp[at:at + (1 << 15)]
-            keys, values, homes = [], [], []
-            for side in (0, 1):
-                half = ((part.view(np.uint64) >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                index, anchor = anchors(half)
-                keys.append(anchor.astype(np.int64) | (side << 32))
-                values.append(part[index])
-                homes.append(np.arange(len(index)) < len(half))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, values, homes)], ["anchor", "fp", "home"])
+        node, check, signs = batch.column(0), batch.column(1), [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+        for at in range(0, len(node), 1 << 14):
+            for number, sign in enumerate(signs):
+                for side in (0, 1):
+                    half = ((sign[at:at + (1 << 14)].view(np.uint64) >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    index, anchor = anchors(half)
+                    use = pa.array(index + at)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64) | ((2 * number + side) << 32)), node.take(use), check.take(use),
+                                                      pa.array(np.arange(len(index)) < len(half))], ["anchor", "node", "check", "home"])
 
 
 class _Forest:
@@ -123,68 +167,75 @@ class _Forest:
         return a != b
 
 
-def _compare(fps: np.ndarray, is_home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of checks, rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _compare(nodes: np.ndarray, checks: np.ndarray, is_home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one anchor, reduced to a spanning forest: n fingerprints give fewer than n links."""
-    homes, forest, a, b = np.flatnonzero(is_home), _Forest(len(fps)), [], []
-    step = max(1, PAIRS_AT_ONCE // len(fps))
-    values = fps.view(np.uint64)
+    homes, forest, a, b = np.flatnonzero(is_home), _Forest(len(nodes)), [], []
+    step = max(1, PAIRS_AT_ONCE // len(nodes) // checks.shape[1])
     for at in range(0, len(homes), step):
         rows = homes[at:at + step]
-        near = np.bitwise_count(values[rows][:, None] ^ values[None, :]) <= bits
-        left, right = np.nonzero(near)
+        left, right = np.nonzero(_apart(checks[rows][:, None, :], checks[None, :, :]) <= bits)
         left = rows[left]
         for x, y in zip(left[left != right].tolist(), right[left != right].tolist(), strict=True):
             if forest.join(x, y):
                 a.append(x)
                 b.append(y)
-    return fps[a], fps[b]
+    return nodes[a], nodes[b]
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Checks of one length as rows of 64-bit words."""
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, "<u8").reshape(len(column), -1)
 
 
 def _links(bits: int):
-    def emit(keys: np.ndarray, fps: np.ndarray, homes: np.ndarray):
+    def emit(keys: np.ndarray, nodes: np.ndarray, homes: np.ndarray, checks: np.ndarray):
         """keys sorted; whole anchors."""
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         useful = (sizes > 1) & (np.add.reduceat(homes.astype(np.int64), starts) > 0)
-        pair = useful & (sizes == 2)
-        first = starts[pair]
-        near = np.bitwise_count(fps[first].view(np.uint64) ^ fps[first + 1].view(np.uint64)) <= bits
-        a, b = [fps[first[near]]], [fps[first[near] + 1]]
+        first = starts[useful & (sizes == 2)]
+        first = first[_apart(checks[first], checks[first + 1]) <= bits]
+        a, b = [nodes[first]], [nodes[first + 1]]
         for start, size in zip(starts[useful & (sizes > 2)].tolist(), sizes[useful & (sizes > 2)].tolist(), strict=True):
-            x, y = _compare(fps[start:start + size], homes[start:start + size], bits)
+            x, y = _compare(*(c[start:start + size] for c in (nodes, checks, homes)), bits)
             a.append(x)
             b.append(y)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     def run(batches: Batches) -> Batches:
-        held: list[list[np.ndarray]] = [[], [], []]
+        held: list[list[np.ndarray]] = []  # rows of the last anchor so far, which may go on in the next batch
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            last = np.searchsorted(now[0], now[0][-1])  # the last anchor may go on in the next batch
-            if held[0] and held[0][-1][-1] != now[0][-1] and last > 0 or held[0] and last > 0:
-                yield emit(*[np.concatenate([*h, x[:last]]) for h, x in zip(held, now, strict=True)])
-                held = [[x[last:]] for x in now]
-            elif last > 0:
-                yield emit(*[x[:last] for x in now])
-                held = [[x[last:]] for x in now]
-            else:
-                if held[0] and held[0][-1][-1] != now[0][0]:
-                    yield emit(*[np.concatenate(h) for h in held])
-                    held = [[], [], []]
-                for h, x in zip(held, now, strict=True):
-                    h.append(x)
-        if held[0]:
-            yield emit(*[np.concatenate(h) for h in held])
+            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)), _words(batch.column(2))]
+            if held and held[-1][0][0] != now[0][0]:
+                yield emit(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if last:
+                yield emit(*map(np.concatenate, zip(*held, [x[:last] for x in now], strict=True)))
+                held = []
+            held.append([x[last:] for x in now])
+        if held:
+            yield emit(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) that connect what all links of `bits` differing bits or fewer connect.  `fps`: distinct longs."""
-    placed = fps.mapInArrow(_replicas, "anchor long, fp long, home boolean").repartition("anchor").sortWithinPartitions("anchor", "fp")
-    return placed.mapInArrow(_links(bits), "a long, b long").distinct()
+    """Links (a, b) that connect what all links connect.  `fps`: node (long), check (binary, one length) and fingerprints (long).
+
+    Two nodes are linked if a half of one of their fingerprints differs in a bit at most, and their checks in `bits` bits or
+    fewer.  With the one fingerprint as check, and `bits` of 3 or fewer, the first condition leaves nothing out.
+    """
+    placed = fps.mapInArrow(_replicas, "anchor long, node long, check binary, home boolean").repartition("anchor").sortWithinPartitions("anchor", "node")
+    return placed.mapInArrow(_links(bits), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -217,7 +268,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(fingerprints(docs, id_col, text_col), "simhash")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash")
-    linked = components(links(distinct.select("fp"), bits))
+    linked = components(links(distinct.select("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("check"), F.col("fp").alias("sign")), bits))
     member = union_all(linked.select(F.col("node").alias("fp"), "root"), linked.select(F.col("root").alias("fp"), "root").distinct())
     tied = member.join(distinct, "fp")
     lowest = tied.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -227,11 +278,36 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows that stay: of each group the one with the smallest id.  Rows without an id stay.
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the sketch of the shingles, and the fingerprints of the words."""
+    signs = [f"sign{i}" for i in range(SIGNS)]
+
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
+            found = [signature(t) for t in batch.column(1).to_pylist()]
+            numbers = np.array([f[0] for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.binary()), *(pa.array(numbers[:, i]) for i in range(SIGNS))],
+                                             ["doc_id", "sketch", *signs])
+
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, sketch binary, " + ", ".join(f"{n} long" for n in signs))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows that stay: of each group of near copies the one with the smallest id, all columns as they were.
 
-    Only ids are shuffled to decide; the dropped ids meet the texts in an anti-join that Spark may split.
+    Texts with equal signatures are one node, so a group of copies is compared once.  Rows without an id and rows without
+    words stay.  Rows that repeat an id stay or go together.  Only ids are shuffled to decide; the ids to drop meet the
+    texts in an anti-join that Spark may split.
     """
-    groups = near_components(docs, id_col, text_col, bits)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(dropped, docs[f"`{id_col}`"].cast("long") == F.col("__drop"), "left_anti")
+    signs = [f"sign{i}" for i in range(SIGNS)]
+    rows = stored(signatures(docs, id_col, text_col).where("doc_id is not null and (" + " or ".join(f"{c} <> 0" for c in signs) + ")"), "simhash")
+    alike = rows.withColumn("node", F.xxhash64("sketch", *signs))
+    nodes = stored(alike.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("sketch", *signs)]), "simhash")
+    # two sketches of similarity s differ in (1 - s) / 2 of their bits, give or take a deviation
+    share = (1 - similarity) / 2
+    bits = int(SKETCH * share + (SKETCH * share * (1 - share)) ** 0.5)
+    linked = components(links(nodes.select("low", "sketch", *signs), bits))
+    lows = nodes.select("node", "low").join(linked.select(F.col("node").alias("low"), "root"), "low", "left").select("node", F.coalesce("root", "low").alias("keep"))
+    # stored, so that the join deals both sides anew and can split a hot signature
+    dropped = alike.select("doc_id", "node").join(stored(lows, "simhash"), "node").where("doc_id <> keep").select(F.col("doc_id").alias("__drop")).distinct()
+    return docs.join(dropped, F.col(f"`{id_col}`").cast("long") == F.col("__drop"), "left_anti")

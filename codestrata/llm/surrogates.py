@@ -18,7 +18,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, documents
+from .common import documents, slices, Batches
 
 ROUNDS = 8
 CHUNK = 48  # characters permuted together
@@ -252,7 +252,7 @@ def entities(docs: DataFrame, key: bytes, again: dict[tuple[str, str], int] | No
 
     def run(batches: Batches) -> Batches:
         keyed = Keyed(key, again)
-        for batch in batches:
+        for batch in slices(batches):
             rows = sorted({e for t in batch.column(0).to_pylist() if t for e in keyed.replace(t)[1]})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "entity", "surrogate"])
 
@@ -282,7 +282,7 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
 
     def run(batches: Batches) -> Batches:
         keyed = Keyed(key, again)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [keyed.replace(t) if t else (t, []) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[1]) for r in rows], pa.int64()),
                                               pa.array([[e[0] for e in r[1]] for r in rows], pa.list_(pa.string()))], ["doc_id", "text", "n_entities", "kinds"])
@@ -296,7 +296,7 @@ def private_documents(docs: DataFrame, key: bytes, text_col: str = "text") -> Da
 
     def run(batches: Batches) -> Batches:
         keyed = Keyed(key, again)
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([keyed.replace(t)[0] if t else t for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, documents, labelled_sample, stored
+from .common import documents, labelled_sample, slices, stored, Batches
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -233,7 +233,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def run(batches: Batches) -> Batches:
         cache = _Scores(model.scores)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             strength, passages = _scan(batch.column(1).to_pylist(), model, cache, True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(model, strength)), pa.array(passages, kind)],
                                              ["doc_id", "score", "passages"])
@@ -247,7 +247,7 @@ def clean_documents(docs: DataFrame, model: Model, most: float = 0.7, text_col:
 
     def run(batches: Batches) -> Batches:
         cache = _Scores(model.scores)
-        for batch in batches:
+        for batch in slices(batches):
             strength, _ = _scan(batch.column(at).to_pylist(), model, cache, False)
             yield batch.filter(pa.array(probability(model, strength) < most))
 
