@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import documents, remainder, slices, Batches
+from .common import Batches, documents, remainder, slices
 
 #: n-grams of a profile, longest n-gram, training rows of a language at most.
 PROFILE, LONGEST, SAMPLE_ROWS = 300, 3, 3000

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ranking import cut, union_all
-from .common import documents, slices, stored, Batches
+from .common import Batches, documents, slices, stored
 
 BITS = 3
 #: For near copies: word fingerprints of which one half has to agree but for a bit, words of a shingle, and the least

@@ -18,7 +18,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, slices, Batches
+from .common import Batches, bounded_batches, documents, slices
 
 ROUNDS = 8
 CHUNK = 48  # characters permuted together
@@ -158,7 +158,8 @@ class Keyed:
         if kind == "ip":
             return self._ip(value, tweak)
         if kind == "card":
-            return self.exchange(value, ["" if i == 0 or not c.isdigit() else DIGITS for i, c in enumerate(value)], tweak, _luhn)
+            brand = 2 if sum(c.isdigit() for c in value) == 15 else 1
+            return self.exchange(value, ["" if i < brand or not c.isdigit() else DIGITS for i, c in enumerate(value)], tweak, _luhn)
         if kind in ("phone", "ssn"):
             start = re.match(r"\+\d{1,3}(?=\D)|\+\d|", value).end()
             return self.exchange(value, [_leading(value, i) if i >= start else "" for i in range(len(value))], tweak)
@@ -256,7 +257,7 @@ def entities(docs: DataFrame, key: bytes, again: dict[tuple[str, str], int] | No
             rows = sorted({e for t in batch.column(0).to_pylist() if t for e in keyed.replace(t)[1]})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "entity", "surrogate"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENTITIES).distinct()
+    return bounded_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENTITIES).distinct()
 
 
 def redrawn(docs: DataFrame, key: bytes, text_col: str = "text", most: int = MOST_REDRAWN) -> dict[tuple[str, str], int]:
@@ -300,4 +301,4 @@ def private_documents(docs: DataFrame, key: bytes, text_col: str = "text") -> Da
             texts = pa.array([keyed.replace(t)[0] if t else t for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, labelled_sample, slices, stored, Batches
+from .common import Batches, bounded_batches, documents, labelled_sample, slices, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -251,7 +251,7 @@ def clean_documents(docs: DataFrame, model: Model, most: float = 0.7, text_col:
             strength, _ = _scan(batch.column(at).to_pylist(), model, cache, False)
             yield batch.filter(pa.array(probability(model, strength) < most))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 #: Rows whose crc32 has this remainder are held out of training.
