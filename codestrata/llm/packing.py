@@ -7,16 +7,20 @@ until one group is left.  A group takes a bounded number of bins, so no task eve
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .common import Batches, documents, stored
+from .bpe import narrow_members
+from .common import Batches, documents, slices, stored
 
 #: Tokens of a sequence, end mark, free tokens a final bin may have, groups that meet at the next level, underfull bins
 #: a group takes at most on average, distinct words a task keeps.
@@ -26,25 +30,39 @@ LENGTH, END, SLACK, FAN_IN, GROUP, CACHE = 2048, 0, 8, 8, 500_000, 400_000
 class Words:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
-    The tokenizer splits at white space and drops it, so what stands between blanks and line ends is encoded apart, and
-    each distinct such piece only once as long as it is kept.
+    The tokenizer lower-cases, splits at white space and between letters, digits and signs, and merges within such words.
+    Texts of Latin-1 characters are split here by the same pattern (nothing composes or lower-cases beyond one character
+    in them), so each distinct word goes through the merges once as long as it is kept.  Other texts, and those that may
+    hold special tokens, go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.path, self.tokenizer, self.merges = path, None, Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters, numbers, blanks = narrow_members("L"), narrow_members("N"), r"\t-\r \x85\xa0"
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+").findall
+        self.beyond = re.compile(r"[^\x00-\xff]|<\|").search
+        self.known: dict[str, bytes] = {}
+
+    def _merged(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        for at in range(0, len(parts), 256):
-            some = parts[at:at + 256]
+        for at in range(0, len(texts), 1024):
+            some = [t or "" for t in texts[at:at + 1024]]
+            odd = [i for i, t in enumerate(some) if self.beyond(t)]
+            if odd and self.tokenizer is None:
+                self.tokenizer = Tokenizer.from_file(self.path)
+            whole = dict(zip(odd, self._merged(self.tokenizer, [some[i] for i in odd]), strict=True)) if odd else {}
+            words = [[] if i in whole else self.split(t.lower()) for i, t in enumerate(some)]
             if len(self.known) > CACHE:
-                self.known = {"": b""}
-            new = list({w for words in some for w in words} - self.known.keys())
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-            for words in some:
-                yield b"".join(map(self.known.__getitem__, words))
+                self.known = {}
+            new = list(set().union(*words) - self.known.keys())
+            self.known.update(zip(new, self._merged(self.merges, new), strict=True))
+            for i, found in enumerate(words):
+                yield whole[i] if i in whole else b"".join(map(self.known.__getitem__, found))
 
 
 def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -85,7 +103,7 @@ def _pieces(path: str, length: int, end: int):
     def run(batches: Batches) -> Batches:
         words, base = Words(path), TaskContext.get().partitionId() << 32
         held: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             rows, piece, start, size, crc = [], [], [], [], []
             for r, data in enumerate(words.encode(texts)):
