@@ -20,11 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Batches, documents
+from .common import Batches, documents, slices
 
 #: Words encoded by one query, tokens decoded by one query, texts split at once, words a task keeps, and bytes up to which a word takes part
 #: in the query: it needs as many rounds as merges, so the rare longer ones are contracted by a heap of their pairs.
-WORDS_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 100_000, 2_000_000, 2000, 700_000, 512
+WORDS_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 100_000, 1_000_000, 2000, 500_000, 512
 #: White space as Unicode has it.
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts without characters from here on are split by the faster engine, whose classes are spelled out below that.
@@ -57,7 +57,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _members(kind: str) -> str:
+def narrow_members(kind: str) -> str:
     """The narrow characters whose category starts with `kind`, as ranges of a character class."""
     inside = [unicodedata.category(chr(i))[0] == kind for i in range(NARROW)] + [False]
     starts = [i for i in range(NARROW) if inside[i] and not (i and inside[i - 1])]
@@ -71,7 +71,7 @@ class Splitter:
         pattern = pattern.replace(r"[^\s", f"[^{BLANKS}").replace(r"\S", f"[^{BLANKS}]").replace(r"\s", f"[{BLANKS}]")
         self.wide = regex.compile(pattern).findall
         self.beyond = re.compile(f"[^\\u0000-\\u{NARROW - 1:04x}]").search
-        letters, numbers = _members("L"), _members("N")
+        letters, numbers = narrow_members("L"), narrow_members("N")
         narrow = pattern.replace(r"\p{L}\p{N}]", f"{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
         self.narrow = re.compile(narrow).findall if r"\p" not in narrow else self.wide
 
@@ -81,8 +81,8 @@ class Splitter:
         return self.wide(text) if self.beyond(text) else self.narrow(text)
 
 
-class Codec:
-    """Vocabulary and merge table of one task."""
+class Encoder:
+    """Merge table and words of one task."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
@@ -90,16 +90,11 @@ class Codec:
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.tokens = {self._text(t): np.array([r], "<u4").tobytes() for t, r in self.ranks.items() if self._text(t) is not None}
         self.known = dict(self.tokens)
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         pair = np.array([a << 32 | b for a, b, _ in pairs], np.int64)
-        self._create("merges", pa.table({"pair": pair, "merged": np.array([r for *_, r in pairs], np.int64)}))
-        self._create("vocabulary", pa.table({"id": np.array(list(self.ranks.values()), np.int64), "hex": pa.array([t.hex() for t in self.ranks])}))
-
-    def _create(self, name: str, rows: pa.Table) -> None:
-        self.duck.register("given", rows)
-        self.duck.execute(f"create table {name} as select * from given")
-        self.duck.unregister("given")
+        self.duck.register("given", pa.table({"pair": pair, "merged": np.array([r for *_, r in pairs], np.int64)}))
+        self.duck.execute("create table merges as select * from given")
 
     @staticmethod
     def _text(token: bytes) -> str | None:
@@ -165,6 +160,17 @@ class Codec:
             out += [b"".join(map(self.known.__getitem__, w)) for w in words]
         return out
 
+
+
+class Decoder:
+    """Vocabulary of one task."""
+
+    def __init__(self, path: str) -> None:
+        ranks = read_ranks(path)
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.duck.register("given", pa.table({"id": np.array(list(ranks.values()), np.int64), "hex": pa.array([t.hex() for t in ranks])}))
+        self.duck.execute("create table vocabulary as select * from given")
+
     def decode(self, ids: list[bytes]) -> Iterator[bytes]:
         """Bytes of id sequences, by ordered aggregation."""
         at = 0
@@ -194,21 +200,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Batches) -> Batches:
         codec = None
-        for batch in batches:
-            codec = codec or Codec(path, pattern)
+        for batch in slices(batches, TEXTS_AT_ONCE):
+            codec = codec or Encoder(path, pattern)
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.encode(texts), pa.binary())], ["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded (the bytes the ids stand for) of every row of encode()'s form; null ids give null."""
 
     def run(batches: Batches) -> Batches:
         codec = None
-        for batch in batches:
-            codec = codec or Codec(path, pattern)
+        for batch in slices(batches, TEXTS_AT_ONCE):
+            codec = codec or Decoder(path)
             ids = batch.column(1).to_pylist()
             text = [t if i is not None else None for i, t in zip(ids, codec.decode([i or b"" for i in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])

@@ -48,7 +48,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op3_recursive_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
     return rows.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
