@@ -22,7 +22,8 @@ from .common import Batches, stored, whole
 BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 HASHES = 3
 SEGMENT = 1 << 20  # bits that are merged together
-FLUSH = 1 << 21  # hashes a task holds before it writes
+FLUSH = 1 << 19  # hashes a task holds before it writes
+OFTEN = -1  # the segment number of rows that count frequent hashes
 
 
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -40,17 +41,25 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.uint32)
 
 
-def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The plane of positions hit at least twice, as packed bits.  `hashes`: one long column."""
+def repeated_filter(hashes: DataFrame, bits: int, often: int = FLUSH, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The plane of positions hit at least twice, as packed bits, and hashes that are very frequent.  `hashes`: one long column.
+
+    Hashes that occur `often` among FLUSH of them are counted; those that come to `total` so are frequent (none, if 0).
+    """
 
     def emit(values: list[np.ndarray]) -> pa.RecordBatch | None:
         if not values:
             return None
-        unique, counts = np.unique(_positions(np.concatenate(values).view(np.uint64), bits), return_counts=True)
+        keys = np.concatenate(values)
+        unique, counts = np.unique(_positions(keys.view(np.uint64), bits), return_counts=True)
         unique = unique.astype(np.int64)
         cuts = np.flatnonzero(np.diff(unique // SEGMENT)) + 1
         rows = [(int(u[0] // SEGMENT), _pack(u % SEGMENT), _pack((u % SEGMENT)[c > 1]))
                 for u, c in zip(np.split(unique, cuts), np.split(counts, cuts), strict=True) if len(u)]
+        if total:
+            keys, counts = np.unique(keys, return_counts=True)
+            if (counts >= often).any():
+                rows.append((OFTEN, keys[counts >= often].astype("<i8").tobytes(), counts[counts >= often].astype("<i8").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)],
                                           ["segment", "once", "twice"])
 
@@ -67,6 +76,7 @@ def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 
     def merge(batches: Batches) -> Batches:
         once, twice, now = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool), None
+        counted: dict[int, int] = {}
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())],
@@ -74,6 +84,10 @@ def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 
         for batch in batches:
             for segment, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if segment == OFTEN:
+                    for key, n in zip(np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist(), strict=True):
+                        counted[key] = counted.get(key, 0) + n
+                    continue
                 if segment != now:
                     if now is not None:
                         yield done()
@@ -84,20 +98,27 @@ def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
                 once[hit] = True
         if now is not None:
             yield done()
+        if counted:
+            keys = np.array([k for k, n in counted.items() if n >= total], "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([OFTEN], pa.int32()), pa.array([keys.tobytes()], pa.binary())], ["segment", "plane"])
 
     parts = hashes.mapInArrow(first, "segment int, once binary, twice binary")
     planes = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, plane binary")
     out = np.zeros(-(-bits // SEGMENT) * SEGMENT // 8, np.uint8)
-    for row in planes.toLocalIterator():  # at most MOST_BITS bits in all
+    frequent = np.zeros(0, np.int64)
+    for row in planes.toLocalIterator():  # the bits of the filter, and one hash for every `total` rows at most
+        if row.segment == OFTEN:
+            frequent = np.sort(np.frombuffer(row.plane, "<i8"))
+            continue
         out[row.segment * SEGMENT // 8:(row.segment + 1) * SEGMENT // 8] = np.frombuffer(zlib.decompress(row.plane), np.uint8)
-    return out
+    return out, frequent
 
 
 def possibly_repeated(df: DataFrame, key: str, most_bits: int = MOST_BITS) -> Column:
     """A condition on `df` that holds for every row whose long `key` occurs more than once, and for few others."""
     rows = df.count()
     bits = int(min(most_bits, max(LEAST_BITS, rows * BITS_PER_ROW)))
-    plane = df.sparkSession.sparkContext.broadcast(repeated_filter(df.select(key), bits))  # at most MOST_BITS bits
+    plane = df.sparkSession.sparkContext.broadcast(repeated_filter(df.select(key), bits)[0])  # at most MOST_BITS bits
 
     @F.pandas_udf("boolean")
     def hit(keys: pd.Series) -> pd.Series:

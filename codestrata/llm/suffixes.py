@@ -21,15 +21,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, documents, stored
-from .exact_dedup import BITS_PER_ROW, LEAST_BITS, _positions, repeated_filter
+from .common import Batches, documents, slices, stored
+from .exact_dedup import LEAST_BITS, _positions, repeated_filter
 
-#: Length of the strings and of the leading q-gram; bytes that are hashed together; bits of the filter at most: beyond
+#: Length of the strings and of the leading q-gram; bytes that are hashed together; bits of the filter for a
+#: lead, and at most: beyond
 #: them more leads are shuffled, and the result stays the same.
-LENGTH, GRAM, GROUP, MOST_BITS = 100, 64, 1 << 20, 1 << 30
-#: Leads of a bucket from which its windows are dealt one by one, by their own hash, and leads of a batch that make one
-#: worth counting.
-HOT, HOT_IN_BATCH = 8192, 16
+LENGTH, GRAM, GROUP, BITS_PER_LEAD, MOST_BITS = 100, 64, 1 << 20, 6, 1 << 30
+#: Leads of a bucket from which its windows are dealt one by one, by their own hash, and leads a task has to see at once to
+#: count one.  Only the balance of the work depends on them.
+HOT, OFTEN = 8192, 128
 PIECES = 4  # of a window
 NO_ID = (1 << 63) - 1  # documents without an id come last, as one
 _PLACE = 26  # bits of a place in a group
@@ -120,7 +121,7 @@ def lead_hashes(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         rolling = Rolling("lead")
-        for batch in batches:
+        for batch in slices(batches):
             for data, _, _, cuts in _groups(_bytes(batch.column(0)), length):
                 rolling.load(data)
                 hashes = rolling.grams(gram)
@@ -129,19 +130,6 @@ def lead_hashes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "lead long")
 
 
-def _often(batches: Batches) -> Batches:
-    for batch in batches:
-        values, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-        often = counts >= HOT_IN_BATCH
-        yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often].astype(np.int64))], ["lead", "n"])
-
-
-def hot_leads(leads: DataFrame, hot: int = HOT, most: int = 100_000) -> np.ndarray:
-    """Buckets with about `hot` leads or more, sorted.  Only the balance of the work depends on them."""
-    found = leads.mapInArrow(_often, "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
-    return np.sort(np.array([r.lead for r in found.orderBy(F.desc("n"), "lead").limit(most).collect()], np.int64))  # `most` rows
-
-
 ROWS = "key long, doc long, start long, lead_at int, windows int, body binary"
 
 
@@ -158,7 +146,7 @@ def _bucket_rows(plane, bits: int, hot: np.ndarray, length: int, gram: int):
 
     def run(batches: Batches) -> Batches:
         lead, body, value = Rolling("lead"), Rolling("body"), plane.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             for data, rows, places, cuts in _groups(_bytes(batch.column(1)), length):
                 lead.load(data)
@@ -215,10 +203,11 @@ def _decided(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Batches:
 
 def _refined(bucket: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     """Bucket numbers of windows after sorting by (bucket, identifier of a later piece); equal pairs share a number."""
-    order = np.lexsort((pieces, bucket))
-    b, p = bucket[order], pieces[order]
+    pair = _mix(pieces.astype(np.int64).view(np.uint64) + _mix(bucket.view(np.uint64) + np.uint64(1)))  # one number for both
+    order = np.argsort(pair)
+    pair = pair[order]
     out = np.empty(len(bucket), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], (b[1:] != b[:-1]) | (p[1:] != p[:-1])]))
+    out[order] = np.cumsum(np.concatenate([[0], pair[1:] != pair[:-1]]))
     return out
 
 
@@ -258,10 +247,12 @@ def _repeats(length: int):
             b = where + np.where(one, 8, (i + 1) * length // PIECES)
             now = _refined(now, rolling.between(a, b).view(np.int64))
         doc, place = doc[row[alive]], start[row[alive]] + step[alive]
-        order = np.lexsort((place, doc, now))
+        order = np.argsort(now)
         now, doc, place = now[order], doc[order], place[order]
-        least = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]]))[np.cumsum(np.concatenate([[0], now[1:] != now[:-1]]))]
-        later = (doc != doc[least]) | (place != place[least])
+        new = np.concatenate([[True], now[1:] != now[:-1]])
+        group, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
+        low = np.minimum.reduceat(doc, firsts)[group]
+        later = (doc != low) | (place != np.minimum.reduceat(np.where(doc == low, place, NO_ID), firsts)[group])
         yield from _decided(doc[later], place[later], place[later] + length)
 
     def run(batches: Batches) -> Batches:
@@ -298,9 +289,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_
     leads = lead_hashes(docs, length, gram)
     bytes_in_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     about = 2 * bytes_in_all // (length - gram + 2)  # leads of that much text
-    bits = int(min(most_bits, max(LEAST_BITS, about * BITS_PER_ROW)))
-    plane = docs.sparkSession.sparkContext.broadcast(repeated_filter(leads, bits))  # most_bits at most
-    rows = docs.mapInArrow(_bucket_rows(plane, bits, hot_leads(leads, hot), length, gram), ROWS)
+    bits = int(min(most_bits, max(LEAST_BITS, about * BITS_PER_LEAD)))
+    twice, frequent = repeated_filter(leads, bits, min(OFTEN, hot), hot)
+    plane = docs.sparkSession.sparkContext.broadcast(twice)  # most_bits at most
+    rows = docs.mapInArrow(_bucket_rows(plane, bits, frequent, length, gram), ROWS)
     found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats(length), ROWS)
     return found.select("doc", "start", (F.col("start") + F.col("lead_at")).alias("stop"))
 
@@ -318,7 +310,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Batches) -> Batches:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             sizes, spans, kept = [], [], []
             for text, found in zip(_bytes(batch.column(1)), batch.column(2), strict=True):
                 sizes.append(len(text))
