@@ -1,8 +1 @@
 """Operators for preparing training text.  Nothing outside this folder imports it."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions go to the executors by value: they need no copy of the library there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -43,7 +43,7 @@ class Words:
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters, numbers, blanks = narrow_members("L"), narrow_members("N"), r"\t-\r \x85\xa0"
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+").findall
-        self.beyond = re.compile(r"[^\x00-\xff]|<\|").search
+        self.beyond = re.compile(r"[^\x00-\xff]").search
         self.known: dict[str, bytes] = {}
 
     def _merged(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
@@ -52,7 +52,7 @@ class Words:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 1024):
             some = [t or "" for t in texts[at:at + 1024]]
-            odd = [i for i, t in enumerate(some) if self.beyond(t)]
+            odd = [i for i, t in enumerate(some) if "<|" in t or not t.isascii() and self.beyond(t)]
             if odd and self.tokenizer is None:
                 self.tokenizer = Tokenizer.from_file(self.path)
             whole = dict(zip(odd, self._merged(self.tokenizer, [some[i] for i in odd]), strict=True)) if odd else {}
