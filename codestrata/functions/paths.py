@@ -32,11 +32,15 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"^.+(\.[^.]*)$", 1))
 
 
+def is_ignored_folder(path: Column) -> Column:
+    """True for files below build output and hidden directories."""
+    return F.exists(directories(path), lambda d: d.isin(*C.IGNORED_DIRS) | d.startswith("."))
+
+
 def is_ignored(path: Column) -> Column:
     """True for build output, hidden directories, lockfiles, minified files, source maps and declaration files."""
     name = base_name(path)
-    in_ignored_dir = F.exists(directories(path), lambda d: d.isin(*C.IGNORED_DIRS) | d.startswith("."))
-    return in_ignored_dir | name.isin(*C.IGNORED_FILES) | name.rlike(C.IGNORED_NAME_PATTERN)
+    return is_ignored_folder(path) | name.isin(*C.IGNORED_FILES) | name.rlike(C.IGNORED_NAME_PATTERN)
 
 
 def language_of(path: Column) -> Column:

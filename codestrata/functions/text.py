@@ -17,7 +17,7 @@ def identifier_words(text: Column) -> Column:
     return F.concat_ws(" ", text, F.regexp_replace(acronyms, r"[_\-./\\:]+", " "))
 
 
-def keyword_terms(question: Column, limit: int | None = C.MAX_KEYWORDS) -> Column:
+def keyword_terms(question: Column, limit: int | None = None) -> Column:
     """Distinct lower-case search terms in first-seen order: each identifier, then its camel and underscore parts."""
     tokens = F.regexp_extract_all(question, F.lit(C.WORD_PATTERN), F.lit(0))
     parts = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.split(_spaced_camel(t), r"[\s_]+"))))
@@ -103,8 +103,8 @@ def evidence_header(number, symbol_type, parent, name, route, path, start, end,
     )
 
 
-def embedding_text(symbol_type, name, parent, route, path, content, content_chars: int | None = C.EMBEDDING_CONTENT_CHARS):
-    """Text an entity is embedded from: type, name, owner, route, path, split identifiers, start of the content."""
+def embedding_text(symbol_type, name, parent, route, path, content, content_chars: int | None = None):
+    """Text an entity is embedded from: type, name, owner, route, path, split identifiers, content (its first `content_chars`)."""
     body = content if content_chars is None else F.substring(content, 1, content_chars)
     return F.concat_ws(" ", symbol_type, name, parent, route, path, identifier_words(name), body)
 
@@ -135,7 +135,7 @@ def code_reference(text: Column) -> Column:
     )
 
 
-def call_names(text: Column, limit: int | None = C.MAX_CALLS, language: Column | None = None) -> Column:
+def call_names(text: Column, limit: int | None = None, language: Column | None = None) -> Column:
     """Distinct names that are called in `text`, last name of a member chain, the language's keywords left out."""
     found = F.regexp_extract_all(text, F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1))
 

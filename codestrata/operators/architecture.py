@@ -60,12 +60,12 @@ def file_edges(entities: DataFrame, relationships: DataFrame, file_imports: Data
 
 
 def file_graph(files: DataFrame, entities: DataFrame, relationships: DataFrame, file_imports: DataFrame,
-               modules: DataFrame | None = None, max_files: int | None = 150, max_edges: int | None = 600,
-               max_external: int | None = 40) -> tuple[DataFrame, DataFrame]:
+               modules: DataFrame | None = None, max_files: int | None = None, max_edges: int | None = None,
+               max_external: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the file graph of each wanted (repository_id, module), or of every module.
 
     Edges are built once for all modules and given to the modules of their two ends; files outside the module come in
-    as external nodes. Cuts are in path order.
+    as external nodes. The cuts of a drawing (files, edges, external files of a module) are in path order.
     """
     code = files.where(~F.col("language").isin(*C.NON_SOURCE_LANGUAGES))
     if modules is not None:

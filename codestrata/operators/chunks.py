@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import constants as C
 from codestrata.functions.paths import base_name
-from codestrata.functions.text import call_names, chunk_type, is_blank, lines_of
+from codestrata.functions.text import chunk_type, is_blank, lines_of
+
+from .extract import loose_calls
 
 FILE = ["repository_id", "path"]
 
@@ -49,7 +51,7 @@ def window_pieces(size: int = C.CHUNK_LINES) -> Column:
     return F.filter(pieces, lambda p: ~is_blank(p["content"]))
 
 
-def heading_pieces(size: int = C.CHUNK_LINES) -> Column:
+def heading_pieces(size: int = C.CHUNK_LINES, title_chars: int | None = None) -> Column:
     """Sections that begin at a level 1–3 heading, long ones cut each `size` lines; named 'file › heading'.
 
     Over columns path, lines and starts.
@@ -59,7 +61,8 @@ def heading_pieces(size: int = C.CHUNK_LINES) -> Column:
     def cuts(start: Column, i: Column) -> Column:
         first = F.get(lines, start - 1)
         end = F.coalesce(F.get(starts, i + 1) - 1, F.size(lines))
-        title = F.when(is_heading(first), F.substring(F.regexp_replace(first, "^#+" + C.JS_SPACE + "*", ""), 1, 80)).otherwise(base)
+        heading = F.regexp_replace(first, "^#+" + C.JS_SPACE + "*", "")
+        title = F.when(is_heading(first), heading if title_chars is None else F.substring(heading, 1, title_chars)).otherwise(base)
         name = F.concat(base, F.lit(" › "), title)
         return F.transform(F.sequence(start, end, F.lit(size)), lambda s: _piece(name, s, F.least(s + size - 1, end), lines))
 
@@ -104,7 +107,7 @@ def uncovered_lines(files: DataFrame, entities: DataFrame) -> DataFrame:
     return lines.join(covered, [*FILE, "n"], "left_anti")
 
 
-def module_entities(files: DataFrame, entities: DataFrame, min_lines: int = 8, max_lines: int | None = 200) -> DataFrame:
+def module_entities(files: DataFrame, entities: DataFrame, min_lines: int = 8, max_lines: int | None = None) -> DataFrame:
     """One `module` entity per file whose uncovered lines are at least `min_lines`, or any if it has no entity."""
     counted = entities.groupBy("repository_id", F.col("file_path").alias("path")).agg(F.count("*").alias("_entities"))
     rows = F.sort_array(F.collect_list(F.struct("n", "line")))  # one file's lines; files are size-bounded
@@ -121,6 +124,6 @@ def module_entities(files: DataFrame, entities: DataFrame, min_lines: int = 8, m
             F.lit("module").alias("symbol_type"), "language", F.lit(1).cast("long").alias("start_line"),
             F.size(lines_of(F.col("content"))).cast("long").alias("end_line"), F.col("text").alias("content"),
             F.lit(None).cast("string").alias("parent"), F.lit(False).alias("exported"), F.lit(None).cast("string").alias("route"),
-            call_names(F.col("content"), C.MAX_MODULE_CALLS, F.col("language")).alias("calls"), F.lit(None).cast("string").alias("handler"),
+            loose_calls(F.col("content"), F.col("language")).alias("calls"), F.lit(None).cast("string").alias("handler"),
         )
     )

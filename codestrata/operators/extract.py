@@ -239,10 +239,27 @@ def _call_text(name: Column, language: Column, text: Column) -> Column:
     return F.when(language.isin(*PY), hashed).otherwise(slashed)
 
 
-def extract_entities(files: DataFrame) -> DataFrame:
+HEADS = {  # definitions, whose names stand before a parenthesis without being called
+    "Python": r"\b(?:def|class)\s+\w+", "Go": r"\bfunc\s*(?:\([^)]*\)\s*)?\w*",
+    "Java": r"(?m)^\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)+(?:<[^>]*>\s*)?(?:[\w.<>\[\],? ]+\s)?\w+\s*(?=\()",
+    "": r"\bfunction\s*\*?\s*\w*|(?m)^\s*(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b)[A-Za-z_$][\w$]*\s*(?=\([^()]*\)\s*(?::[^{;=]*)?\{)",
+}
+
+
+def loose_calls(content: Column, language: Column) -> Column:
+    """Names called in a whole file: strings, comments, and the names of definitions are left out."""
+    bare = _call_text(F.lit("\0"), language, content)
+    text = F.regexp_replace(bare, HEADS[""], " ")
+    for name in ("Python", "Java", "Go"):
+        text = F.when(language == name, F.regexp_replace(bare, HEADS[name], " ")).otherwise(text)
+    return call_names(text, None, language)
+
+
+def extract_entities(files: DataFrame, clipped: bool = False, max_calls: int | None = None) -> DataFrame:
     """Staging entities of parsed languages: schema of `code_entities` without id, module and embedding, plus calls and handler.
 
-    files(repository_id, path, language, content); other languages are passed over.
+    files(repository_id, path, language, content); other languages are passed over. `clipped` cuts the stored text of an
+    entity to the lines a small index keeps, `max_calls` its call names.
     """
     placed = place(files.where(F.col("language").isin(*PARSED)).select(*FILE, "language", "content"), *FILE)
     found = definition_ranges(scanned_lines(placed))
@@ -292,7 +309,7 @@ def extract_entities(files: DataFrame) -> DataFrame:
     rows = rows.withColumns({"symbol_type": symbol_type, "symbol_name": name}).where(c("symbol_type").isNotNull() & real)
 
     symbol = c("symbol_type")
-    parent = F.when(is_go & (kind == "method"), c("receiver")).when((kind != "route") & ~is_go, c("owner"))
+    parent = F.when(is_go & (kind == "method"), c("receiver")).when((kind != "route") & ~is_go & ~(is_py & (kind == "class")), c("owner"))
     exported = (
         F.when(kind == "route", False)
         .when(is_js, F.when(kind.isin("method", "field"), F.coalesce(c("owner_header"), F.lit("")).rlike(r"(?m)^export\b")).otherwise(
@@ -315,13 +332,13 @@ def extract_entities(files: DataFrame) -> DataFrame:
     )
     no_calls = (symbol == "class") | (is_js & symbol.isin("interface", "type", "enum")) | (is_py & (symbol == "model")) | (is_java & ~symbol.isin("method")) | (is_go & symbol.isin("class", "interface", "type"))
     own_name = F.when(kind == "route", F.lit("(")).otherwise(c("symbol_name"))
-    calls = F.when(no_calls, F.array().cast("array<string>")).otherwise(call_names(_call_text(own_name, lang, c("body")), C.MAX_CALLS, lang))
+    calls = F.when(no_calls, F.array().cast("array<string>")).otherwise(call_names(_call_text(own_name, lang, c("body")), max_calls, lang))
     last_argument = F.substring_index(F.regexp_extract(F.regexp_replace("body", r"\s+", " "), r",\s*([\w$.]+)\s*,?\s*\)\s*;?\s*$", 1), ".", -1)
     handler = F.when((kind == "route") & (last_argument != "") & ~last_argument.rlike(r"^\d"), last_argument)
     calls = F.when(kind == "route", F.array_remove(calls, c("receiver"))).otherwise(calls)
     return rows.select(
         "repository_id", c("path").alias("file_path"), "symbol_name", "symbol_type", "language", c("first").cast("long").alias("start_line"),
-        c("end").cast("long").alias("end_line"), clip(lines, c("first"), c("end"), limit).alias("content"), parent.alias("parent"),
+        c("end").cast("long").alias("end_line"), (clip(lines, c("first"), c("end"), limit) if clipped else c("body")).alias("content"), parent.alias("parent"),
         exported.alias("exported"), route.alias("route"), calls.alias("calls"), handler.alias("handler"),
     )
 

@@ -128,8 +128,8 @@ def starter_questions(entities: DataFrame, degrees: DataFrame) -> DataFrame:
     )
 
 
-def framework_tags(manifests: DataFrame, max_manifests: int | None = 20) -> DataFrame:
-    """(repository_id, framework) found in manifest texts. Input columns: repository_id, path, content."""
+def framework_tags(manifests: DataFrame, max_manifests: int | None = None) -> DataFrame:
+    """(repository_id, framework) found in manifest texts (of the first `max_manifests` in path order). Input columns: repository_id, path, content."""
     files = manifests.where(is_manifest(F.col("path")))
     if max_manifests is not None:
         files = top_k(files, ["repository_id"], [F.asc("path")], max_manifests, "_r")

@@ -11,10 +11,10 @@ from codestrata.functions.text import code_reference
 ANSWER = ["repository_id", "question_id"]
 
 
-def answer_paths(text: Column) -> Column:
-    """Distinct file-like tokens of an answer, the first 40, those with a directory."""
+def answer_paths(text: Column, limit: int | None = None) -> Column:
+    """Distinct file-like tokens of an answer (of the first `limit`), those with a directory."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(C.ANSWER_PATH_PATTERN), F.lit(0)))
-    return F.filter(F.slice(found, 1, C.MAX_ANSWER_PATHS), lambda p: F.contains(p, F.lit("/")))
+    return F.filter(found if limit is None else F.slice(found, 1, limit), lambda p: F.contains(p, F.lit("/")))
 
 
 def unknown_paths(asked: DataFrame, files: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def verify_answers(answers: DataFrame, files: DataFrame) -> DataFrame:
     """answers(repository_id, question_id, text, n_sources) → the same keys with unverified_paths, invalid_citations."""
     asked = answers.select(*ANSWER, F.posexplode(answer_paths(F.col("text"))).alias("i", "path"))
     missing = unknown_paths(asked, files).groupBy(*ANSWER).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "path"))), lambda r: r["path"]).alias("unverified_paths")  # ≤ 40
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "path"))), lambda r: r["path"]).alias("unverified_paths")  # of one answer
     )
     cited = answers.select(*ANSWER, invalid_citations(F.col("text"), F.col("n_sources")).alias("invalid_citations"))
     none = F.array().cast("array<string>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codestrata.functions.paths import is_ignored_folder
 from codestrata.operators import architecture, chunks, extract, resolve, search, stats
 from codestrata.operators.ranking import cut, stable_id, union_all
 from codestrata.sources import files as file_source, store
@@ -57,19 +58,27 @@ def index_corpus(raw: DataFrame, embed_batch=None, max_files: int | None = None)
 
 
 def repository_facts(tables: dict[str, DataFrame], raw: DataFrame) -> dict[str, DataFrame]:
-    """Statistics of indexed repositories, one table per kind of fact."""
+    """Statistics of indexed repositories, one table per kind of fact.
+
+    Files are counted outside ignored places, whatever their size or kind; frameworks come from the indexed texts.
+    """
     files, entities = tables["files"], tables["code_entities"]
+    seen = raw.where(~is_ignored_folder(F.col("path")))
     edges = architecture.module_edges(files, entities, tables["relationships"], tables["file_imports"])
     return {
-        "stats": stats.repository_stats(files, entities, tables["relationships"], raw),
-        "languages": stats.language_share(files), "frameworks": stats.framework_tags(raw),
+        "stats": stats.repository_stats(files, entities, tables["relationships"], seen),
+        "languages": stats.language_share(files), "frameworks": stats.framework_tags(tables["file_text"]),
         "entry_points": stats.entry_points(files), "largest_modules": stats.module_stats(files, entities, edges, "lines"),
         "connected_modules": stats.module_stats(files, entities, edges, "connections"),
         "complex_files": stats.complex_files(files, entities),
     }
 
 
-def write_index(tables: dict[str, DataFrame], root: str) -> None:
-    """Replaces the indexed repositories in the tables under `root`."""
-    for name in store.TABLES:
-        store.replace_repositories(tables[name], f"{root}/{name}")
+def write_index(tables: dict[str, DataFrame], root: str, indexed: DataFrame | None = None) -> None:
+    """Replaces the `indexed` repositories (column repository_id) in the tables under `root`: all that have files, if not given.
+
+    A repository that has no rows in a table any more has none there afterwards either.
+    """
+    indexed = cut((tables["files"] if indexed is None else indexed).select("repository_id").distinct())
+    for name in tables:
+        store.replace_repositories(tables[name], f"{root}/{name}", indexed)

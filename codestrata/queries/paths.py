@@ -45,7 +45,13 @@ def ignore_filter(v: Views):
 SELECT repository_id, path, size FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS r FROM paths
 WHERE NOT {IGNORED_SQL} AND {LANGUAGE_SQL} IS NOT NULL AND size > 0 AND size <= 524288) WHERE r <= 6000""")
 def size_and_count_caps(v: Views):
-    return file_source.discover(v.paths, max_files=C.MAX_FILES_PER_REPOSITORY).select("repository_id", "path", "size")
+    return file_source.discover(v.paths, C.MAX_FILE_BYTES, C.MAX_FILES_PER_REPOSITORY).select("repository_id", "path", "size")
+
+
+@query("discovered_files_s3", PATHS + f"""
+SELECT repository_id, path, size FROM paths WHERE NOT {IGNORED_SQL} AND {LANGUAGE_SQL} IS NOT NULL AND size > 0""")
+def discovered_files(v: Views):
+    return file_source.discover(v.paths).select("repository_id", "path", "size")
 
 
 @query("language_s4_source_flag_s5", PATHS + f"""

@@ -55,7 +55,7 @@ def embedded_sql(name: str, key: str, text: str, source: str) -> str:
 {name} AS MATERIALIZED (SELECT r.{key}, r.repository_id, r.bucket, CAST(CAST(r.x / n.len AS FLOAT) AS DOUBLE) AS x FROM {name}_raw r JOIN {name}_norm n ON n.{key} = r.{key} WHERE n.len > 0)"""
 
 
-EMBED_TEXT_SQL = f"concat_ws(' ', symbol_type, symbol_name, parent, route, file_path, {words_sql('symbol_name')}, substring(content, 1, 1200))"
+EMBED_TEXT_SQL = f"concat_ws(' ', symbol_type, symbol_name, parent, route, file_path, {words_sql('symbol_name')}, content)"
 
 
 @query("embedded_entities_f1_p14", ctes("entity_text") + "," + embedded_sql("ev", "id", EMBED_TEXT_SQL, "entity_text") + """

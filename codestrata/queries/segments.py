@@ -33,7 +33,7 @@ def text_windows(v: Views):
 
 
 @query("heading_sections_g2", DOCS + LINES + SECTIONS + """
-SELECT repository_id, path, concat(base, ' › ', CASE WHEN regexp_matches(head, '^#{1,3}\\s') THEN substring(regexp_replace(head, '^#+\\s*', ''), 1, 80) ELSE base END) AS symbol_name,
+SELECT repository_id, path, concat(base, ' › ', CASE WHEN regexp_matches(head, '^#{1,3}\\s') THEN regexp_replace(head, '^#+\\s*', '') ELSE base END) AS symbol_name,
  start_line, end_line, md5(content) AS digest FROM cut WHERE regexp_matches(content, '\\S')""")
 def heading_sections(v: Views):
     made = chunks.chunk_files(v.doc_files.where("language = 'Markdown'"))

@@ -60,8 +60,8 @@ def accessible_projects(v: Views):
 
 @query("project_match_j11", REPOS + """
 , folders AS (SELECT concat('/srv/c', CAST(c_custkey AS VARCHAR)) AS folder, concat('acme/C', CAST(c_custkey AS VARCHAR)) AS name FROM customer)
-SELECT f.folder, coalesce((SELECT min(id) FROM repositories r WHERE r.url = f.folder),
- (SELECT min(id) FROM repositories r WHERE lower(r.full_name) = lower(f.name) AND r.status <> 'error')) AS id FROM folders f""")
+SELECT f.folder, coalesce((SELECT arg_max(id, (created_at, id)) FROM repositories r WHERE r.url = f.folder),
+ (SELECT arg_max(id, (created_at, id)) FROM repositories r WHERE lower(r.full_name) = lower(f.name) AND r.status <> 'error')) AS id FROM folders f""")
 def project_match(v: Views):
     key = F.col("c_custkey").cast("string")
     folders = v.customer.select(F.concat(F.lit("/srv/c"), key).alias("folder"), F.concat(F.lit("git@github.com:acme/C"), key, F.lit(".git")).alias("remote"))
@@ -77,7 +77,7 @@ RECORD = f"""concat('{{"id":', cast(c_custkey as string), ',"name":"', c_name, '
 @query("repository_metadata_s15", """
 SELECT c_custkey AS id, concat('acme/', c_name) AS full_name, c_name AS name, 'acme' AS owner, CASE WHEN c_nationkey % 3 = 0 THEN 'Organization' ELSE 'User' END AS owner_type,
  c_nationkey % 2 = 0 AS private, concat('https://github.com/acme/', c_name) AS url, concat('about ', c_mktsegment) AS description, c_nationkey AS stars, c_nationkey + 1 AS forks, 'Go' AS language, 12 AS size_kb,
- 'main' AS default_branch, '2024-01-02' AS updated_at, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'a,b,c,d,e,f' END AS topics, false AS archived FROM customer""")
+ 'main' AS default_branch, '2024-01-02' AS updated_at, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('a,b,c,d,e,f,', c_mktsegment) END AS topics, false AS archived FROM customer""")
 def repository_metadata(v: Views):
     flat = catalog.flatten_metadata(v.customer.select(F.expr(RECORD).alias("raw")))
     return flat.withColumn("topics", F.array_join("topics", ","))
@@ -98,35 +98,49 @@ def file_content(v: Views):
     return content.select("repository_id", "path", F.md5("content").alias("digest"))
 
 
-# The files of every repository are written, then two repositories are replaced.
+# The files of every repository are written; then two repositories are replaced, and a third is indexed to no rows.
 @query("replaced_repositories_s8", ctes("files") + """
-SELECT repository_id, path, language, line_count + CASE WHEN repository_id IN ('repo0', 'repo1') THEN 1 ELSE 0 END AS line_count FROM files""")
+SELECT repository_id, path, language, line_count + CASE WHEN repository_id IN ('repo0', 'repo1') THEN 1 ELSE 0 END AS line_count FROM files
+WHERE repository_id <> 'repo2'""")
 def replaced_repositories(v: Views):
     folder = scratch_folder(v.spark, "files")
     store.replace_repositories(v.files, folder)
     changed = v.files.where(F.col("repository_id").isin("repo0", "repo1")).withColumn("line_count", F.col("line_count") + 1)
-    store.replace_repositories(changed, folder)
+    indexed = v.spark.createDataFrame([("repo0",), ("repo1",), ("repo2",)], "repository_id string")
+    store.replace_repositories(changed, folder, indexed)
     return v.spark.read.parquet(folder).select("repository_id", "path", "language", "line_count")
 
 
-# The data folder itself as a corpus: file contents are not opened, since only paths and sizes are wanted.
-@query("corpus_scan_s1")
+# Every document is written as a file, many under names that file readers pass over, and scanned back.
+CORPUS = """select concat('r', cast(doc_id % 7 as string)) as repository_id, text as content, concat(cast(doc_id as string),
+ case doc_id % 6 when 0 then '/__init__.py' when 1 then '/_app.tsx' when 2 then '/.env.example' when 3 then '/__tests__/x.ts' when 4 then '/.github/a b.yml' else '/main.py' end) as path
+ from documents"""
+
+
+@query("corpus_scan_s1", f"WITH corpus AS ({CORPUS}) SELECT repository_id, path, strlen(content) AS size, md5(content) AS digest FROM corpus")
 def corpus_scan(v: Views):
-    return file_source.scan_corpus(v.spark, v.sf_dir, depth=0, max_bytes=None).select("path", "size")
+    v.documents.createOrReplaceTempView("documents")
+    folder = scratch_folder(v.spark, "corpus")
+    file_source.write_corpus(v.spark.sql(CORPUS), folder)
+    return file_source.scan_corpus(v.spark, folder).select("repository_id", "path", "size", F.md5("content").alias("digest"))
 
 
-# Repositories named by a rule are deleted; what is left of each table is counted.
+# All tables are stored and two repositories deleted from the store; what is left of each table is counted.
 @query("cascade_delete_s9", ctes("code_entities", "relationships", "files", "file_imports") + """
 SELECT 'code_entities' AS name, repository_id, count(*) AS n FROM code_entities WHERE repository_id NOT IN ('repo1', 'repo2') GROUP BY ALL
 UNION ALL SELECT 'relationships', repository_id, count(*) FROM relationships WHERE repository_id NOT IN ('repo1', 'repo2') GROUP BY ALL
 UNION ALL SELECT 'files', repository_id, count(*) FROM files WHERE repository_id NOT IN ('repo1', 'repo2') GROUP BY ALL
 UNION ALL SELECT 'file_imports', repository_id, count(*) FROM file_imports WHERE repository_id NOT IN ('repo1', 'repo2') GROUP BY ALL""")
 def cascade_delete(v: Views):
-    tables = {n: getattr(v, n) for n in ("code_entities", "relationships", "files", "file_imports")}
+    root = scratch_folder(v.spark, "store")
+    names = ("code_entities", "relationships", "files", "file_imports")
+    for name in names:
+        store.replace_repositories(getattr(v, name), f"{root}/{name}")
     deleted = v.spark.createDataFrame([("repo1",), ("repo2",)], "repository_id string")
+    store.delete_repositories(v.spark, store.tables_under(v.spark, root), deleted)
     out = None
-    for name, df in store.without_repositories(tables, deleted).items():
-        counted = df.groupBy("repository_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "repository_id", "n")
+    for name in names:
+        counted = v.spark.read.parquet(f"{root}/{name}").groupBy("repository_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "repository_id", "n")
         out = counted if out is None else union_all(out, counted)
     return out
 
@@ -173,7 +187,7 @@ def event_file_round_trip(v: Views):
 PATHS_SQL = f"""
 , token AS (SELECT question_id, repository_id, p, i FROM (SELECT question_id, repository_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (
   SELECT *, list_filter(f, lambda x, j: list_position(f, x) = j) AS ps FROM (SELECT *, regexp_extract_all(text, {lit(C.ANSWER_PATH_PATTERN)}) AS f FROM answers)))
-  WHERE i <= 40 AND contains(p, '/')),
+  WHERE contains(p, '/')),
 missing AS (SELECT * FROM token t WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.repository_id = t.repository_id AND (f.path = t.p OR suffix(f.path, concat('/', t.p))))),
 wrong AS (SELECT question_id, list_filter(c, lambda x, j: (x < 1 OR x > 6) AND list_position(c, x) = j) AS c FROM (
   SELECT question_id, list_transform(regexp_extract_all(text, '\\[S(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS c FROM answers))"""
@@ -185,6 +199,12 @@ def answer_path_list(v: Views):
     return v.answers.select("question_id", F.explode(answer_paths(F.col("text"))).alias("path"))
 
 
+# The paths a small check would take.
+@query("first_answer_paths_v1", ANSWERS + PATHS_SQL + f" SELECT question_id, p AS path FROM token WHERE i <= {C.MAX_ANSWER_PATHS}")
+def first_answer_paths(v: Views):
+    return v.answers.select("question_id", F.explode(answer_paths(F.col("text"), C.MAX_ANSWER_PATHS)).alias("path"))
+
+
 @query("unverified_paths_v2_j8", ANSWERS + PATHS_SQL + " SELECT question_id, p AS path FROM missing")
 def unverified_paths(v: Views):
     asked = v.answers.select("repository_id", "question_id", F.explode(answer_paths(F.col("text"))).alias("path"))

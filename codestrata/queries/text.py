@@ -28,7 +28,7 @@ TOKEN_PARTS_SQL = (
     "list_concat([lower(t)], list_transform(string_split_regex(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[\\s_]+'), lambda p: lower(p)))))"
 )
 UNDERSTOOD = f"""
-, understood AS MATERIALIZED (SELECT *, list_slice({ordered_distinct_sql('parts')}, 1, 16) AS terms, {ordered_distinct_sql('named')} AS identifiers,
+, understood AS MATERIALIZED (SELECT *, {ordered_distinct_sql('parts')} AS terms, {ordered_distinct_sql('named')} AS identifiers,
    CASE {' '.join(f"WHEN regexp_matches(lower(text), {lit(p)}) THEN '{k}'" for k, p in C.QUESTION_PATTERNS)} ELSE 'general' END AS query_type,
    regexp_matches(text, {lit(C.ABOUT_TESTS_PATTERN)}) AS about_tests
   FROM (SELECT *, list_filter({TOKEN_PARTS_SQL}, lambda w: length(w) >= 2 AND w NOT IN {any_of(C.STOP_WORDS)}) AS parts,
@@ -58,12 +58,20 @@ def question_terms(v: Views):
 
 
 # Keyword terms of running prose: every document is read as a question.
-@query("document_terms_p3", "WITH questions AS (SELECT doc_id AS question_id, text FROM documents)" + UNDERSTOOD.replace(", 1, 16)", ", 1, 16)") + """
+@query("document_terms_p3", "WITH questions AS (SELECT doc_id AS question_id, text FROM documents)" + UNDERSTOOD + """
  SELECT question_id, array_to_string(terms, ',') AS terms FROM understood""")
 def document_terms(v: Views):
     return v.documents.select(F.col("doc_id").alias("question_id"), F.array_join(text.keyword_terms(F.col("text")), ",").alias("terms"))
 
 
+# The terms a small prompt would take.
+@query("first_terms_p3", "WITH questions AS (SELECT doc_id AS question_id, text FROM documents)" + UNDERSTOOD + f"""
+ SELECT question_id, array_to_string(list_slice(terms, 1, {C.MAX_KEYWORDS}), ',') AS terms FROM understood""")
+def first_terms(v: Views):
+    terms = text.keyword_terms(F.col("text"), C.MAX_KEYWORDS)
+    return v.documents.select(F.col("doc_id").alias("question_id"), F.array_join(terms, ",").alias("terms"))
+
+
 IDENTIFIERS = (f"concat('HTTPServer', {CAMEL}, '_', {BRAND}, '.get', upper(substring(p_name, 1, 1)), substring(p_type, 1, 3), '/x-', cast(p_partkey as string))")
 
 
@@ -109,13 +117,13 @@ def clip_lines(v: Views):
 
 
 @query("embedding_text_p14", ctes("entity_text") + f"""
-SELECT id, md5(concat_ws(' ', symbol_type, symbol_name, parent, route, file_path, {words_sql('symbol_name')}, substring(content, 1, 1200))) AS digest,
+SELECT id, md5(concat_ws(' ', symbol_type, symbol_name, parent, route, file_path, {words_sql('symbol_name')}, substring(content, 1, {C.EMBEDDING_CONTENT_CHARS}))) AS digest,
  md5(concat_ws(' ', symbol_type, symbol_name, parent, route, file_path, {words_sql('symbol_name')}, content)) AS whole_digest FROM entity_text""")
 def embedding_text(v: Views):
     c = F.col
     args = [c("symbol_type"), c("symbol_name"), c("parent"), c("route"), c("file_path"), c("content")]
     return v.entity_text.select(
-        "id", F.md5(text.embedding_text(*args)).alias("digest"), F.md5(text.embedding_text(*args, content_chars=None)).alias("whole_digest")
+        "id", F.md5(text.embedding_text(*args, content_chars=C.EMBEDDING_CONTENT_CHARS)).alias("digest"), F.md5(text.embedding_text(*args)).alias("whole_digest")
     )
 
 

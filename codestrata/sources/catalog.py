@@ -14,8 +14,9 @@ RAW_REPOSITORY = (
 )
 
 
-def flatten_metadata(records: DataFrame, raw: str = "raw") -> DataFrame:
-    """Provider API records (JSON text) as flat columns; topics cut to six."""
+def flatten_metadata(records: DataFrame, raw: str = "raw", max_topics: int | None = None) -> DataFrame:
+    """Provider API records (JSON text) as flat columns; topics cut to `max_topics` if wanted."""
+    topics = F.coalesce("r.topics", F.array().cast("array<string>"))
     r = F.from_json(raw, RAW_REPOSITORY)
     return records.select(r.alias("r")).select(
         F.col("r.id").alias("id"), F.col("r.full_name").alias("full_name"), F.col("r.name").alias("name"),
@@ -25,7 +26,7 @@ def flatten_metadata(records: DataFrame, raw: str = "raw") -> DataFrame:
         F.col("r.stargazers_count").alias("stars"), F.col("r.forks_count").alias("forks"), F.col("r.language").alias("language"),
         F.col("r.size").alias("size_kb"), F.col("r.default_branch").alias("default_branch"),
         F.col("r.pushed_at").alias("updated_at"),
-        F.slice(F.coalesce("r.topics", F.array().cast("array<string>")), 1, 6).alias("topics"),
+        (topics if max_topics is None else F.slice(topics, 1, max_topics)).alias("topics"),
         F.col("r.archived").alias("archived"),
     )
 
@@ -63,14 +64,14 @@ def accessible_with_projects(accessible: DataFrame, repositories: DataFrame) ->
 def match_projects(folders: DataFrame, repositories: DataFrame) -> DataFrame:
     """folders(folder, remote) to a project: same local path first, else same remote repository that has no error.
 
-    Returns (folder, id). Two equi-joins, each reduced to the first project per key beforehand.
+    Returns (folder, id). Two equi-joins, each reduced to the newest project per key beforehand.
     """
     local = repositories.where(F.col("url").rlike(C.LOCAL_PATH_PATTERN)).groupBy(F.col("url").alias("folder")).agg(
-        F.min("id").alias("local_id")
+        F.max_by("id", F.struct("created_at", "id")).alias("local_id")
     )
     linked = repositories.where((F.col("status") != "error") & F.col("full_name").isNotNull()).groupBy(
         F.lower("full_name").alias("remote_name")
-    ).agg(F.min("id").alias("linked_id"))
+    ).agg(F.max_by("id", F.struct("created_at", "id")).alias("linked_id"))
     named = folders.withColumn("remote_name", F.lower(remote_full_name(F.col("remote"))))
     return named.join(local, "folder", "left").join(linked, "remote_name", "left").select(
         "folder", F.coalesce("local_id", "linked_id").alias("id")

@@ -2,42 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codestrata.functions import constants as C
 from codestrata.functions.paths import is_ignored, is_source_language, language_of, module_of
-from codestrata.operators.ranking import top_k
+from codestrata.operators.ranking import place, top_k
+
+
+def _folder(root: str) -> tuple[FileSystem, str]:
+    if "://" in root or root.startswith("file:"):
+        return FileSystem.from_uri(root)
+    return LocalFileSystem(), root
+
+
+def _children(root: str):
+    """Rows of folders (path below the root) → rows of the folders in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _folder(root)
+        for batch in batches:
+            found = []
+            for folder in batch.column(0).to_pylist():
+                inside = system.get_file_info(FileSelector(f"{base}/{folder}".rstrip("/")))
+                found += [f"{folder}/{i.base_name}".lstrip("/") for i in inside if i.type == FileType.Directory]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["repository_id"])
+
+    return run
+
+
+def _listed(root: str):
+    """Rows of repositories → rows of all their files, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _folder(root)
+        for batch in batches:
+            for repository in batch.column(0).to_pylist():
+                top = f"{base}/{repository}".rstrip("/")
+                inside = [i for i in system.get_file_info(FileSelector(top, recursive=True)) if i.type == FileType.File]
+                for at in range(0, len(inside), 10_000):
+                    some = inside[at:at + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([repository] * len(some), pa.string()), pa.array([i.path[len(top):].lstrip("/") for i in some], pa.string()), pa.array([i.size for i in some], pa.int64())],
+                        ["repository_id", "path", "size"])
+
+    return run
 
 
-def scan_corpus(spark: SparkSession, root: str, depth: int = 1, max_bytes: int | None = C.MAX_FILE_BYTES) -> DataFrame:
-    """Raw files under `root`, whose first `depth` directory levels name the repository.
+def _opened(root: str):
+    """Adds the text of every file, one file a batch: a task holds one file at a time."""
 
-    Returns (repository_id, path, size, content). The length filter reaches the source, which then never opens the
-    larger files.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _folder(root)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                where = "/".join(x for x in (base.rstrip("/"), row.column(0)[0].as_py(), row.column(1)[0].as_py()) if x)
+                with system.open_input_stream(where) as file:
+                    text = file.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text], pa.string())], ["repository_id", "path", "size", "content"])
+
+    return run
+
+
+def list_corpus(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
+    """(repository_id, path, size) of every file under `root`, whose first `depth` directory levels name the repository.
+
+    Folders are listed in tasks, one repository a row. Names that begin with a dot or an underscore count like others.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    folders = spark.createDataFrame([("",)], "repository_id string")
+    for _ in range(depth):
+        folders = place(folders.mapInArrow(_children(root), "repository_id string"), "repository_id")
+    return folders.mapInArrow(_listed(root), "repository_id string, path string, size long")
+
+
+def scan_corpus(spark: SparkSession, root: str, depth: int = 1, max_bytes: int | None = None) -> DataFrame:
+    """Raw files under `root`: (repository_id, path, size, content), `depth` as in `list_corpus`.
+
+    Files larger than `max_bytes`, if given, are not opened. Bytes that are not UTF-8 become replacement characters.
+    """
+    files = list_corpus(spark, root, depth)
     if max_bytes is not None:
-        files = files.where((F.col("length") > 0) & (F.col("length") <= max_bytes))
-    # Paths come back as URIs: everything behind the root folder's own path is relative.
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
-    relative = F.expr(f"substring(path, instr(path, {_quoted(base)}) + {len(base)})")
-    parts = F.split(relative, "/")
-    return files.select(
-        F.array_join(F.slice(parts, F.lit(1), F.lit(depth)), "/").alias("repository_id"),
-        F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/").alias("path"),
-        F.col("length").alias("size"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-    )
+        files = files.where(F.col("size") <= max_bytes)
+    return place(files, "repository_id", "path").mapInArrow(_opened(root), "repository_id string, path string, size long, content string")
+
+
+def write_corpus(files: DataFrame, root: str) -> int:
+    """Writes files(repository_id, path, content) under `root`/repository_id/path; returns their number."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _folder(root)
+        for batch in batches:
+            for repository, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                where = f"{base}/{repository}/{path}"
+                system.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(where) as file:
+                    file.write((content or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return files.select("repository_id", "path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def discover(raw: DataFrame, max_bytes: int | None = C.MAX_FILE_BYTES, max_files: int | None = None) -> DataFrame:
+def discover(raw: DataFrame, max_bytes: int | None = None, max_files: int | None = None) -> DataFrame:
     """Keeps files of a known language outside ignored places; adds language, is_source and module.
 
-    raw(repository_id, path, size, …). `max_files=6000` keeps the first files of each repository in path order.
+    raw(repository_id, path, size, …). `max_bytes` leaves out larger files, `max_files` keeps the first files of each
+    repository in path order.
     """
     kept = raw.where(~is_ignored(F.col("path"))).withColumn("language", language_of(F.col("path")))
     kept = kept.where(F.col("language").isNotNull() & (F.col("size") > 0))

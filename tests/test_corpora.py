@@ -50,7 +50,7 @@ EXPECTED = [
     ("py", "app/main.py", "read_user", 12, 22, "function", None, True, "GET /users/{id}"),
     ("py", "app/main.py", "User", 25, 33, "model", None, True, None),
     ("py", "app/main.py", "full", 28, 29, "method", "User", True, None),
-    ("py", "app/main.py", "Meta", 31, 33, "class", "User", True, None),
+    ("py", "app/main.py", "Meta", 31, 33, "class", None, True, None),
     ("py", "app/main.py", "inner", 32, 33, "method", "Meta", True, None),
     ("py", "app/main.py", "_login", 36, 41, "function", None, False, "POST /login"),
     ("py", "app/main.py", "last", 45, 45, "function", None, True, None),
@@ -142,7 +142,8 @@ DOCS = [
 
 def test_discovery_and_chunks(spark):
     raw = spark.createDataFrame(DOCS, "repository_id string, path string, content string").withColumn("size", F.length("content"))
-    kept = file_source.discover(raw)
+    kept = file_source.discover(raw, 512 * 1024)
+    assert {r.path for r in file_source.discover(raw).collect()} == {r.path for r in kept.collect()} | {"big.json"}
     assert {r.path for r in kept.collect()} == {"README.md", "notes.vue", "src/.env.example"}
     pieces = [(r.file_path, r.symbol_name, r.symbol_type, r.start_line, r.end_line) for r in chunks.chunk_files(kept).collect()]
     assert set(pieces) == {
@@ -159,5 +160,12 @@ def test_scan_corpus(spark, tmp_path):
     (tmp_path / "r2").mkdir()
     (tmp_path / "r2" / "b.md").write_text("# B\n")
     (tmp_path / "r2" / "empty.md").write_text("")
+    hidden = ["pkg/__init__.py", "pkg/_util.py", ".env.example", "src/__tests__/x.ts", "pages/_app.tsx", ".git/config", "a b/ü.py"]
+    for name in hidden:
+        (tmp_path / "r3" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r3" / name).write_text(name)
+    (tmp_path / "r3" / "latin.txt").write_bytes(b"\xe9")
     rows = {(r.repository_id, r.path, r.content) for r in file_source.scan_corpus(spark, str(tmp_path)).collect()}
-    assert rows == {("r1", "src/a.py", "def f():\n    return 1\n"), ("r2", "b.md", "# B\n")}
+    assert rows == {("r1", "src/a.py", "def f():\n    return 1\n"), ("r2", "b.md", "# B\n"), ("r2", "empty.md", ""), ("r3", "latin.txt", "\ufffd")} | {("r3", n, n) for n in hidden}
+    small = {r.path for r in file_source.scan_corpus(spark, str(tmp_path), max_bytes=4).collect()}
+    assert small == {"b.md", "empty.md", "latin.txt"}

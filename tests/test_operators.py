@@ -143,3 +143,40 @@ def test_replace_and_delete(spark, tmp_path):
     assert rows(spark.read.parquet(path)) == {("a", "9"), ("b", "3")}
     left = store.without_repositories({"files": spark.read.parquet(path)}, spark.createDataFrame([("b",)], "repository_id string"))
     assert rows(left["files"]) == {("a", "9")}
+
+
+def test_replace_to_nothing_and_delete_in_the_store(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "repository_id string, path string, line_count long")
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "repository_id string")
+    files, edges = str(tmp_path / "files"), str(tmp_path / "edges")
+    for path in (files, edges):
+        store.replace_repositories(make([("a/x", "1", 1), ("b", "2", 2), ("c d", "3", 3)]), path)
+    store.replace_repositories(make([("b", "9", 9)]), edges, ids("a/x", "b"))
+    rows = lambda path: {(r.repository_id, r.path) for r in spark.read.parquet(path).collect()}
+    assert rows(edges) == {("b", "9"), ("c d", "3")} and rows(files) == {("a/x", "1"), ("b", "2"), ("c d", "3")}
+    store.delete_repositories(spark, store.tables_under(spark, str(tmp_path)), ids("b", "none", "c d"))
+    assert rows(files) == {("a/x", "1")} and not list((tmp_path / "edges").glob("repository_id=*"))
+
+
+def test_stream_state_is_released(spark, tmp_path):
+    schema = event_files.EVENT_SCHEMA if isinstance(event_files.EVENT_SCHEMA, str) else event_files.EVENT_SCHEMA.simpleString()
+    path = tmp_path / "timed"
+    path.mkdir()
+
+    def arrive(number, minute, rows):
+        df = spark.createDataFrame(rows, schema).withColumn("at", F.lit(f"2024-01-01 00:{minute:02d}:00").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(path))
+
+    arrive(0, 0, EVENTS)
+    timed = spark.readStream.schema(spark.read.parquet(str(path)).schema).parquet(str(path))
+    query = fold_stream(timed, "append", "at", "5 minutes", "1 minute").format("memory").queryName("timed").start()
+    held = []
+    for number, minute in enumerate((10, 20, 30), 1):
+        query.processAllAvailable()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        arrive(number, minute, [(100 + number, 0, "delta", "later", None, None)])
+    query.processAllAvailable()
+    held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    query.stop()
+    assert max(held) >= 2 and held[-1] == 1
+    assert FOLDED <= {tuple(r) for r in spark.table("timed").collect()}

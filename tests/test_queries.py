@@ -14,10 +14,7 @@ from codestrata.queries import load_all
 from codestrata.queries.views import BASE
 
 FOLDER = os.environ.get("CODESTRATA_TEST_DATA", "/root/testdata/sf0.001")
-# Long jobs: all of them run with CODESTRATA_ALL=1; their parts are covered by the other tests.
-LONG = ("index_corpus", "evidence_meta", "related_entities", "evidence_strength", "target_of_question", "definition_text", "rank_fusion",
-        "impact_report", "impact_severity", "impact_order", "impact_and_via")
-QUERIES = {n: q for n, q in load_all().items() if q.sql and (os.environ.get("CODESTRATA_ALL") or not n.startswith(LONG))}
+QUERIES = load_all()
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +36,8 @@ def test_matches_sql(spark, duck, name):
     assert mine[1] == theirs[1]
 
 
-def test_all_but_the_scan_have_sql():
-    assert [n for n, q in load_all().items() if not q.sql] == ["corpus_scan_s1"]
+def test_all_have_sql():
+    assert [n for n, q in load_all().items() if not q.sql] == []
 
 
 @pytest.mark.parametrize("name", ["neighbours_j1", "unverified_paths_v2_j8", "call_edges_e7_e8", "import_targets_e2_e3_e4_e5",
