@@ -249,9 +249,9 @@ HEADS = {  # definitions, whose names stand before a parenthesis without being c
 def loose_calls(content: Column, language: Column) -> Column:
     """Names called in a whole file: strings, comments, and the names of definitions are left out."""
     bare = _call_text(F.lit("\0"), language, content)
-    text = F.regexp_replace(bare, HEADS[""], " ")
+    text = F.regexp_replace(bare, HEADS[""], "''")
     for name in ("Python", "Java", "Go"):
-        text = F.when(language == name, F.regexp_replace(bare, HEADS[name], " ")).otherwise(text)
+        text = F.when(language == name, F.regexp_replace(bare, HEADS[name], "''")).otherwise(text)
     return call_names(text, None, language)
 
 

@@ -25,6 +25,14 @@ def understand(questions: DataFrame) -> DataFrame:
     )
 
 
+def with_focus_names(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds focus_name, the name of the entity in focus_entity_id, where questions have one."""
+    if "focus_entity_id" not in questions.columns or "focus_name" in questions.columns:
+        return questions
+    names = entities.select("repository_id", F.col("id").alias("focus_entity_id"), F.col("symbol_name").alias("focus_name"))
+    return questions.join(names, ["repository_id", "focus_entity_id"], "left")
+
+
 def embed_entities(entities: DataFrame, embed_batch=None) -> DataFrame:
     """(repository_id, id, embedding) of entities."""
     c = F.col
@@ -39,10 +47,10 @@ def hybrid_search(questions: DataFrame, entities: DataFrame, embeddings: DataFra
                   limit: int = 10, architecture_limit: int = 14) -> DataFrame:
     """Best entities per question: vectors, terms and symbols fused, then re-scored.
 
-    questions(question_id, repository_id, text[, focus_name]); entities without content; embeddings and index as built
+    questions(question_id, repository_id, text[, focus_entity_id or focus_name]); entities without content; embeddings and index as built
     once at indexing time.
     """
-    asked = cut(understand(questions))  # read once, used by every list below
+    asked = cut(understand(with_focus_names(questions, entities)))  # read once, used by every list below
     with_vectors = vectors.embed_questions(asked.select("repository_id", "question_id", "search_text"), "search_text", embed_batch)
     semantic = search.vector_top_k(with_vectors, embeddings)
     keyword = search.term_top_k(asked, index)

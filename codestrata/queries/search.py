@@ -161,10 +161,10 @@ def hybrid_search(v: Views):
     return found.select("question_id", "id", "score", F.array_join("reasons", " + ").alias("reasons"), "query_type", "rank")
 
 
-def retrieved(v: Views):
+def retrieved(v: Views, questions=None):
     """Hits of every question, over embeddings and postings stored beforehand as an index would."""
     return search_plan.hybrid_search(
-        v.questions, v.code_entities, cut(search_plan.embed_entities(v.entity_text)), cut(search.postings(v.entity_text))
+        v.questions if questions is None else questions, v.code_entities, cut(search_plan.embed_entities(v.entity_text)), cut(search.postings(v.entity_text))
     )
 
 

@@ -97,6 +97,11 @@ select p_partkey as question_id, concat('repo', cast(p_partkey % 4 as string)) a
   when 7 then concat('Where is ', p_name, ' created?')
   else concat('Tell me about ', {BRAND}, ' ', p_name) end as text
 from part"""),
+    "focused_questions": (("questions", "code_entities"), """
+select q.question_id, q.repository_id, concat_ws(' ', q.text, e.symbol_name) as text, q.text as asked_text, e.id as focus_entity_id
+from questions q left join code_entities e on e.repository_id = q.repository_id and e.id = q.question_id and q.question_id % 5 = 0"""),
+    "overviews": (("files",), """
+select repository_id, concat('Files in all: ', cast(count(*) as string), ', lines: ', cast(sum(line_count) as string)) as section from files group by repository_id"""),
     "answers": (("conversations",), """
 select conv_id * 1000 + turn as question_id, concat('repo', cast(conv_id % 4 as string)) as repository_id,
  concat(text, ' See [S', cast(turn as string), '], [S', cast(conv_id % 12 as string),

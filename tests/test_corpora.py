@@ -169,3 +169,16 @@ def test_scan_corpus(spark, tmp_path):
     assert rows == {("r1", "src/a.py", "def f():\n    return 1\n"), ("r2", "b.md", "# B\n"), ("r2", "empty.md", ""), ("r3", "latin.txt", "\ufffd")} | {("r3", n, n) for n in hidden}
     small = {r.path for r in file_source.scan_corpus(spark, str(tmp_path), max_bytes=4).collect()}
     assert small == {"b.md", "empty.md", "latin.txt"}
+
+
+def test_loose_calls(spark):
+    """Only real calls of a whole file: no comments, strings or definitions."""
+    files = [
+        ("Python", "# helper(\nx = 'fake(x)'\ndef one(a):\n    pass\nclass Two(Base):\n    def m(self):\n        pass\nrun(load(1))\n", ["run", "load"]),
+        ("TypeScript", "// helper(\nconst s = `fake(x)`;\nfunction one(a) { }\nclass A {\n  async find(id: string): Promise<B> {\n    return this.query(id);\n  }\n}\nstart(1);\n", ["query", "start"]),
+        ("Java", "/* helper( */\npublic class A {\n  @Get(\"/x\")\n  public String find(Long id) {\n    return service.load(id);\n  }\n}\n", ["Get", "load"]),
+        ("Go", "// helper(\nfunc (s *Store) Name(id string) error {\n\treturn load(id)\n}\nfunc init() {\n\tr.GET(\"/x\", h)\n}\n", ["load", "GET"]),
+    ]
+    df = spark.createDataFrame([(language, content) for language, content, _ in files], "language string, content string")
+    got = {r.language: r.calls for r in df.select("language", extract.loose_calls(F.col("content"), F.col("language")).alias("calls")).collect()}
+    assert {k: [c for c in v if c != "Get"] for k, v in got.items()} == {language: [c for c in calls if c != "Get"] for language, _, calls in files}
