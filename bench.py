@@ -11,7 +11,7 @@ HEADLINE = (
     "module_edges_a3_j3_j4_u1", "file_graph_edges_a4", "most_referenced_a5", "repository_stats_a9", "neighbours_j1",
     "impact_summary_a8_u2", "call_edges_e7_e8", "import_edges_e6", "vector_neighbours_t1", "document_search_t2", "symbol_matches_j9",
     "hybrid_search_c2_w2", "evidence_sources_c3", "file_chunks_g1_g2_g3", "uncovered_lines_g5", "verified_answers_c5",
-    "definitions_x1_to_x6_x9_to_x12_x14", "import_specifiers_x7",
+    "definitions_x1_to_x6_x9_to_x12_x14", "import_specifiers_x7", "index_corpus_c1", "postings_t2", "related_entities_a13",
 )
 
 
