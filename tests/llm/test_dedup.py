@@ -186,6 +186,6 @@ def test_repeated_strings_awkward(awkward, empty):
     assert len(rows) == awkward.count()
     by_id = {r.doc_id: r for r in rows}
     assert by_id[3].n_bytes == by_id[4].n_bytes == 0 and bytes(by_id[3].kept) == b""
-    assert bytes(by_id[7].kept) == b" x" and len(by_id[7].spans) == 1
+    assert bytes(by_id[7].kept) == b"x" and len(by_id[7].spans) == 1  # the words go round, so the blank before it has stood there too
     assert by_id[1].spans == [] and by_id[2].spans == []  # shorter than a string
     assert suffixes.without_repeats(empty).count() == 0
