@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Above this, Spark's partial group limit is not planned by default.
 PARTIAL_LIMIT = 1000
+# Input of a partition that `place` makes, partitions at most, and estimates that say nothing.
+PARTITION_BYTES, MOST_PARTITIONS, UNKNOWN_BYTES = 64 << 20, 100_000, 1 << 60
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -28,12 +30,20 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 
 
 def place(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffles by `keys` into the configured number of partitions.
+    """Shuffles by `keys` into the configured number of partitions, or more where the input is large.
 
     The explicit count keeps adaptive execution from merging partitions by size: the stages that follow are heavy on
     work per byte (regular expressions, matrix products), so small partitions are wanted.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(configured, min(MOST_PARTITIONS, -(-input_bytes(df) // PARTITION_BYTES))), *keys)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables `df` reads, as far as the optimizer knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)
 
 
 def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -49,7 +59,7 @@ def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def checkpoint_location(spark: SparkSession) -> None:
-    """Makes sure reliable checkpoints have a folder: the session's own, or a temporary one in local mode only."""
+    """Makes sure stored rows have a folder: the session's own, or a temporary one in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
@@ -69,16 +79,23 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` to the checkpoint folder and reads it from there: reused branches start from the stored rows."""
-    checkpoint_location(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes `df` as column files beside the checkpoints and reads it from there.
+
+    Reused branches start from the stored rows and read only the columns they need. The files go when the session ends.
+    """
+    spark = df.sparkSession
+    folder = scratch_folder(spark, "cut")
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def dense_ids(df: DataFrame, order: list[str], start: int = 1, id_col: str = "id") -> DataFrame:
     """Consecutive ids in `order`, without a single-task sort.
 
     Rows are range-partitioned and numbered inside each partition; partition offsets come from one row per partition.
-    The numbered rows are checkpointed, so both uses see the same ranges even if an executor is lost.
+    The numbered rows are stored, so both uses see the same ranges even if an executor is lost.
     """
     placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     numbered = cut(
