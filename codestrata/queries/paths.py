@@ -307,10 +307,18 @@ MANIFEST = f"""select p_partkey as id, concat('repo', cast(p_partkey % 50 as str
   when 3 then 'fastapi, sqlalchemy' when 4 then '"@nestjs/core": "9", "passport"' when 5 then p_name else 'spring-boot "prisma"' end as content from part"""
 
 
-@query("framework_tags_x15", f"WITH manifest AS ({MANIFEST}), " + f"""
-rule AS (SELECT unnest([{', '.join(lit(p) for p, _ in C.FRAMEWORK_PATTERNS)}]) AS pattern, unnest([{', '.join(lit(t) for _, t in C.FRAMEWORK_PATTERNS)}]) AS framework),
-first AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS r FROM manifest WHERE regexp_matches(path, {lit(C.MANIFEST_PATTERN)}) QUALIFY r <= 20)
-SELECT DISTINCT repository_id, framework FROM first, rule WHERE regexp_matches(content, pattern)""")
+RULES = f"""rule AS (SELECT unnest([{', '.join(lit(p) for p, _ in C.FRAMEWORK_PATTERNS)}]) AS pattern, unnest([{', '.join(lit(t) for _, t in C.FRAMEWORK_PATTERNS)}]) AS framework),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS r FROM manifest WHERE regexp_matches(path, {lit(C.MANIFEST_PATTERN)}))"""
+FEW_MANIFESTS = 20  # what a small index reads of a repository
+
+
+@query("framework_tags_x15", f"WITH manifest AS ({MANIFEST}), {RULES} SELECT DISTINCT repository_id, framework FROM ordered, rule WHERE regexp_matches(content, pattern)")
 def framework_tags(v: Views):
     v.part.createOrReplaceTempView("part")
     return stats.framework_tags(v.spark.sql(MANIFEST))
+
+
+@query("first_manifests_x15", f"WITH manifest AS ({MANIFEST}), {RULES} SELECT DISTINCT repository_id, framework FROM ordered, rule WHERE r <= {FEW_MANIFESTS} AND regexp_matches(content, pattern)")
+def first_manifests(v: Views):
+    v.part.createOrReplaceTempView("part")
+    return stats.framework_tags(v.spark.sql(MANIFEST), FEW_MANIFESTS)
