@@ -53,7 +53,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@registered("op4_bucket_refinement")
+@registered("op4_bucket_refinement", """
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+bytes as (select doc_id, cast(p as bigint) as p, substring(h, 2 * p + 1, 2) as byte, case when 2 * p + 200 <= length(h) then md5(substring(h, 2 * p + 1, 200)) end as string
+  from texts, unnest(range(length(h) // 2)) as r(p)),
+known as (select *, string is not null and row_number() over (partition by string order by doc_id, p) > 1 as again from bytes),
+marked as (select *, bool_or(again) over (partition by doc_id order by p rows between 99 preceding and current row) as gone from known),
+runs as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as opens from marked),
+counted as (select doc_id, count(*) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans,
+  sha256(unhex(coalesce(string_agg(byte, '' order by p) filter (where not gone), ''))) as kept_sha256 from runs group by doc_id)
+select t.doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(kept_sha256, sha256(unhex(''))) as kept_sha256
+from texts t left join counted c on c.doc_id = t.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
