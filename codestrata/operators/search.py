@@ -17,7 +17,7 @@ from codestrata.functions import constants as C
 from codestrata.functions.paths import is_generated_file, is_test_file
 from codestrata.functions.text import identifier_words
 
-from .ranking import place, top_k, union_all
+from .ranking import cut, place, top_k, union_all
 
 ENTITY_BLOCK = 8192
 TERM_BLOCK = 2048
@@ -26,7 +26,11 @@ DIGITS = 6
 
 
 def _with_blocks(df: DataFrame, id_col: str, rows_per_block: int, block: str, blocks: str) -> DataFrame:
-    """Adds a hash block of bounded expected size to every row, and the number of blocks of its repository."""
+    """Adds a hash block of bounded expected size to every row, and the number of blocks of its repository.
+
+    The repository is tied to the row's id first: a constant one would be moved out of the joins, which then have no key.
+    """
+    df = df.withColumn("repository_id", F.concat("repository_id", F.substring(F.col(id_col).cast("string"), 1, 0)))
     counts = df.groupBy("repository_id").agg(F.approx_count_distinct(id_col).alias("_n"))
     counts = counts.select("repository_id", F.greatest(F.ceil(F.col("_n") / rows_per_block), F.lit(1)).cast("int").alias(blocks))
     return df.join(counts, "repository_id").withColumn(
@@ -160,12 +164,13 @@ def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH,
     questions(question_id, repository_id, terms), index from `postings` → (repository_id, question_id, id, score, rank).
     The index is first cut to terms that are asked for; a question visits only blocks that hold one of its terms.
     """
-    asked = _with_blocks(search_terms(questions), "question_id", question_block, "qb", "qbs")
+    # stored: both are used for the counts, the tiles and the rows
+    asked = cut(_with_blocks(search_terms(questions), "question_id", question_block, "qb", "qbs"))
     wanted = asked.select("repository_id", "term", "qb").distinct()
     asked_for = index.select("repository_id", "id", "term", "weight").join(
         wanted.select("repository_id", "term").distinct(), ["repository_id", "term"], "left_semi"
     )
-    held = _with_blocks(asked_for, "id", entity_block, "eb", "ebs")
+    held = cut(_with_blocks(cut(asked_for), "id", entity_block, "eb", "ebs"))
     tiles = held.select("repository_id", "term", "eb").distinct().join(wanted, ["repository_id", "term"])
     left = held.join(tiles, ["repository_id", "term", "eb"]).select("repository_id", "eb", "qb", "id", "term", "weight")
     right = asked.join(tiles, ["repository_id", "term", "qb"]).select("repository_id", "eb", "qb", "question_id", "term")

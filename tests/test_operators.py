@@ -180,3 +180,31 @@ def test_stream_state_is_released(spark, tmp_path):
     query.stop()
     assert max(held) >= 2 and held[-1] == 1
     assert FOLDED <= {tuple(r) for r in spark.table("timed").collect()}
+
+
+def test_impact_of_a_hub(spark):
+    """An entity that 100,000 others call: all of them at depth 1, their one caller at depth 2."""
+    n = 100_000
+    entities = spark.range(n + 2).select(F.lit("r").alias("repository_id"), "id", F.lit("m.py").alias("file_path"), F.lit("n").alias("symbol_name"),
+                                         F.lit("function").alias("symbol_type"), F.lit(None).cast("string").alias("parent"))
+    calls = lambda source, target: spark.range(1, n + 1).select(F.lit("r").alias("repository_id"), source.alias("source_entity_id"), target.alias("target_entity_id"), F.lit("calls").alias("relationship_type"))
+    edges = calls(F.col("id"), F.lit(0).cast("long")).union(calls(F.lit(n + 1).cast("long"), F.col("id")))
+    found = impact.change_impact(entities.where("id = 0"), entities, edges).groupBy("depth").agg(F.count("*").alias("n"), F.min("via").alias("via")).collect()
+    assert {(r.depth, r.n, r.via) for r in found} == {(1, n, 0), (2, 1, 1)}
+
+
+def test_searches_of_one_large_repository(spark):
+    """A third of all vectors and of all words in one repository, named by a constant: exact, and without nested loops."""
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(900, 8)).round(3)
+    rows = [("big" if i % 3 == 0 else f"r{i % 50}", i, v.tolist()) for i, v in enumerate(vectors)]
+    held = spark.createDataFrame(rows, "repository_id string, id long, embedding array<double>")
+    asked = held.where("repository_id = 'big' and id % 30 = 0").select(F.lit("big").alias("repository_id"), F.col("id").alias("question_id"), "embedding")
+    found = search.vector_top_k(asked, held, 5, entity_block=32, question_block=4)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    big = np.array([i for r, i, _ in rows if r == "big"])
+    for q in {r.question_id for r in asked.collect()}:
+        scores = np.round(unit[big] @ unit[q], 6)
+        want = [int(big[i]) for i in np.lexsort((big, -scores))[:5]]
+        assert [r.id for r in found.where(F.col("question_id") == q).orderBy("rank").collect()] == want
