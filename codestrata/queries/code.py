@@ -87,3 +87,31 @@ def index_corpus(v: Views):
         counted = tables[name].groupBy("repository_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "repository_id", "n")
         out = counted if out is None else union_all(out, counted)
     return out
+
+
+# Components, enums, types, a controller, a record, interfaces, and functions of 451 lines: kind of file, name, type, first
+# line, last line, parent, exported, route, calls.
+WIDE = (
+    (0, f"concat({UPPER}, 'Kind')", "enum", 3, 3, "NULL", True, "NULL", ""), (0, f"concat({UPPER}, 'Props')", "interface", 5, 7, "NULL", True, "NULL", ""),
+    (0, f"concat({UPPER}, 'Key')", "type", 9, 9, "NULL", True, "NULL", ""), (0, f"concat({UPPER}, 'Card')", "component", 11, 13, "NULL", True, "NULL", "load"),
+    (0, f"concat({UPPER}, 'List')", "component", 15, 17, "NULL", True, "NULL", "show"), (0, f"concat({UPPER}, 'Controller')", "class", 19, 25, "NULL", True, "NULL", ""),
+    (0, "'find'", "method", 22, 24, f"concat({UPPER}, 'Controller')", True, f"concat('GET /', {BRAND}, '/:id')", "query"),
+    (1, SYMBOL, "function", 1, 451, "NULL", True, "NULL", "step"),
+    (2, f"concat('R', {KEY})", "class", 3, 7, "NULL", True, "NULL", ""), (2, "'twice'", "method", 4, 6, f"concat('R', {KEY})", True, "NULL", "times"),
+    (2, f"concat('I', {KEY})", "interface", 9, 11, "NULL", False, "NULL", ""), (2, "'find'", "method", 10, 10, f"concat('I', {KEY})", False, "NULL", ""),
+    (3, "'Reader'", "interface", 3, 5, "NULL", True, "NULL", ""), (3, "'Key'", "type", 8, 8, "NULL", True, "NULL", ""),
+)
+WIDE_PATH = "concat('src/', CASE p_size % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'l' WHEN 2 THEN 'R' ELSE 'g' END, CAST(p_partkey AS VARCHAR), CASE p_size % 4 WHEN 0 THEN '.tsx' WHEN 1 THEN '.py' WHEN 2 THEN '.java' ELSE '.go' END)"
+WIDE_SQL = " UNION ALL ".join(
+    f"SELECT concat('repo', CAST(p_partkey % 4 AS VARCHAR)) AS repository_id, {WIDE_PATH} AS file_path, {name} AS symbol_name, '{kind}' AS symbol_type, {first} AS start_line, "
+    f"{last} AS end_line, {parent} AS parent, {str(exported).lower()} AS exported, {route} AS route, '{calls}' AS calls FROM part WHERE p_size % 4 = {form}"
+    for form, name, kind, first, last, parent, exported, route, calls in WIDE
+)
+
+
+@query("wide_definitions_x1_to_x6_x12_p13", ctes("wide_files") + f", e AS ({WIDE_SQL})" + """
+SELECT e.*, md5(array_to_string(list_slice(string_split(f.content, chr(10)), e.start_line, e.end_line), chr(10))) AS digest
+FROM e JOIN wide_files f ON f.repository_id = e.repository_id AND f.path = e.file_path""")
+def wide_definitions(v: Views):
+    found = extract.extract_entities(v.wide_files).withColumn("calls", F.array_join("calls", ","))
+    return found.select("repository_id", "file_path", "symbol_name", "symbol_type", "start_line", "end_line", "parent", "exported", "route", "calls", F.md5("content").alias("digest"))

@@ -56,6 +56,17 @@ GO_CODE = _lines(
     "package f{key}", "", 'import "example.org/{brand}/f{next}"', "", "type Store struct {", "    name string", "}", "",
     "func (s *Store) {Name}(id string) error {", "    return load(id)", "}", "", "func init() {", '    r.GET("/{brand}/{key}", {name})', "}")
 
+TSX_CODE = _lines(
+    'import React from "react";', "", "export enum {Name}Kind { A, B }", "", "export interface {Name}Props {", "  id: string;", "}", "",
+    "export type {Name}Key = string;", "", "export function {Name}Card(props: {Name}Props) {", "  return <div>{load(props.id)}</div>;", "}", "",
+    "export const {Name}List = (props: {Name}Props) => {", "  return <ul>{show(props.id)}</ul>;", "};", "", "@Controller('/{brand}')", "export class {Name}Controller {",
+    "  @Get('/:id')", "  find(id: string) {", "    return this.query(id);", "  }", "}")
+JAVA_MORE = _lines(
+    "package com.acme.{brand};", "", "public record R{key}(Long id) {", "    public Long twice() {", "        return times(id);", "    }", "}", "", "interface I{key} {",
+    "    Long find(Long id);", "}")
+GO_MORE = _lines("package g{key}", "", "type Reader interface {", "    Read(id string) error", "}", "", "type (", "    Key string", ")")
+LONG_CODE = _lines("def {name}(x):").rstrip(")") + ", repeat(concat(chr(10), '    step(x)'), 450))"
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "code_entities": (("part",), f"""
 select p_partkey as id, concat('repo', cast(p_partkey % 4 as string)) as repository_id,
@@ -97,6 +108,10 @@ select p_partkey as question_id, concat('repo', cast(p_partkey % 4 as string)) a
   when 7 then concat('Where is ', p_name, ' created?')
   else concat('Tell me about ', {BRAND}, ' ', p_name) end as text
 from part"""),
+    "wide_files": (("part",), f"""
+select concat('repo', cast(p_partkey % 4 as string)) as repository_id, concat('src/', case p_size % 4 when 0 then 'C' when 1 then 'l' when 2 then 'R' else 'g' end, cast(p_partkey as string),
+ case p_size % 4 when 0 then '.tsx' when 1 then '.py' when 2 then '.java' else '.go' end) as path, {LANGUAGE} as language,
+ case p_size % 4 when 0 then {TSX_CODE} when 1 then {LONG_CODE} when 2 then {JAVA_MORE} else {GO_MORE} end as content from part"""),
     "focused_questions": (("questions", "code_entities"), """
 select q.question_id, q.repository_id, concat_ws(' ', q.text, e.symbol_name) as text, q.text as asked_text, e.id as focus_entity_id
 from questions q left join code_entities e on e.repository_id = q.repository_id and e.id = q.question_id and q.question_id % 5 = 0"""),
