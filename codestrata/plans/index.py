@@ -21,7 +21,7 @@ def staging_entities(texts: DataFrame) -> DataFrame:
     texts(repository_id, path, language, content).
     """
     parsed_files = texts.where(F.col("language").isin(*extract.PARSED))
-    parsed = extract.extract_entities(parsed_files)
+    parsed = cut(extract.extract_entities(parsed_files))  # rows of its own, ranges and counts for the module code
     modules = chunks.module_entities(parsed_files, parsed)
     cut_files = chunks.chunk_files(texts.where(~F.col("language").isin(*extract.PARSED)))
     none = F.lit(None).cast("string")

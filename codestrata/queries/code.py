@@ -115,3 +115,17 @@ FROM e JOIN wide_files f ON f.repository_id = e.repository_id AND f.path = e.fil
 def wide_definitions(v: Views):
     found = extract.extract_entities(v.wide_files).withColumn("calls", F.array_join("calls", ","))
     return found.select("repository_id", "file_path", "symbol_name", "symbol_type", "start_line", "end_line", "parent", "exported", "route", "calls", F.md5("content").alias("digest"))
+
+
+# The same run, edge by edge and entity by entity.
+@query("indexed_imports_c1", FILES + f", s AS ({SPEC_SQL})," + IMPORTED_SQL.split(",\nsite AS")[0] + " SELECT repository_id, source_file, target_file FROM imp")
+def indexed_imports(v: Views):
+    raw = v.code_files.select("repository_id", "path", F.length("content").alias("size"), "content")
+    return index.index_corpus(raw)["file_imports"].select("repository_id", "source_file", "target_file")
+
+
+@query("indexed_entities_c1", f"WITH e AS ({ENTITY_SQL}) SELECT repository_id, file_path, symbol_name, symbol_type, start_line, end_line, parent, exported, route FROM e")
+def indexed_entities(v: Views):
+    raw = v.code_files.select("repository_id", "path", F.length("content").alias("size"), "content")
+    return index.index_corpus(raw)["code_entities"].select(
+        "repository_id", "file_path", "symbol_name", "symbol_type", "start_line", "end_line", "parent", "exported", "route")
