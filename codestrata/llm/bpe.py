@@ -24,7 +24,7 @@ from .common import Batches, documents, slices
 
 #: Words encoded by one query, tokens decoded by one query, texts split at once, words a task keeps, and bytes up to which a word takes part
 #: in the query: it needs as many rounds as merges, so the rare longer ones are contracted by a heap of their pairs.
-WORDS_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 100_000, 1_000_000, 4000, 500_000, 512
+WORDS_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 40_000, 400_000, 1200, 500_000, 512
 #: White space as Unicode has it.
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts without characters from here on are split by the faster engine, whose classes are spelled out below that.
