@@ -182,3 +182,14 @@ HTTP_VERBS = ("get", "post", "put", "patch", "delete", "all", "options", "head")
 # White space as JavaScript's \s and trim() see it (for Java regular expressions).
 JS_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 JS_NON_SPACE = r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+# Calls, base classes and annotations that make a model or a component.
+MODEL_CALL = r"\b(model|Schema|define|pgTable|mysqlTable|sqliteTable)$"
+COMPONENT_CALL = r"(memo|forwardRef|styled|observer)"
+PYTHON_MODEL_BASES = r"(models\.Model|\bBase\b|BaseModel|db\.Model|SQLModel|Document|DeclarativeBase)"
+JAVA_MODEL = r"@(Entity|Table|Document)\b"
+
+# Files of file-path routers, and lines that are no code of a module.
+APP_ROUTE_FILE = r"(?:^|/)app/(.*?)/?route\.(?:t|j)sx?$"
+PAGES_ROUTE_FILE = r"(?:^|/)pages/(api/.*?)(?:/index)?\.(?:t|j)sx?$"
+IMPORT_OR_COMMENT = r"^(import |from \S+ import|package |#include|//|\*|/\*)"

@@ -118,10 +118,10 @@ def suffixes(path: Column) -> Column:
 
 def route_of_file(path: Column, name: Column) -> Column:
     """Route of a file-path router: app/**/route.* with a verb name, or pages/api/** with a default export."""
-    app = F.regexp_extract(path, r"(?:^|/)app/(.*?)/?route\.(?:t|j)sx?$", 1)
-    is_app = path.rlike(r"(?:^|/)app/(.*?)/?route\.(?:t|j)sx?$") & F.lower(name).isin(*C.HTTP_VERBS)
+    app = F.regexp_extract(path, C.APP_ROUTE_FILE, 1)
+    is_app = path.rlike(C.APP_ROUTE_FILE) & F.lower(name).isin(*C.HTTP_VERBS)
     kept = F.filter(F.split(app, "/"), lambda s: (s != "") & ~s.rlike(r"^\(.*\)$"))
-    pages = F.regexp_extract(path, r"(?:^|/)pages/(api/.*?)(?:/index)?\.(?:t|j)sx?$", 1)
+    pages = F.regexp_extract(path, C.PAGES_ROUTE_FILE, 1)
     return F.when(is_app, F.concat(F.upper(name), F.lit(" /"), F.array_join(kept, "/"))).when(
         (pages != "") & (name == "default"), F.concat(F.lit("ANY /"), pages)
     )

@@ -90,9 +90,6 @@ def line_table(files: DataFrame) -> DataFrame:
     )
 
 
-IMPORT_OR_COMMENT = r"^(import |from \S+ import|package |#include|//|\*|/\*)"
-
-
 def uncovered_lines(files: DataFrame, entities: DataFrame) -> DataFrame:
     """Lines in no entity but routes, without blank, import and comment lines: (repository_id, path, n, line).
 
@@ -103,7 +100,7 @@ def uncovered_lines(files: DataFrame, entities: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.col("start_line").cast("int"), F.col("end_line").cast("int"))).alias("n"),
     )
     trimmed = F.regexp_replace("line", f"^{C.JS_SPACE}+", "")
-    lines = line_table(files).where(~is_blank(F.col("line")) & ~trimmed.rlike(IMPORT_OR_COMMENT))
+    lines = line_table(files).where(~is_blank(F.col("line")) & ~trimmed.rlike(C.IMPORT_OR_COMMENT))
     return lines.join(covered, [*FILE, "n"], "left_anti")
 
 

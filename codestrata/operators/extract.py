@@ -67,10 +67,6 @@ JS_ROUTE = (
     r"(get|post|put|patch|delete|all|options|head)\(\s*['\"`](/[^'\"`]*)['\"`]"
 )
 GO_ROUTE = r"\.(HandleFunc|Handle|GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete|Any)\(\s*[\"`](/[^\"`]*)[\"`]"
-MODEL_CALL = r"\b(model|Schema|define|pgTable|mysqlTable|sqliteTable)$"
-COMPONENT_CALL = r"(memo|forwardRef|styled|observer)"
-PYTHON_MODEL_BASES = r"(models\.Model|\bBase\b|BaseModel|db\.Model|SQLModel|Document|DeclarativeBase)"
-JAVA_MODEL = r"@(Entity|Table|Document)\b"
 JSX = r"(?m)(?:^|return|[(=>&|?:,{])\s*<(?:[A-Za-z][\w.]*(?:\s|/?>)|>)"
 
 STRINGS = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
@@ -290,16 +286,16 @@ def extract_entities(files: DataFrame, clipped: bool = False, max_calls: int | N
     js_type = (
         F.when(kind.isin("function", "arrow") & has_jsx, "component").when(kind.isin("function", "arrow", "assigned", "default"), "function")
         .when(kind == "field", "method")
-        .when((kind == "call") & c("called").rlike(MODEL_CALL), "model")
-        .when((kind == "call") & c("name").rlike("^[A-Z]") & c("called").rlike(COMPONENT_CALL), "component")
+        .when((kind == "call") & c("called").rlike(C.MODEL_CALL), "model")
+        .when((kind == "call") & c("name").rlike("^[A-Z]") & c("called").rlike(C.COMPONENT_CALL), "component")
         .when((kind == "call") & makes_function & (c("end") - c("n") > 3), "function")
         .when(kind != "call", kind)
     )
     py_bases = F.regexp_extract(c("body"), r"(?m)^\s*class\s+\w+\s*(\([^)]*\))", 1)
     py_type = (
-        F.when((kind == "function") & c("owner").isNotNull(), "method").when((kind == "class") & py_bases.rlike(PYTHON_MODEL_BASES), "model").otherwise(kind)
+        F.when((kind == "function") & c("owner").isNotNull(), "method").when((kind == "class") & py_bases.rlike(C.PYTHON_MODEL_BASES), "model").otherwise(kind)
     )
-    java_type = F.when((kind == "class") & c("type_header").rlike(JAVA_MODEL), "model").otherwise(kind)
+    java_type = F.when((kind == "class") & c("type_header").rlike(C.JAVA_MODEL), "model").otherwise(kind)
     go_type = F.when(kind == "struct", "class").otherwise(kind)
     symbol_type = F.when(is_js, js_type).when(is_py, py_type).when(is_java, java_type).otherwise(go_type)
 
