@@ -27,7 +27,7 @@ from .exact_dedup import LEAST_BITS, _positions, repeated_filter
 #: Length of the strings and of the leading q-gram; bytes that are hashed together; bits of the filter for a
 #: lead, and at most: beyond
 #: them more leads are shuffled, and the result stays the same.
-LENGTH, GRAM, GROUP, BITS_PER_LEAD, MOST_BITS = 100, 64, 1 << 20, 6, 1 << 30
+LENGTH, GRAM, GROUP, BITS_PER_LEAD, MOST_BITS = 100, 40, 1 << 20, 6, 1 << 30
 #: Leads of a bucket from which its windows are dealt one by one, by their own hash, and leads a task has to see at once to
 #: count one.  Only the balance of the work depends on them.
 HOT, OFTEN = 8192, 128
