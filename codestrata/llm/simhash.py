@@ -248,8 +248,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = union_all(edges, edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("low"))
-        large = (edges.join(low.withColumnRenamed("node", "root"), "root").where("node > low").select("node", F.col("low").alias("root")))
-        up = union_all(large, edges.join(low.withColumnRenamed("node", "root"), "root").where("low < root").select(F.col("root").alias("node"), F.col("low").alias("root"))).distinct()
+        # stored, so that the join deals both sides anew and can split a hub
+        known = cut(low.select(F.col("node").alias("root"), "low"))
+        ends = F.array(F.struct("node", F.col("low").alias("root")), F.struct(F.col("root").alias("node"), F.col("low").alias("root")))
+        up = edges.join(known, "root").select(F.inline(F.filter(ends, lambda e: e["node"] > e["root"]))).distinct()
         least = up.groupBy("node").agg(F.min("root").alias("low"))
         small = union_all(least.select("node", F.col("low").alias("root")),
                           up.join(least, "node").where("root > low").select(F.col("root").alias("node"), F.col("low").alias("root")))
