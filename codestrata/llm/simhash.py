@@ -5,6 +5,9 @@ covered by the code {Hamming [31, 26] codeword, any last bit}: every half lies w
 home).  Of two halves one bit apart, each lies within radius 1 + threshold 1 of the other's home.  So fingerprints are
 replicated to every anchor within that distance (at most 17 a half), and compared where one of them is at home.  An
 anchor is 27 bits, the halves are kept apart by one more.
+
+Near copies by five-word similarity meet at other anchors: BANDS groups of BAND least hashes of their shingles.  What meets
+there is checked by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -18,9 +21,13 @@ from ..operators.ranking import cut, union_all
 from .common import Batches, documents, slices, stored
 
 BITS = 3
-#: For near copies: word fingerprints of which one half has to agree but for a bit, words of a shingle, and the least
-#: similarity of two texts' shingles, as estimated by SKETCH least hashes of which a bit each is compared.
-SIGNS, NEAR_WORDS, SIMILARITY, SKETCH = 3, 5, 0.8, 256
+#: For near copies: words of a shingle, the least similarity of two texts' shingles, and the number of their least hashes.
+NEAR_WORDS, SIMILARITY, SKETCH = 5, 0.8, 256
+#: Anchors of a text, and least hashes that make one: at similarity 0.8 all differ for 4 pairs in 10 million.  Deviations
+#: that the bits of SKETCH may be off before a pair is left unchecked.
+BANDS, BAND, DEVIATIONS = 28, 4, 6
+#: Refuted links a node may have in the first search after the forest; each further one allows WIDER times as many.
+TRIED, WIDER = 16, 16
 WORDS = 3
 SEED = 42
 #: Rows of one anchor that are compared at once, and homes above which an anchor's visitors are split over several tasks.
@@ -66,26 +73,36 @@ _DRAW = np.random.default_rng(11).integers(1 << 32, size=(2, SKETCH), dtype=np.u
 
 
 def _least(hashes: np.ndarray) -> np.ndarray:
-    """A bit of the least of the hashes under each of SKETCH permutations, packed: texts share a bit for every shingle they share."""
+    """The least of the hashes under each of SKETCH permutations: two texts agree in one for every share of shingles they share."""
     x = np.unique((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32))
     least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 1 << 10):
         least = np.minimum(least, (x[at:at + (1 << 10), None] * _DRAW[0] + _DRAW[1]).min(axis=0))
-    return np.packbits((np.bitwise_count(least * np.uint32(0x9E3779B1) & np.uint32(0xFFFF0000)) & 1).astype(bool))
+    return least
 
 
-def signature(text: str | None) -> tuple[list[int], bytes]:
-    """SIGNS fingerprints of the distinct words of a text, and the sketch of its shingles of NEAR_WORDS words."""
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the distinct shingles of NEAR_WORDS words, in order; a shorter text is one shingle, a text without words none."""
     tokens = _tokens(text)
     if not tokens:
-        return [0] * SIGNS, bytes(SKETCH // 8)
+        return np.zeros(0, np.uint64)
     alone = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(tokens)}
-    hashes = np.fromiter(alone.values(), "<u8", len(alone))
-    shingle = np.fromiter(map(alone.__getitem__, tokens), "<u8", len(tokens))
-    wide = shingle[:len(tokens) - NEAR_WORDS + 1] if len(tokens) >= NEAR_WORDS else shingle[:1]
+    words = np.fromiter(map(alone.__getitem__, tokens), "<u8", len(tokens))
+    wide = words[:len(tokens) - NEAR_WORDS + 1] if len(tokens) >= NEAR_WORDS else words[:1]
     for i in range(1, min(NEAR_WORDS, len(tokens))):
-        wide = _mixed(wide, i) + shingle[i:i + len(wide)]
-    return [_majority(_mixed(hashes, turn)) for turn in range(SIGNS)], _least(_mixed(wide, SIGNS)).tobytes()
+        wide = _mixed(wide, i) + words[i:i + len(wide)]
+    return np.unique(_mixed(wide, NEAR_WORDS))
+
+
+def signature(text: str | None) -> tuple[int, bytes, list[int]] | None:
+    """A hash of the set of shingles, their sketch (a bit of each least hash) and anchors; None without words."""
+    found = shingles(text)
+    if not len(found):
+        return None
+    least = _least(found)
+    bits = np.packbits((np.bitwise_count(least * np.uint32(0x9E3779B1) & np.uint32(0xFFFF0000)) & 1).astype(bool)).tobytes()
+    bands = [xxhash.xxh64_intdigest(least[i * BAND:(i + 1) * BAND].tobytes(), i) for i in range(BANDS)]
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED), bits, bands
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -184,26 +201,49 @@ def _compare(nodes: np.ndarray, checks: np.ndarray, is_home: np.ndarray, bits: i
             if forest.join(x, y):
                 a.append(x)
                 b.append(y)
+        if len(a) == len(nodes) - 1:  # all are linked
+            break
     return nodes[a], nodes[b]
 
 
+def _across(nodes: np.ndarray, checks: np.ndarray, is_home: np.ndarray, bits: int, roots: np.ndarray, tried: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one anchor with different roots, `tried` of a home at most; a home with more is paired with itself besides."""
+    homes, a, b = np.flatnonzero(is_home), [], []
+    step = max(1, PAIRS_AT_ONCE // len(nodes) // checks.shape[1])
+    for at in range(0, len(homes), step):
+        rows = homes[at:at + step]
+        left, right = np.nonzero((roots[rows][:, None] != roots[None, :]) & (_apart(checks[rows][:, None, :], checks[None, :, :]) <= bits))
+        first = np.searchsorted(left, left)  # left is sorted
+        use = np.arange(len(left)) - first < tried
+        more = np.unique(rows[left[~use]])
+        a += [nodes[rows[left[use]]], nodes[more]]
+        b += [nodes[right[use]], nodes[more]]
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _words(column: pa.Array) -> np.ndarray:
     """Checks of one length as rows of 64-bit words."""
     joined = b"".join(column.to_pylist())
     return np.frombuffer(joined, "<u8").reshape(len(column), -1)
 
 
-def _links(bits: int):
-    def emit(keys: np.ndarray, nodes: np.ndarray, homes: np.ndarray, checks: np.ndarray):
-        """keys sorted; whole anchors."""
+def _links(bits: int, tried: int | None = None):
+    """Columns anchor, node, check, home (and root, with `tried`), sorted by anchor → links of each anchor."""
+
+    def emit(keys: np.ndarray, nodes: np.ndarray, homes: np.ndarray, *roots: np.ndarray):
+        """keys sorted; whole anchors.  The last of `roots` are the checks."""
+        *roots, checks = roots
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         useful = (sizes > 1) & (np.add.reduceat(homes.astype(np.int64), starts) > 0)
         first = starts[useful & (sizes == 2)]
         first = first[_apart(checks[first], checks[first + 1]) <= bits]
+        if tried is not None:
+            first = first[roots[0][first] != roots[0][first + 1]]
         a, b = [nodes[first]], [nodes[first + 1]]
         for start, size in zip(starts[useful & (sizes > 2)].tolist(), sizes[useful & (sizes > 2)].tolist(), strict=True):
-            x, y = _compare(*(c[start:start + size] for c in (nodes, checks, homes)), bits)
+            own = [c[start:start + size] for c in (nodes, checks, homes)]
+            x, y = _compare(*own, bits) if tried is None else _across(*own, bits, roots[0][start:start + size], tried)
             a.append(x)
             b.append(y)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -213,7 +253,7 @@ def _links(bits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)), _words(batch.column(2))]
+            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, *range(4, batch.num_columns))), _words(batch.column(2))]
             if held and held[-1][0][0] != now[0][0]:
                 yield emit(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
@@ -228,14 +268,18 @@ def _links(bits: int):
     return run
 
 
+def _met(placed: DataFrame, bits: int, tried: int | None = None) -> DataFrame:
+    return placed.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(_links(bits, tried), "a long, b long")
+
+
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) that connect what all links connect.  `fps`: node (long), check (binary, one length) and fingerprints (long).
 
     Two nodes are linked if a half of one of their fingerprints differs in a bit at most, and their checks in `bits` bits or
     fewer.  With the one fingerprint as check, and `bits` of 3 or fewer, the first condition leaves nothing out.
     """
-    placed = fps.mapInArrow(_replicas, "anchor long, node long, check binary, home boolean").repartition("anchor").sortWithinPartitions("anchor", "node")
-    return placed.mapInArrow(_links(bits), "a long, b long").where("a <> b").distinct()
+    placed = fps.mapInArrow(_replicas, "anchor long, node long, check binary, home boolean")
+    return _met(placed, bits).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -281,35 +325,88 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the sketch of the shingles, and the fingerprints of the words."""
-    signs = [f"sign{i}" for i in range(SIGNS)]
+    """doc_id, the set of shingles as one hash, their sketch and anchors; texts without words have none."""
 
     def run(batches: Batches) -> Batches:
         for batch in slices(batches):
             found = [signature(t) for t in batch.column(1).to_pylist()]
-            numbers = np.array([f[0] for f in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.binary()), *(pa.array(numbers[:, i]) for i in range(SIGNS))],
-                                             ["doc_id", "sketch", *signs])
+            use = [i for i, f in enumerate(found) if f]
+            numbers = np.array([[found[i][0], *found[i][2]] for i in use], np.uint64).reshape(len(use), BANDS + 1).view(np.int64)
+            anchors_of = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BANDS), pa.array(numbers[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use, pa.int64())), pa.array(numbers[:, 0]), pa.array([found[i][1] for i in use], pa.binary()), anchors_of],
+                                             ["doc_id", "node", "sketch", "bands"])
+
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, sketch binary, bands array<long>")
+
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, sketch binary, " + ", ".join(f"{n} long" for n in signs))
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, shingles (array of long) of documents()."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b, ok: whether shingles of the two are shared to `similarity` of all their shingles, or more."""
+    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return met.select("a", "b", (shared / (F.size("x") + F.size("y") - shared) >= similarity).alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok"))
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
+    """node, root of every node with links, the root itself included."""
+    linked = components(edges)
+    return union_all(linked, linked.select(F.col("root").alias("node"), "root").distinct())
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, tried: int = TRIED) -> DataFrame:
+    """Links (a, b) of at least `similarity` that connect what all such links connect.  `nodes`: low, sketch, bands; `docs`: doc_id, text.
+
+    First every anchor gives a spanning forest of the links its sketches propose, and all of them are checked by their
+    shingles.  Where one is refuted, its nodes are searched again for pairs not yet connected, more of each node every
+    time, until no pair is left unchecked.
+    """
+    share = (1 - similarity) / 2  # of their bits, two sketches differ in this on average
+    bits = int(SKETCH * share + DEVIATIONS * (SKETCH * share * (1 - share)) ** 0.5)
+    placed = nodes.select(F.explode("bands").alias("anchor"), F.col("low").alias("node"), F.col("sketch").alias("check"), F.lit(True).alias("home"))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    proposed = stored(_met(placed, bits).where("a <> b").select(*pair).distinct(), "simhash")
+    ends = stored(proposed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash")
+    sets = stored(shingle_sets(docs.join(ends, "doc_id", "left_semi")), "simhash")
+    known = stored(checked(proposed, sets, similarity), "simhash")
+    while not known.where("not ok").isEmpty():
+        # what hangs together by proposed links, refuted ones too, and holds a refuted one
+        groups = _rooted(proposed)
+        open_groups = groups.join(known.where("not ok").select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+        mine = groups.join(open_groups, "root", "left_semi").select("node")
+        rooted = stored(mine.join(_rooted(known.where("ok").select("a", "b")), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "simhash")
+        again = stored(placed.join(rooted, "node").select("anchor", "node", "check", "home", "root"), "simhash")
+        found = stored(_met(again, bits, tried).select(*pair).distinct(), "simhash")
+        new = checked(found.where("a <> b").join(known, ["a", "b"], "left_anti"), sets, similarity)
+        known = stored(union_all(known, new), "simhash")
+        if found.where("a = b").isEmpty():
+            break
+        tried *= WIDER
+    return known.where("ok").select("a", "b")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows that stay: of each group of near copies the one with the smallest id, all columns as they were.
 
-    Texts with equal signatures are one node, so a group of copies is compared once.  Rows without an id and rows without
-    words stay.  Rows that repeat an id stay or go together.  Only ids are shuffled to decide; the ids to drop meet the
-    texts in an anti-join that Spark may split.
+    Texts with equal sets of shingles are one node, so a group of copies is compared once.  Rows without an id and rows
+    without words stay.  Rows that repeat an id stay or go together.  To decide, ids are shuffled, and the shingles of
+    texts that met another; the ids to drop meet the texts in an anti-join that Spark may split.
     """
-    signs = [f"sign{i}" for i in range(SIGNS)]
-    rows = stored(signatures(docs, id_col, text_col).where("doc_id is not null and (" + " or ".join(f"{c} <> 0" for c in signs) + ")"), "simhash")
-    alike = rows.withColumn("node", F.xxhash64("sketch", *signs))
-    nodes = stored(alike.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("sketch", *signs)]), "simhash")
-    # two sketches of similarity s differ in (1 - s) / 2 of their bits, give or take a deviation
-    share = (1 - similarity) / 2
-    bits = int(SKETCH * share + (SKETCH * share * (1 - share)) ** 0.5)
-    linked = components(links(nodes.select("low", "sketch", *signs), bits))
+    rows = stored(signatures(docs, id_col, text_col).where("doc_id is not null"), "simhash")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "simhash")
+    linked = components(similar_links(nodes.select("low", "sketch", "bands"), documents(docs, id_col, text_col), similarity))
     lows = nodes.select("node", "low").join(linked.select(F.col("node").alias("low"), "root"), "low", "left").select("node", F.coalesce("root", "low").alias("keep"))
     # stored, so that the join deals both sides anew and can split a hot signature
-    dropped = alike.select("doc_id", "node").join(stored(lows, "simhash"), "node").where("doc_id <> keep").select(F.col("doc_id").alias("__drop")).distinct()
+    dropped = rows.select("doc_id", "node").join(stored(lows, "simhash"), "node").where("doc_id <> keep").select(F.col("doc_id").alias("__drop")).distinct()
     return docs.join(dropped, F.col(f"`{id_col}`").cast("long") == F.col("__drop"), "left_anti")

@@ -189,3 +189,59 @@ def test_repeated_strings_awkward(awkward, empty):
     assert bytes(by_id[7].kept) == b"x" and len(by_id[7].spans) == 1  # the words go round, so the blank before it has stood there too
     assert by_id[1].spans == [] and by_id[2].spans == []  # shorter than a string
     assert suffixes.without_repeats(empty).count() == 0
+
+
+def plain_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_against_brute_force(spark):
+    """Inserted and removed passages, scattered edits and borderline pairs: exactly the links of five-word similarity 0.8 count."""
+    draw, rows = random.Random(12), []
+    for i in range(150):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(20, 240))]
+        at = draw.randrange(len(base))
+        passage = [f"p{draw.randrange(5000)}" for _ in range(int(len(base) * draw.choice([0.1, 0.2, 0.24, 0.26, 0.35])))]
+        rows.append((4 * i, " ".join(base)))
+        rows.append((4 * i + 1, " ".join(base + passage)))
+        rows.append((4 * i + 2, " ".join(base[:at] + passage + base[at:])))
+        edited = [w if draw.random() > 0.025 else "new" for w in base]
+        rows.append((4 * i + 3, " ".join(edited)))
+    sets = {i: plain_shingles(t) for i, t in rows}
+    roots = {i: i for i in sets}
+
+    def find(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a in sets:
+        for b in range(a + 1, a - a % 4 + 4):  # bases share no shingles
+            shared = len(sets[a] & sets[b])
+            if shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8:
+                x, y = find(a), find(b)
+                roots[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert kept == {i for i in sets if find(i) == i}
+    assert 200 < len(kept) < 550
+
+
+def test_refuted_links_hide_no_other(spark):
+    """All pairs of a large group meet, at 0.7 to 0.9, and a node has than it tries at first: the same components as by brute force."""
+    draw, rows = random.Random(13), []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(80):
+        rows.append((i, " ".join(base[:120] + [f"v{i}x{j}" if draw.random() < 0.025 else w for j, w in enumerate(base[120:])])))
+    sets = {i: plain_shingles(t) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    roots = {i: i for i in sets}
+    for _ in sets:
+        for a, b in edges:
+            roots[a] = roots[b] = min(roots[a], roots[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes = simhash.signatures(docs).selectExpr("doc_id as low", "sketch", "bands")
+    for tried in (1, 16):
+        linked = {r.node: r.root for r in simhash.components(simhash.similar_links(nodes, docs, tried=tried)).collect()}
+        assert {i: linked.get(i, i) for i in sets} == roots
+    assert 1 < len(set(roots.values())) < 80
