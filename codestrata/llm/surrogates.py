@@ -3,8 +3,8 @@
 A surrogate is drawn by a keyed permutation of all values of the same format: digits stay digits, letters stay letters of
 their script and case, separators, country codes, card brands, key prefixes and top-level domains stay, check sums hold
 where they held.  A permutation without fixed points keeps distinct entities distinct, never returns the original, and
-gives all mentions of an entity one surrogate, in all documents and without a table.  Given names are exchanged within a
-list of their script and gender.  A job over all entities of the corpus then checks that no two share a surrogate and
+gives all mentions of an entity one surrogate, in all documents and without a table.  Listed given names are exchanged
+within the list of their script and gender, wherever in a name they stand.  A job over all entities of the corpus then checks that no two share a surrogate and
 draws again for those that do.
 """
 
@@ -28,7 +28,8 @@ DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Letters that are exchanged for each other, by script.
 LETTERS = (LOWER, "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 #: In names vowels stay vowels and consonants consonants.
-SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
+          "àáâãäåæèéêëìíîïòóôõöøùúûü", "çðñýþ", "άέήίόύώ")
 GIVEN = {
     ("latin", "m"): "james robert michael william david richard thomas charles daniel matthew anthony steven andrew kevin brian george".split(),
     ("latin", "f"): "patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy margaret sandra ashley emily michelle laura".split(),
@@ -187,19 +188,23 @@ class Keyed:
         return ".".join(reversed(out))
 
     def _person(self, value: str, gender: str, tweak: str) -> str:
-        """Family names by sound; given names within their list, or by sound outside of all lists."""
+        """Listed given names within their list, also alone or last; others by sound, outside of all lists."""
         parts, out = value.split(" "), []
         for i, part in enumerate(parts):
             script, of = KNOWN.get(part, ("", ""))
-            if of and len(parts) > 1 and i < len(parts) - 1:
+            if of:
                 names = GIVEN[script, of]
                 out.append(names[self._next(names.index(part), len(names), f"{tweak}|{script}|{of}".encode())])
             else:
-                last = len(part) - 1  # an ending in a vowel often tells the gender
-                sounds = [next((s for s in SOUNDS if c in s), "") if j < last or c not in "aаeα" else "" for j, c in enumerate(part)]
-                out.append(self.exchange(part, sounds, tweak, lambda v: v in KNOWN))
+                out.append(self._by_sound(part, tweak))
         return " ".join(out)
 
+    def _by_sound(self, part: str, tweak: str) -> str:
+        """Of a name that isn't listed: another one, in as many steps as there are listed names, and one, at most."""
+        last = len(part) - 1  # an ending in a vowel often tells the gender
+        sounds = [next((s for s in SOUNDS if c in s), "") if j < last or c not in "aаeα" else "" for j, c in enumerate(part)]
+        return self.exchange(part, sounds, tweak, lambda v: v in KNOWN)
+
     def mention(self, kind: str, value: str, gender: str) -> str:
         """Surrogate of a mention, in its case."""
         got = self.surrogate(kind, entity(kind, value), gender)
