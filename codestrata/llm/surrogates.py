@@ -4,7 +4,8 @@ A surrogate is drawn by a keyed permutation of all values of the same format: di
 their script and case, separators, country codes, card brands, key prefixes and top-level domains stay, check sums hold
 where they held.  A permutation without fixed points keeps distinct entities distinct, never returns the original, and
 gives all mentions of an entity one surrogate, in all documents and without a table.  Listed given names are exchanged
-within the list of their script and gender, wherever in a name they stand.  A job over all entities of the corpus then checks that no two share a surrogate and
+within the list of their script and gender, wherever in a name they stand; others become names of their gender, if a title tells it.  Later bare mentions of a
+part of a person's name in the same text are replaced like that part.  A job over all entities of the corpus then checks that no two share a surrogate and
 draws again for those that do.
 """
 
@@ -43,6 +44,15 @@ TITLES = {
     "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Signora Госпожа Κυρία".split(),
     "": "Dr Prof Doctor Professor".split(),
 }
+#: What a given name of a script and gender ends with, and what is appended to one that doesn't, or that has it already.
+#: No listed name ends with what is appended.
+ENDINGS = {
+    ("latin", "m"): ("bcdfgklmnoprstvxz", "or"), ("latin", "f"): ("a", "ina"), ("cyrillic", "m"): ("бвгджзйклмнпрстфхцчшщ", "ор"),
+    ("cyrillic", "f"): ("ая", "лла"), ("greek", "m"): ("ς", "άδης"), ("greek", "f"): ("αη", "ινα"),
+}
+#: Words that are not taken for a name when they stand alone, though a name before seemed to go on with one.
+NO_NAMES = frozenset("""A An And As At But By For From He Her His I If In Is It Its My No Not Of On Or Our She So That The Their Then There
+    These They This Those To Was We What When Where Which Who Why With You Your И В На Но Он Она Они Это Я Мы Вы Как Что Ο Η Το Και Οι Τα""".split())
 GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 KNOWN = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 
@@ -87,7 +97,33 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if all(end <= a or start >= b for a, b in taken):
             kept.append((start, end, kind, gender))
             taken.append((start, end))
-    return sorted(kept)
+    return _mentions(text, sorted(kept)) if people else sorted(kept)
+
+
+def _mentions(text: str, kept: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """With later bare mentions of the parts of persons.  Genders of given names that stand alone end with a +."""
+    first = next((k[0] for k in kept if k[2] == "person"), None)
+    if first is None:
+        return kept
+    parts: dict[str, str] = {}  # gender of what is known so far; given names by their own
+    out: list[tuple[int, int, str, str]] = []
+    at = 0
+    for m in _WORDS.finditer(text, first):
+        while at < len(kept) and kept[at][0] <= m.start():
+            start, end, kind, gender = kept[at]
+            if kind == "person":
+                names = text[start:end].split(" ")
+                if len(names) == 1 and parts.get(names[0], "").endswith("+"):
+                    gender = parts[names[0]]  # the same person with a title
+                for i, name in enumerate(names):
+                    parts.setdefault(name, gender.rstrip("+") + "+" if i < len(names) - 1 else gender)
+            out.append((start, end, kind, gender))
+            at += 1
+        if m[0] in parts and m[0] not in NO_NAMES and m.start() >= out[-1][1] and (at == len(kept) or m.end() <= kept[at][0]):
+            before, after = text[m.start() - 1:m.start()], text[m.end():m.end() + 1]
+            if not (before.isdigit() or after.isdigit() or "_" in (before, after)):
+                out.append((*m.span(), "person", parts[m[0]]))
+    return kept[:next(i for i, k in enumerate(kept) if k[2] == "person")] + [o for o in out if o[0] >= first] + kept[at:]
 
 
 def entity(kind: str, value: str) -> str:
@@ -188,17 +224,33 @@ class Keyed:
         return ".".join(reversed(out))
 
     def _person(self, value: str, gender: str, tweak: str) -> str:
-        """Listed given names within their list, also alone or last; others by sound, outside of all lists."""
+        """Listed given names within their list, also alone or last; other given names by gender, the rest by sound, outside of all lists."""
         parts, out = value.split(" "), []
         for i, part in enumerate(parts):
             script, of = KNOWN.get(part, ("", ""))
             if of:
                 names = GIVEN[script, of]
                 out.append(names[self._next(names.index(part), len(names), f"{tweak}|{script}|{of}".encode())])
+            elif gender and (i < len(parts) - 1 or gender.endswith("+")):
+                out.append(self._gendered(part, gender[0], tweak))
             else:
                 out.append(self._by_sound(part, tweak))
         return " ".join(out)
 
+    def _gendered(self, part: str, gender: str, tweak: str) -> str:
+        """Of a given name that isn't listed: one with an ending of its gender.  One to one.
+
+        Names with such an ending keep it, others get one; the latter end with a syllable that the former don't end with.
+        """
+        script = "greek" if "ͱ" <= part[0] <= "Ͽ" else "cyrillic" if "Ѐ" <= part[0] <= "ӿ" else "latin"
+        ends, more = ENDINGS[script, gender]
+        own = part[-1] in ends and not part.endswith(more)
+        tweak = f"{tweak}|{gender}|{own}"
+        keep = 1 if own else len(more) if part.endswith(more) else 0  # a first letter is always exchanged
+        stem = self.exchange(part, [next((s for s in SOUNDS if c in s), "") if j < max(1, len(part) - keep) else "" for j, c in enumerate(part)], tweak,
+                             lambda v: v in KNOWN or own and v.endswith(more) or not own and v[-1] in ends and not v.endswith(more))
+        return stem if own else stem + more
+
     def _by_sound(self, part: str, tweak: str) -> str:
         """Of a name that isn't listed: another one, in as many steps as there are listed names, and one, at most."""
         last = len(part) - 1  # an ending in a vowel often tells the gender

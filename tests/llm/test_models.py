@@ -211,3 +211,28 @@ def test_listed_names_are_exchanged_wherever_they_stand():
     for name in ["éa", "øø", "йа", "brown", "lee", "παπάς"]:
         assert keyed.surrogate("person", name, "") != name
     assert "Elizabeth" not in keyed.replace("Ms Elizabeth and Mr William met David George.")[0]
+
+
+def test_given_names_follow_the_title():
+    keyed, draw = surrogates.Keyed(b"k"), random.Random(5)
+    for gender, title in (("f", "Mrs"), ("m", "Mr")):
+        ends, more = surrogates.ENDINGS["latin", gender]
+        names = {"".join(draw.choice("bdlmnrst") + draw.choice("aeio") for _ in range(draw.randrange(1, 3))) + draw.choice(["", "n", "a", "ina", "or"]) for _ in range(400)}
+        new = {n: keyed.surrogate("person", f"{n} brown", gender).split(" ")[0] for n in names}
+        assert all(v != n and (v[-1] in ends or v.endswith(more)) and v not in surrogates.KNOWN for n, v in new.items())
+        assert len(set(new.values())) == len(new)
+        assert "Olivia" not in keyed.replace(f"{title} Olivia Brown")[0]
+    assert keyed.surrogate("person", "ольга петрова", "f") != keyed.surrogate("person", "зоя петрова", "f")
+    assert keyed.surrogate("person", "зоя петрова", "f").split(" ")[0][-1] in "ая"
+
+
+def test_later_mentions_of_a_person():
+    keyed = surrogates.Keyed(b"k")
+    text, found = keyed.replace("Smith is a trade. Mrs Olivia Smith met James Brown. Smith said that Olivia left; James, Brown's son and Ms Olivia stayed. The smith Smith_1 too.")
+    names = dict(f[1:] for f in found)
+    given, family = names["olivia smith"].title().split(" ")
+    other, last = names["james brown"].title().split(" ")
+    assert text == (f"Smith is a trade. Mrs {given} {family} met {other} {last}. {family} said that {given} left; {other}, {last}'s son and Ms {given} stayed. The smith Smith_1 too.")
+    kinds = [k for _, _, k, _ in surrogates.find("a@b.org, Mr Smith The of x@y.org. The Smith 10.0.0.1 c@d.org")]
+    assert kinds == ["email", "person", "email", "person", "ip", "email"]
+    assert keyed.replace("Mr Fox wrote to fox@b.org and Fox@b.org")[0].count("ox") == 0
