@@ -30,7 +30,7 @@ BANDS, BAND, DEVIATIONS = 28, 4, 6
 TRIED, WIDER = 16, 16
 WORDS = 3
 SEED = 42
-#: Rows of one anchor that are compared at once, and homes above which an anchor's visitors are split over several tasks.
+#: Rows above which an anchor is dealt in blocks of homes and blocks of all its rows, a task for two of them.
 BLOCK = 4096
 PAIRS_AT_ONCE = 1 << 20
 
@@ -268,18 +268,41 @@ def _links(bits: int, tried: int | None = None):
     return run
 
 
+def dealt(placed: DataFrame, counted: DataFrame, block: int | None = None) -> DataFrame:
+    """`placed` with hot anchors (over `block` rows of `counted`: anchor, home) cut into new ones of about 2 x `block` rows.
+
+    Every block of a hot anchor's homes meets every block of its rows in one of the new anchors, so no pair is lost; a row
+    comes once for each block of homes, and a home once for each block of rows besides.
+    """
+    block = block or BLOCK
+    hot = (counted.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("n_homes")).where(F.col("n") > block)
+           .select("anchor", F.ceil(F.col("n") / block).cast("int").alias("__rows"), F.ceil(F.col("n_homes") / block).cast("int").alias("__homes")))
+    hot = stored(hot, "simhash")
+    if hot.isEmpty():
+        return placed
+    own = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    cell = lambda i, j, home: F.struct(F.xxhash64("anchor", i, j).alias("anchor"), F.lit(home).alias("home"))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("__homes") - 1), lambda i: cell(i, own(1, "__rows"), False))
+    as_home = F.transform(F.sequence(F.lit(0), F.col("__rows") - 1), lambda j: cell(own(2, "__homes"), j, True))
+    cells = (F.when(F.col("__rows").isNull(), F.array(F.struct("anchor", "home"))).when(F.col("__homes") == 0, F.expr("filter(array(struct(anchor, home)), e -> false)"))
+             .when(F.col("home"), F.concat(as_row, as_home)).otherwise(as_row))
+    others = [c for c in placed.columns if c not in ("anchor", "home")]
+    met = placed.join(hot, "anchor", "left").select(*others, F.explode(cells).alias("__cell"))
+    return met.select(*[F.col(f"__cell.{c}").alias(c) if c in ("anchor", "home") else c for c in placed.columns])
+
+
 def _met(placed: DataFrame, bits: int, tried: int | None = None) -> DataFrame:
     return placed.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(_links(bits, tried), "a long, b long")
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, block: int | None = None) -> DataFrame:
     """Links (a, b) that connect what all links connect.  `fps`: node (long), check (binary, one length) and fingerprints (long).
 
     Two nodes are linked if a half of one of their fingerprints differs in a bit at most, and their checks in `bits` bits or
     fewer.  With the one fingerprint as check, and `bits` of 3 or fewer, the first condition leaves nothing out.
     """
     placed = fps.mapInArrow(_replicas, "anchor long, node long, check binary, home boolean")
-    return _met(placed, bits).where("a <> b").distinct()
+    return _met(dealt(placed, placed, block), bits).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -365,7 +388,7 @@ def _rooted(edges: DataFrame) -> DataFrame:
     return union_all(linked, linked.select(F.col("root").alias("node"), "root").distinct())
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, tried: int = TRIED) -> DataFrame:
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block: int | None = None, tried: int = TRIED) -> DataFrame:
     """Links (a, b) of at least `similarity` that connect what all such links connect.  `nodes`: low, sketch, bands; `docs`: doc_id, text.
 
     First every anchor gives a spanning forest of the links its sketches propose, and all of them are checked by their
@@ -376,7 +399,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     bits = int(SKETCH * share + DEVIATIONS * (SKETCH * share * (1 - share)) ** 0.5)
     placed = nodes.select(F.explode("bands").alias("anchor"), F.col("low").alias("node"), F.col("sketch").alias("check"), F.lit(True).alias("home"))
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    proposed = stored(_met(placed, bits).where("a <> b").select(*pair).distinct(), "simhash")
+    proposed = stored(_met(dealt(placed, placed, block), bits).where("a <> b").select(*pair).distinct(), "simhash")
     ends = stored(proposed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash")
     sets = stored(shingle_sets(docs.join(ends, "doc_id", "left_semi")), "simhash")
     known = stored(checked(proposed, sets, similarity), "simhash")
@@ -387,7 +410,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILAR
         mine = groups.join(open_groups, "root", "left_semi").select("node")
         rooted = stored(mine.join(_rooted(known.where("ok").select("a", "b")), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "simhash")
         again = stored(placed.join(rooted, "node").select("anchor", "node", "check", "home", "root"), "simhash")
-        found = stored(_met(again, bits, tried).select(*pair).distinct(), "simhash")
+        found = stored(_met(dealt(again, again, block), bits, tried).select(*pair).distinct(), "simhash")
         new = checked(found.where("a <> b").join(known, ["a", "b"], "left_anti"), sets, similarity)
         known = stored(union_all(known, new), "simhash")
         if found.where("a = b").isEmpty():

@@ -242,6 +242,21 @@ def test_refuted_links_hide_no_other(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     nodes = simhash.signatures(docs).selectExpr("doc_id as low", "sketch", "bands")
     for tried in (1, 16):
-        linked = {r.node: r.root for r in simhash.components(simhash.similar_links(nodes, docs, tried=tried)).collect()}
+        linked = {r.node: r.root for r in simhash.components(simhash.similar_links(nodes, docs, block=30, tried=tried)).collect()}
         assert {i: linked.get(i, i) for i in sets} == roots
     assert 1 < len(set(roots.values())) < 80
+
+
+@pytest.mark.parametrize("block", [8, 50])
+def test_hot_anchors_are_dealt_in_blocks(spark, block):
+    """A family around one fingerprint: no task's anchor holds more than its blocks, and no link is lost."""
+    draw = random.Random(14)
+    fps = {f for _ in range(150) for f in [sum(1 << b for b in draw.sample(range(64), draw.randrange(1, 5)))]} | {draw.getrandbits(62) for _ in range(100)}
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f, f.to_bytes(8, "little", signed=True), f) for f in fps], "node long, check binary, sign long")
+    placed = df.mapInArrow(simhash._replicas, "anchor long, node long, check binary, home boolean")
+    most = lambda placed: max(r["count"] for r in placed.groupBy("anchor").count().collect())
+    assert most(placed) > 100 and most(simhash.dealt(placed, placed, block)) <= max(4 * block, 40)
+    found = {r.node: r.root for r in simhash.components(simhash.links(df, block=block)).collect()}
+    want = plain_components({f: f % (1 << 64) for f in fps})
+    assert {f: found.get(f, f) for f in fps} == want
