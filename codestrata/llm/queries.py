@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, simhash, suffixes, surrogates, topk, toxicity
+from . import bpe, exact_dedup, hard_negatives, language, max_sketch, packing, quality, simhash, suffixes, surrogates, topk, toxicity, winnowing
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,56 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
 from documents""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@registered("op11_max_sketch_search", rf"""
+with term as (select doc_id, t, count(*) as tf from (
+    select doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents) group by all),
+sized as (select doc_id, cast(sum(tf) as bigint) as n from term group by doc_id),
+total as (select count(*) as docs, cast(sum(n) as bigint) as words from sized),
+damped as (select doc_id, 50 + (50 * n * docs) // words as m from sized, total),
+asked as (select distinct item_id, t from (select item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)),
+weight as (select t, cast(floor(1000 * ln(cast(2 * any_value(docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as w from term, total group by t),
+scored as (select a.item_id, x.doc_id, cast(sum(w.w * ((1000000000 * x.tf) // (1000 * x.tf + 20 * d.m))) as bigint) as score
+  from asked a join term x on x.t = a.t join weight w on w.t = a.t join damped d on d.doc_id = x.doc_id group by all)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 50""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered("op12_winnowing_decontamination", rf"""
+with doc as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item as (select item_id, w, least(len(w), 10) as n from (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark) where len(w) > 0),
+passage as (select distinct item_id, n, array_to_string(w[s:s + n - 1], ' ') as p from (select *, unnest(range(1, len(w) - n + 2)) as s from item)),
+lengths as (select distinct n from passage),
+span as (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as p from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from doc, lengths)),
+found as (select span.doc_id, span.n, span.s, passage.item_id from span join passage on passage.n = span.n and passage.p = span.p),
+hit as (select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(s, s + n)) as word from found) group by doc_id),
+of_doc as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, cast(item_id as varchar) as i from found) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc d left join hit h on h.doc_id = d.doc_id left join of_doc o on o.doc_id = d.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@registered("op13_strassen_hard_negatives", """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where label is not null and vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(cast(a.v as double[]), cast(c.v as double[])) as bigint) as score
+  from v a join v c on c.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as integer) as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"))
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))

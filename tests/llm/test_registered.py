@@ -18,13 +18,15 @@ COLUMNS = {
     "op5": ["query_id", "rank", "vec_id", "score"], "op6": ["doc_id", "fingerprint", "component_id"],
     "op7": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op8": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["doc_id", "held_out", "score", "predicted"], "op10": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op11": ["item_id", "rank", "doc_id", "score"], "op12": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op13": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     mine = digest(df.columns, [tuple(r) for r in df.collect()])
@@ -36,7 +38,7 @@ def test_matches_sql(spark, name):
 def test_columns_and_rows(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert df.columns == COLUMNS[name.split("_")[0]]
-    if name.startswith(("op5_", "op7_")):
+    if name.startswith(("op5_", "op7_", "op11_", "op13_")):
         assert df.count() > 0
     else:
         ids = sorted(r.doc_id for r in df.select("doc_id").collect())
