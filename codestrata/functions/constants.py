@@ -147,6 +147,21 @@ KEYWORD_WEIGHT = 0.8
 IDENTIFIER_BONUS = 3.0
 WORD_BONUS = 1.2
 NAME_WEIGHT, PATH_WEIGHT, CONTENT_WEIGHT = 1.0, 0.4, 0.1
+TEXT_LANGUAGE = "english"
+
+# The wording of evidence, which counts toward its budget, and the lengths of its lists.
+EVIDENCE_LABELS = {
+    "target": "target of the question", "callee": " depends on this", "impact": "impact ", "route": "API route",
+    "focus": "entity selected by the user", "retrieved": "matched by ", "related_out": "called by ", "related_in": "calls ",
+    "impact_of": "Change impact analysis for ", "computed": "), computed by traversing the call graph:\n",
+    "no_callers": "- No callers found in the indexed call graph.", "importing": "\nFiles importing ",
+    "depends": "\nDepends on: ", "no_callees": "nothing resolved",
+    "overview": "Repository overview (computed during indexing):\n", "languages": "Languages: ", "frameworks": "\nFrameworks: ",
+    "entry_points": "\nEntry points: ", "largest": "\nLargest modules: ", "connected": "\nMost connected modules: ",
+}
+EVIDENCE_LENGTHS = {
+    "callees": 5, "impacts": 14, "listed_impacts": 30, "listed_importers": 15, "listed_callees": 15, "routes": 40,
+}
 
 # Answer checks.
 ANSWER_PATH_PATTERN = (
@@ -193,3 +208,33 @@ JAVA_MODEL = r"@(Entity|Table|Document)\b"
 APP_ROUTE_FILE = r"(?:^|/)app/(.*?)/?route\.(?:t|j)sx?$"
 PAGES_ROUTE_FILE = r"(?:^|/)pages/(api/.*?)(?:/index)?\.(?:t|j)sx?$"
 IMPORT_OR_COMMENT = r"^(import |from \S+ import|package |#include|//|\*|/\*)"
+
+# The English stemming rules (Porter2) and the stop words that go with them in text search.
+STEM_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+STEM_BEFORE_LI = ("c", "d", "e", "g", "h", "k", "m", "n", "r", "t")
+STEM_PREFIXES = ("gener", "commun", "arsen")
+STEM_EXCEPTIONS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli",
+    "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas",
+    "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+STEM_SETTLED = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+STEM_STEP_2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize",
+    "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous",
+    "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less",
+}
+STEM_STEP_3 = {
+    "tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
+}
+STEM_STEP_4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize",
+)
+ENGLISH_STOP_WORDS = frozenset((
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its "
+    "itself they them their theirs themselves what which who whom this that these those am is are was were be been being "
+    "have has had having do does did doing a an the and but if or because as until while of at by for with about against "
+    "between into through during before after above below to from up down in out on off over under again further then once "
+    "here there when where why how all any both each few more most other some such no nor not only own same so than too "
+    "very s t can will just don should now"
+).split())

@@ -39,7 +39,7 @@ def module_edges(files: DataFrame, entities: DataFrame, relationships: DataFrame
     return union_all(imports, calls).groupBy(*PAIR).agg(F.count("*").alias("weight"))
 
 
-def module_graph(files, entities, relationships, file_imports, limit: int | None = 60) -> tuple[DataFrame, DataFrame]:
+def module_graph(files, entities, relationships, file_imports, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the largest modules with their counts, and the edges between those modules."""
     top = module_nodes(files, limit)
     nodes = top.join(module_counts(entities), ["repository_id", "module"], "left").na.fill(0, ["functions", "classes", "routes"])

@@ -90,37 +90,59 @@ def line_table(files: DataFrame) -> DataFrame:
     )
 
 
-def uncovered_lines(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """Lines in no entity but routes, without blank, import and comment lines: (repository_id, path, n, line).
+def covered_ranges(entities: DataFrame) -> DataFrame:
+    """Per file (repository_id, path): the number of entities, and the line ranges of all but routes as sorted (start, end)."""
+    first, last = F.col("start_line").cast("int"), F.col("end_line").cast("int")
+    ranges = F.when(F.col("symbol_type") != "route", F.struct(F.least(first, last).alias("start"), F.greatest(first, last).alias("end")))
+    return entities.groupBy("repository_id", F.col("file_path").alias("path")).agg(
+        F.count("*").alias("entities"), F.sort_array(F.collect_list(ranges)).alias("ranges"))  # one file's
+
+
+def gaps(ranges: Column, n_lines: Column) -> Column:
+    """The runs of lines (start, end) from 1 to `n_lines` that no range covers: ranges in order, swept with the furthest end so far."""
+    run = "array<struct<start:int,end:int>>"
+    begun = F.struct(F.lit(0).alias("reach"), F.array().cast(run).alias("found"))
+    closing = F.array(F.struct((n_lines + 1).alias("start"), (n_lines + 1).alias("end")))
+
+    def sweep(state: Column, r: Column) -> Column:
+        free = F.struct((state["reach"] + 1).cast("int").alias("start"), F.least(r["start"] - 1, n_lines).cast("int").alias("end"))
+        found = F.when(free["start"] <= free["end"], F.concat(state["found"], F.array(free))).otherwise(state["found"])
+        return F.struct(F.greatest(state["reach"], r["end"]).cast("int").alias("reach"), found.alias("found"))
+
+    every = F.concat(F.coalesce(ranges, F.array().cast(run)), closing)
+    return F.aggregate(every, begun, sweep, lambda state: state["found"])
+
 
-    The interval test is an equi anti-join: entity ranges are spread to the lines they cover.
+def with_uncovered(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """Files with `lines`, `entities` (their number) and `left`: the lines (n, line) in no entity but routes, without blank, import
+    and comment lines.
+
+    A file's ranges meet it as one row; its lines are cut where they lie and never move on their own.
     """
-    covered = entities.where(F.col("symbol_type") != "route").select(
-        "repository_id", F.col("file_path").alias("path"),
-        F.explode(F.sequence(F.col("start_line").cast("int"), F.col("end_line").cast("int"))).alias("n"),
-    )
-    trimmed = F.regexp_replace("line", f"^{C.JS_SPACE}+", "")
-    lines = line_table(files).where(~is_blank(F.col("line")) & ~trimmed.rlike(C.IMPORT_OR_COMMENT))
-    return lines.join(covered, [*FILE, "n"], "left_anti")
+    met = files.join(covered_ranges(entities), FILE, "left")
+    lined = met.select("*", F.inline(F.array(F.struct(lines_of(F.col("content")).alias("lines")))))
+    free = lined.select("*", F.inline(F.array(F.struct(gaps(F.col("ranges"), F.size("lines")).alias("free")))))
+    row = lambda line, n: F.struct(n.alias("n"), line.alias("line"))
+    cut = F.flatten(F.transform("free", lambda g: F.transform(F.slice("lines", g["start"], g["end"] - g["start"] + 1), lambda line, i: row(line, i + g["start"]))))
+    code = lambda line: ~is_blank(line) & ~F.regexp_replace(line, f"^{C.JS_SPACE}+", "").rlike(C.IMPORT_OR_COMMENT)
+    return free.select(*files.columns, "entities", "lines", F.inline(F.array(F.struct(F.filter(cut, lambda r: code(r["line"])).alias("left")))))
+
+
+def uncovered_lines(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """Lines in no entity but routes, without blank, import and comment lines: (repository_id, path, n, line)."""
+    return with_uncovered(files.select(*FILE, "content"), entities).select(*FILE, F.inline("left"))
 
 
 def module_entities(files: DataFrame, entities: DataFrame, min_lines: int = 8, max_lines: int | None = None) -> DataFrame:
     """One `module` entity per file whose uncovered lines are at least `min_lines`, or any if it has no entity."""
-    counted = entities.groupBy("repository_id", F.col("file_path").alias("path")).agg(F.count("*").alias("_entities"))
-    rows = F.sort_array(F.collect_list(F.struct("n", "line")))  # one file's lines; files are size-bounded
-    shown = rows if max_lines is None else F.slice(rows, 1, max_lines)
+    found = with_uncovered(files.select(*FILE, "language", "content"), entities)
+    shown = F.col("left") if max_lines is None else F.slice("left", 1, max_lines)
     text = F.array_join(F.transform(shown, lambda r: F.concat(r["n"].cast("string"), F.lit(": "), r["line"])), "\n")
-    left = uncovered_lines(files, entities).groupBy(*FILE).agg(F.count("*").alias("_count"), text.alias("text"))
-    whole = files.select(*FILE, "language", "content")
-    return (
-        left.join(counted, FILE, "left")
-        .where((F.col("_count") >= min_lines) | F.col("_entities").isNull())
-        .join(whole, FILE)
-        .select(
-            "repository_id", F.col("path").alias("file_path"), base_name(F.col("path")).alias("symbol_name"),
-            F.lit("module").alias("symbol_type"), "language", F.lit(1).cast("long").alias("start_line"),
-            F.size(lines_of(F.col("content"))).cast("long").alias("end_line"), F.col("text").alias("content"),
-            F.lit(None).cast("string").alias("parent"), F.lit(False).alias("exported"), F.lit(None).cast("string").alias("route"),
-            loose_calls(F.col("content"), F.col("language")).alias("calls"), F.lit(None).cast("string").alias("handler"),
-        )
+    enough = (F.size("left") >= min_lines) | (F.col("entities").isNull() & (F.size("left") > 0))
+    return found.where(enough).select(
+        "repository_id", F.col("path").alias("file_path"), base_name(F.col("path")).alias("symbol_name"),
+        F.lit("module").alias("symbol_type"), "language", F.lit(1).cast("long").alias("start_line"),
+        F.size("lines").cast("long").alias("end_line"), text.alias("content"),
+        F.lit(None).cast("string").alias("parent"), F.lit(False).alias("exported"), F.lit(None).cast("string").alias("route"),
+        loose_calls(F.col("content"), F.col("language")).alias("calls"), F.lit(None).cast("string").alias("handler"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import constants as C
 from codestrata.functions.paths import is_generated_file, is_test_file
+from codestrata.functions.stems import stems
 from codestrata.functions.text import identifier_words
 
 from .ranking import cut, place, top_k, union_all
@@ -23,9 +24,10 @@ ENTITY_BLOCK = 8192
 TERM_BLOCK = 2048
 QUESTION_BLOCK = 1024
 DIGITS = 6
+NAME_GRAM = 3
 
 
-def _with_blocks(df: DataFrame, id_col: str, rows_per_block: int, block: str, blocks: str) -> DataFrame:
+def with_blocks(df: DataFrame, id_col: str, rows_per_block: int, block: str, blocks: str) -> DataFrame:
     """Adds a hash block of bounded expected size to every row, and the number of blocks of its repository.
 
     The repository is tied to the row's id first: a constant one would be moved out of the joins, which then have no key.
@@ -45,7 +47,7 @@ def _block_counts(df: DataFrame, blocks: str) -> DataFrame:
 TILE = ["repository_id", "eb", "qb"]
 
 
-def _tiles(df: DataFrame):
+def tiles(df: DataFrame):
     """Groups rows by tile, shuffled by all three keys.
 
     Without the explicit shuffle Spark may keep a placement by repository alone, which satisfies the grouping but puts
@@ -77,21 +79,8 @@ def _hits(repository: str, questions: list, picks: list, ids: np.ndarray, scores
 HITS = "repository_id string, question_id long, id long, score double"
 
 
-def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = C.SEARCH_DEPTH, entity_block: int = ENTITY_BLOCK,
-                 question_block: int = QUESTION_BLOCK) -> DataFrame:
-    """The `k` entities most similar (cosine) to each question, within the question's repository.
-
-    questions(question_id, repository_id, embedding), entities(repository_id, id, embedding) →
-    (repository_id, question_id, id, score, rank). Only repositories that are asked about are read past the first join.
-    """
-    asked = _with_blocks(questions.select("repository_id", "question_id", "embedding"), "question_id", question_block, "qb", "qbs")
-    held = _with_blocks(entities.select("repository_id", "id", "embedding"), "id", entity_block, "eb", "ebs")
-    left = held.join(_block_counts(asked, "qbs"), "repository_id").select(
-        "repository_id", "eb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), "id", "embedding"
-    )
-    right = asked.join(_block_counts(held, "ebs"), "repository_id").select(
-        "repository_id", F.explode(F.sequence(F.lit(0), F.col("ebs") - 1)).alias("eb"), "qb", "question_id", "embedding"
-    )
+def score_vectors(k: int):
+    """Scores a tile of entities with vectors by a tile of questions: the best `k` of each question."""
 
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("embedding").combine_chunks()
@@ -108,7 +97,26 @@ def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = C.SEARCH_DE
         return _hits(held_rows.column("repository_id")[0].as_py(), asked_rows.column("question_id").to_pylist(), picks, ids,
                      [row[p] for row, p in zip(similar, picks)])
 
-    hits = _tiles(left).cogroup(_tiles(right)).applyInArrow(score, HITS)
+    return score
+
+
+def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = C.SEARCH_DEPTH, entity_block: int = ENTITY_BLOCK,
+                 question_block: int = QUESTION_BLOCK) -> DataFrame:
+    """The `k` entities most similar (cosine) to each question, within the question's repository.
+
+    questions(question_id, repository_id, embedding), entities(repository_id, id, embedding) →
+    (repository_id, question_id, id, score, rank). Only repositories that are asked about are read past the first join.
+    """
+    asked = with_blocks(questions.select("repository_id", "question_id", "embedding"), "question_id", question_block, "qb", "qbs")
+    held = with_blocks(entities.select("repository_id", "id", "embedding"), "id", entity_block, "eb", "ebs")
+    left = held.join(_block_counts(asked, "qbs"), "repository_id").select(
+        "repository_id", "eb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), "id", "embedding"
+    )
+    right = asked.join(_block_counts(held, "ebs"), "repository_id").select(
+        "repository_id", F.explode(F.sequence(F.lit(0), F.col("ebs") - 1)).alias("eb"), "qb", "question_id", "embedding"
+    )
+
+    hits = tiles(left).cogroup(tiles(right)).applyInArrow(score_vectors(k), HITS)
     return top_k(hits, ["repository_id", "question_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -120,11 +128,12 @@ def nearest(entities: DataFrame, vector: Column, k: int = C.SEARCH_DEPTH) -> Dat
     return scored.orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
-def postings(entities: DataFrame) -> DataFrame:
+def postings(entities: DataFrame, stem: str | None = C.TEXT_LANGUAGE) -> DataFrame:
     """Inverted index rows (repository_id, id, term, weight, tf): name 1.0, path 0.4, content 0.1 per occurrence.
 
     `weight` is the sum over occurrences. Entities are placed by id before their words are spread: the text crosses the
-    network once, and the words of an entity are counted where they are.
+    network once, and the words of an entity are counted where they are. Terms are stems of the language `stem`, without its
+    stop words; None keeps words as they are. Only an entity's distinct words are stemmed, in its own place.
     """
     def words(text: Column, weight: float) -> Column:
         found = F.regexp_extract_all(F.lower(identifier_words(F.coalesce(text, F.lit("")))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -134,12 +143,18 @@ def postings(entities: DataFrame) -> DataFrame:
         words(F.col("symbol_name"), C.NAME_WEIGHT), words(F.col("file_path"), C.PATH_WEIGHT),
         words(F.col("content"), C.CONTENT_WEIGHT),
     )
-    return (
+    counted = (
         place(entities.select("repository_id", "id", "symbol_name", "file_path", "content"), "repository_id", "id")
         .select("repository_id", "id", F.explode(tokens).alias("t"))
         .groupBy("repository_id", "id", F.col("t.term").alias("term"))
         .agg(F.round(F.sum("t.weight"), DIGITS).alias("weight"), F.count("*").alias("tf"))
     )
+    if stem is None:
+        return counted
+    return (
+        counted.withColumn("term", stems(F.col("term"), stem)).where(F.col("term").isNotNull()).groupBy("repository_id", "id", "term")
+        .agg(F.round(F.sum("weight"), DIGITS).alias("weight"), F.sum("tf").alias("tf"))
+    )
 
 
 def explode_array(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
@@ -150,30 +165,18 @@ def explode_array(df: DataFrame, values: Column, name: str, *keep: str) -> DataF
     return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
 
 
-def search_terms(questions: DataFrame) -> DataFrame:
-    """(repository_id, question_id, term) as matched in the index: only letters and digits of each keyword."""
+def search_terms(questions: DataFrame, stem: str | None = C.TEXT_LANGUAGE) -> DataFrame:
+    """(repository_id, question_id, term) as matched in the index: only letters and digits of each keyword, stemmed like the index."""
     stripped = F.transform("terms", lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
     kept = F.array_distinct(F.filter(stripped, lambda t: t != ""))
-    return explode_array(questions, kept, "term", "repository_id", "question_id")
+    asked = explode_array(questions, kept, "term", "repository_id", "question_id")
+    if stem is None:
+        return asked
+    return asked.withColumn("term", stems(F.col("term"), stem)).where(F.col("term").isNotNull()).distinct()
 
 
-def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH, entity_block: int = TERM_BLOCK,
-               question_block: int = QUESTION_BLOCK) -> DataFrame:
-    """The `k` entities with the largest summed weight of a question's terms (any term may match).
-
-    questions(question_id, repository_id, terms), index from `postings` → (repository_id, question_id, id, score, rank).
-    The index is first cut to terms that are asked for; a question visits only blocks that hold one of its terms.
-    """
-    # stored: both are used for the counts, the tiles and the rows
-    asked = cut(_with_blocks(search_terms(questions), "question_id", question_block, "qb", "qbs"))
-    wanted = asked.select("repository_id", "term", "qb").distinct()
-    asked_for = index.select("repository_id", "id", "term", "weight").join(
-        wanted.select("repository_id", "term").distinct(), ["repository_id", "term"], "left_semi"
-    )
-    held = cut(_with_blocks(cut(asked_for), "id", entity_block, "eb", "ebs"))
-    tiles = held.select("repository_id", "term", "eb").distinct().join(wanted, ["repository_id", "term"])
-    left = held.join(tiles, ["repository_id", "term", "eb"]).select("repository_id", "eb", "qb", "id", "term", "weight")
-    right = asked.join(tiles, ["repository_id", "term", "qb"]).select("repository_id", "eb", "qb", "question_id", "term")
+def score_terms(k: int):
+    """Scores a tile of postings by a tile of questions' terms: the best `k` of each question."""
 
     def score(held_rows: pa.Table, asked_rows: pa.Table) -> pa.Table:
         if not len(held_rows) or not len(asked_rows):
@@ -200,7 +203,29 @@ def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH,
             scores.append(total[best])
         return _hits(held_rows.column("repository_id")[0].as_py(), asked_ids.tolist(), picks, ids, scores)
 
-    hits = _tiles(left).cogroup(_tiles(right)).applyInArrow(score, HITS)
+    return score
+
+
+def term_top_k(questions: DataFrame, index: DataFrame, k: int = C.SEARCH_DEPTH, entity_block: int = TERM_BLOCK,
+               question_block: int = QUESTION_BLOCK, stem: str | None = C.TEXT_LANGUAGE) -> DataFrame:
+    """The `k` entities with the largest summed weight of a question's terms (any term may match).
+
+    questions(question_id, repository_id, terms), index from `postings` with the same `stem` → (repository_id, question_id, id,
+    score, rank).
+    The index is first cut to terms that are asked for; a question visits only blocks that hold one of its terms.
+    """
+    # stored: both are used for the counts, the tiles and the rows
+    asked = cut(with_blocks(search_terms(questions, stem), "question_id", question_block, "qb", "qbs"))
+    wanted = asked.select("repository_id", "term", "qb").distinct()
+    asked_for = index.select("repository_id", "id", "term", "weight").join(
+        wanted.select("repository_id", "term").distinct(), ["repository_id", "term"], "left_semi"
+    )
+    held = cut(with_blocks(cut(asked_for), "id", entity_block, "eb", "ebs"))
+    met = held.select("repository_id", "term", "eb").distinct().join(wanted, ["repository_id", "term"])
+    left = held.join(met, ["repository_id", "term", "eb"]).select("repository_id", "eb", "qb", "id", "term", "weight")
+    right = asked.join(met, ["repository_id", "term", "qb"]).select("repository_id", "eb", "qb", "question_id", "term")
+
+    hits = tiles(left).cogroup(tiles(right)).applyInArrow(score_terms(k), HITS)
     return top_k(hits, ["repository_id", "question_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -278,7 +303,49 @@ def find_symbols(entities: DataFrame, needle: str, limit: int = 50) -> DataFrame
     return top_k(hits.select("repository_id", "id", "symbol_name", "symbol_type", "file_path", "route"), ["repository_id"], order, limit)
 
 
-def route_index(entities: DataFrame, limit: int | None = 1000, by_place: bool = False) -> DataFrame:
+def _outline_names(entities: DataFrame) -> DataFrame:
+    return entities.where(~F.col("symbol_type").isin(*C.NON_OUTLINE_TYPES) & (F.col("symbol_name") != ""))
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct runs of `size` letters of a text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(places, lambda i: F.substr(text, i, size)), lambda g: F.length(g) == size))
+
+
+def name_grams(entities: DataFrame) -> DataFrame:
+    """Index of names (repository_id, gram, symbol_name): every run of one to three lower-case letters of every distinct name."""
+    names = _outline_names(entities).select("repository_id", "symbol_name").distinct()
+    name = F.lower("symbol_name")
+    every = F.concat(*[_grams(name, F.lit(n)) for n in range(1, NAME_GRAM + 1)])
+    return explode_array(names, every, "gram", "repository_id", "symbol_name")
+
+
+def find_symbols_of(needles: DataFrame, entities: DataFrame, grams: DataFrame, limit: int = 50) -> DataFrame:
+    """Substring search for a table of needles(repository_id, needle_id, needle): exact names first, then shorter ones.
+
+    (repository_id, needle_id, id, symbol_name, symbol_type, file_path, route, rank), like `find_symbols` for each needle,
+    without regard to case and to blanks around the needle; an empty needle finds nothing.  `grams` as `name_grams` gives it.
+    A needle is looked up by the gram of its own that the fewest names of the repository hold; names found so are compared.
+    A needle of one or two letters is a gram itself.  Of a name that many entities share the first `limit` are enough.
+    """
+    asked = needles.select("repository_id", "needle_id", F.lower(F.trim("needle")).alias("needle")).where(F.col("needle") != "")
+    wanted = cut(asked.select("repository_id", "needle").distinct())
+    own = cut(explode_array(wanted, _grams(F.col("needle"), F.least(F.length("needle"), F.lit(NAME_GRAM))), "gram", "repository_id", "needle"))
+    asked_for = cut(grams.join(own.select("repository_id", "gram").distinct(), ["repository_id", "gram"], "left_semi"))
+    counts = asked_for.groupBy("repository_id", "gram").agg(F.count("*").alias("n"))
+    counted = own.join(counts, ["repository_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("repository_id", "needle").agg(F.min(F.struct("n", "gram")).alias("r")).select("repository_id", "needle", "r.gram")
+    matches = rarest.join(asked_for, ["repository_id", "gram"]).where(F.contains(F.lower("symbol_name"), F.col("needle"))).select("repository_id", "needle", "symbol_name")
+    held = _outline_names(entities).select("repository_id", "id", "symbol_name", "symbol_type", "file_path", "route")
+    held = held.join(matches.select("repository_id", "symbol_name").distinct(), ["repository_id", "symbol_name"], "left_semi")
+    held = top_k(held, ["repository_id", "symbol_name"], [F.asc("id")], limit, "_r").drop("_r")
+    order = [F.desc(F.lower("symbol_name") == F.col("needle")), F.asc(F.length("symbol_name")), F.asc("id")]
+    found = top_k(matches.join(held, ["repository_id", "symbol_name"]), ["repository_id", "needle"], order, limit)
+    return asked.join(found, ["repository_id", "needle"]).select("repository_id", "needle_id", "id", "symbol_name", "symbol_type", "file_path", "route", "rank")
+
+
+def route_index(entities: DataFrame, limit: int | None = None, by_place: bool = False) -> DataFrame:
     """Routed entities by route, or by file and line."""
     routed = entities.where(F.col("route").isNotNull()).select("repository_id", "id", "route", "file_path", "start_line", "symbol_name")
     order = [F.asc("file_path"), F.asc("start_line"), F.asc("id")] if by_place else [F.asc("route"), F.asc("id")]

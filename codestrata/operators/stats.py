@@ -57,8 +57,8 @@ def language_share(files: DataFrame) -> DataFrame:
     )
 
 
-def module_nodes(files: DataFrame, limit: int | None = 60) -> DataFrame:
-    """Modules of code files: files, lines, sorted distinct languages; the largest `limit` of each repository."""
+def module_nodes(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Modules of code files: files, lines, sorted distinct languages; the largest `limit` of each repository, all of them if not given."""
     code = files.where(~F.col("language").isin(*C.NON_SOURCE_LANGUAGES))
     nodes = code.groupBy("repository_id", "module").agg(
         F.count("*").alias("files"), F.sum("line_count").cast("long").alias("lines"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codestrata.functions import constants as C
 from codestrata.functions.paths import is_ignored_folder
 from codestrata.operators import architecture, chunks, extract, resolve, search, stats
 from codestrata.operators.ranking import cut, stable_id, union_all
@@ -30,9 +31,13 @@ def staging_entities(texts: DataFrame) -> DataFrame:
     return union_all(parsed.select(*STAGING), modules.select(*STAGING), pieces.select(*STAGING))
 
 
-def index_corpus(raw: DataFrame, embed_batch=None, max_files: int | None = None) -> dict[str, DataFrame]:
+def index_corpus(raw: DataFrame, embed_batch=None, max_files: int | None = None, stem: str | None = C.TEXT_LANGUAGE, load=None,
+                 known: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the repositories in raw(repository_id, path, size, content).
 
+    A model is given as `embed_batch`, or as `load`, which makes it: then equal texts are embedded once, and not at all if
+    `known`, the stored embeddings of an earlier run with that model, holds them.
+
     Entities and specifiers are stored once at the checkpoint folder, since every later table starts from them.
     """
     found = file_source.discover(raw, max_files=max_files)
@@ -52,8 +57,8 @@ def index_corpus(raw: DataFrame, embed_batch=None, max_files: int | None = None)
     relationships = resolve.resolve_calls(resolve.call_sites(staged), entities, file_imports)
     return {
         "files": files, "file_text": texts.select("repository_id", "path", "content"), "code_entities": entities,
-        "relationships": relationships, "file_imports": file_imports, "embeddings": embed_entities(entities, embed_batch),
-        "postings": search.postings(entities),
+        "relationships": relationships, "file_imports": file_imports, "embeddings": embed_entities(entities, embed_batch, load, known),
+        "postings": search.postings(entities, stem),
     }
 
 

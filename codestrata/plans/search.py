@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from codestrata.functions import text, vectors
+from codestrata.functions import constants as C, text, vectors
 from codestrata.operators import search
+from codestrata.operators.embedding import embed_once
 from codestrata.operators.ranking import cut
 
 
@@ -33,27 +34,33 @@ def with_focus_names(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return questions.join(names, ["repository_id", "focus_entity_id"], "left")
 
 
-def embed_entities(entities: DataFrame, embed_batch=None) -> DataFrame:
-    """(repository_id, id, embedding) of entities."""
+def embed_entities(entities: DataFrame, embed_batch=None, load=None, known: DataFrame | None = None) -> DataFrame:
+    """(repository_id, id, embedding) of entities.
+
+    With `load`, which makes a model, equal texts are embedded once and rows carry their text_hash; `known` are the
+    embeddings of an earlier run, whose unchanged texts are taken over.
+    """
     c = F.col
     prepared = entities.select(
         "repository_id", "id",
         text.embedding_text(c("symbol_type"), c("symbol_name"), c("parent"), c("route"), c("file_path"), c("content")).alias("t"),
     )
+    if load is not None:
+        return embed_once(prepared, "t", load, known)
     return vectors.embed(prepared, "t", embed_batch).drop("t")
 
 
 def hybrid_search(questions: DataFrame, entities: DataFrame, embeddings: DataFrame, index: DataFrame, embed_batch=None,
-                  limit: int = 10, architecture_limit: int = 14) -> DataFrame:
+                  limit: int = 10, architecture_limit: int = 14, stem: str | None = C.TEXT_LANGUAGE) -> DataFrame:
     """Best entities per question: vectors, terms and symbols fused, then re-scored.
 
     questions(question_id, repository_id, text[, focus_entity_id or focus_name]); entities without content; embeddings and index as built
-    once at indexing time.
+    once at indexing time, the index with the same `stem`.
     """
     asked = cut(understand(with_focus_names(questions, entities)))  # read once, used by every list below
     with_vectors = vectors.embed_questions(asked.select("repository_id", "question_id", "search_text"), "search_text", embed_batch)
     semantic = search.vector_top_k(with_vectors, embeddings)
-    keyword = search.term_top_k(asked, index)
+    keyword = search.term_top_k(asked, index, stem=stem)
     named = search.symbol_matches(asked, entities)
     lowered = asked.select("repository_id", "question_id", F.transform("identifiers", F.lower).alias("lowered"))
     symbol = named.join(lowered, ["repository_id", "question_id"]).withColumn(

@@ -33,6 +33,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
 
 
 def load_all() -> dict[str, Query]:
-    from . import code, evidence, graph, paths, search, segments, tables, text  # noqa: F401  (registration)
+    from . import code, evidence, graph, paths, search, segments, stemmed, tables, text  # noqa: F401  (registration)
 
     return REGISTRY

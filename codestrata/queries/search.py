@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from codestrata.functions import constants as C, vectors
-from codestrata.operators import search
+from codestrata.operators import pruned, search
 from codestrata.operators.ranking import cut
 from codestrata.plans import search as search_plan
 
-from . import query
+from . import REGISTRY, query
 from .text import UNDERSTOOD, words_sql
-from .views import Views, ctes
+from .views import SYMBOL, Views, ctes
 
 # Every vector is a question as well, all in one repository: the hot-group case.
 @query("vector_neighbours_t1", """
@@ -22,6 +22,12 @@ def vector_neighbours(v: Views):
     return search.vector_top_k(asked, held).drop("repository_id")
 
 
+@query("pruned_neighbours_t1", REGISTRY["vector_neighbours_t1"].sql)
+def pruned_neighbours(v: Views):
+    held = v.embeddings.select(F.lit("all").alias("repository_id"), F.col("vec_id").alias("id"), "embedding")
+    return pruned.vector_top_k_pruned(held.withColumnRenamed("id", "question_id"), *pruned.angle_rings(held))[0].drop("repository_id")
+
+
 QUESTION_VECTOR = [((i * 37) % 11 - 5) / 10.0 for i in range(64)]
 
 
@@ -66,6 +72,15 @@ def embedded_entities(v: Views):
     return cells.select("id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+# Every second entity's vector is at hand from before; the others' texts are embedded once each.
+@query("embedded_once_f1", REGISTRY["embedded_entities_f1_p14"].sql)
+def embedded_once(v: Views):
+    before = search_plan.embed_entities(v.entity_text.where("id % 2 = 0"), load=vectors.hashed_terms)
+    made = search_plan.embed_entities(v.entity_text, load=vectors.hashed_terms, known=cut(before))
+    cells = made.select("id", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0")
+    return cells.select("id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 POSTINGS_SQL = f"""
 posting AS MATERIALIZED (SELECT repository_id, id, term, round(sum(weight), 6) AS weight, count(*) AS tf FROM (
   SELECT repository_id, id, unnest(regexp_extract_all(lower({words_sql('symbol_name')}), '[a-z0-9]+')) AS term, 1.0::DOUBLE AS weight FROM entity_text
@@ -75,7 +90,7 @@ posting AS MATERIALIZED (SELECT repository_id, id, term, round(sum(weight), 6) A
 
 @query("postings_t2", ctes("entity_text") + "," + POSTINGS_SQL + " SELECT repository_id, id, term, weight, tf FROM posting")
 def postings(v: Views):
-    return search.postings(v.entity_text)
+    return search.postings(v.entity_text, stem=None)
 
 
 # Benchmark passages are questions to the documents that hold them: one large repository.
@@ -85,10 +100,23 @@ word AS (SELECT doc_id AS id, w AS term, round(sum(0.1::DOUBLE), 6) AS weight FR
 SELECT question_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM (
  SELECT t.question_id, w.id, round(sum(w.weight), 6) AS score FROM term t JOIN word w ON w.term = t.term WHERE t.term <> '' GROUP BY ALL)) WHERE rank <= 40""")
 def document_search(v: Views):
-    asked = search_plan.understand(v.benchmark.select(F.col("item_id").alias("question_id"), F.lit("docs").alias("repository_id"), "text"))
-    held = v.documents.select(F.lit("docs").alias("repository_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"),
+    return search.term_top_k(cut(document_questions(v)), cut(search.postings(document_entities(v), stem=None)), stem=None).drop("repository_id")
+
+
+def document_questions(v: Views):
+    return search_plan.understand(v.benchmark.select(F.col("item_id").alias("question_id"), F.lit("docs").alias("repository_id"), "text"))
+
+
+def document_entities(v: Views):
+    """Every document as an entity without a name."""
+    return v.documents.select(F.lit("docs").alias("repository_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"),
                               F.lit("").alias("symbol_name"), F.lit("").alias("file_path"))
-    return search.term_top_k(cut(asked), cut(search.postings(held))).drop("repository_id")
+
+
+@query("pruned_search_t2", REGISTRY["document_search_t2"].sql)
+def pruned_search(v: Views):
+    blocks = pruned.impact_blocks(cut(search.postings(document_entities(v), stem=None)))
+    return pruned.term_top_k_pruned(cut(document_questions(v)), *blocks, stem=None)[0].drop("repository_id")
 
 
 ASKED = ctes("questions", "entity_text") + UNDERSTOOD
@@ -129,7 +157,7 @@ def _lists(v: Views):
     embedded = search_plan.embed_entities(v.entity_text)
     asked_vectors = vectors.embed_questions(asked.select("repository_id", "question_id", "search_text"), "search_text")
     semantic = search.vector_top_k(asked_vectors, embedded)
-    keyword = search.term_top_k(asked, search.postings(v.entity_text))
+    keyword = search.term_top_k(asked, search.postings(v.entity_text, stem=None), stem=None)
     lowered = asked.select("repository_id", "question_id", F.transform("identifiers", F.lower).alias("lowered"))
     symbol = search.symbol_matches(asked, v.code_entities).join(lowered, ["repository_id", "question_id"]).withColumn(
         "is_identifier", F.array_contains("lowered", F.col("name")))
@@ -164,10 +192,28 @@ def hybrid_search(v: Views):
 def retrieved(v: Views, questions=None):
     """Hits of every question, over embeddings and postings stored beforehand as an index would."""
     return search_plan.hybrid_search(
-        v.questions if questions is None else questions, v.code_entities, cut(search_plan.embed_entities(v.entity_text)), cut(search.postings(v.entity_text))
+        v.questions if questions is None else questions, v.code_entities, cut(search_plan.embed_entities(v.entity_text)),
+        cut(search.postings(v.entity_text, stem=None)), stem=None,
     )
 
 
+# One needle of one to six letters for every part, in its repository.
+NEEDLES = f"""
+needles as (select p_partkey as needle_id, concat('repo', cast(p_partkey % 4 as string)) as repository_id,
+ substring({SYMBOL}, cast(1 + p_partkey % 5 as int), cast(1 + p_partkey % 6 as int)) as needle from part)"""
+
+
+@query("symbols_by_needle_p20_t3", ctes("code_entities") + "," + NEEDLES + f"""
+SELECT needle_id, id, symbol_name, rank FROM (SELECT n.needle_id, e.id, e.symbol_name, row_number() OVER (
+  PARTITION BY n.needle_id ORDER BY lower(e.symbol_name) = lower(n.needle) DESC, length(e.symbol_name), e.id) AS rank
+ FROM needles n JOIN code_entities e ON e.repository_id = n.repository_id AND e.symbol_name ILIKE concat('%', n.needle, '%')
+ WHERE e.symbol_type NOT IN ({", ".join(f"'{t}'" for t in C.NON_OUTLINE_TYPES)})) WHERE rank <= 50""")
+def symbols_by_needle(v: Views):
+    v.part.createOrReplaceTempView("part")
+    needles = v.spark.sql("WITH " + NEEDLES + " SELECT * FROM needles")
+    return search.find_symbols_of(needles, v.code_entities, cut(search.name_grams(v.code_entities))).select("needle_id", "id", "symbol_name", "rank")
+
+
 # The same re-scoring over stand-in scores, with every entity type, tests, generated files and routes.
 @query("rescore_w2", ctes("paths") + f"""
 , hit AS (SELECT id, path AS file_path, 1.0::DOUBLE / (60 + id % 40) AS score, id % 2 = 0 AS about_tests,
