@@ -18,7 +18,7 @@ from ..operators.ranking import top_k
 from .common import Batches, bounded_batches, stored
 from .topk import _bytes, _matrix, _numbers
 
-#: Side from which on a product is split, anchors of a pack, rows of a tile, tiles that a task sees together.
+#: Side from which on a product is split, anchors of a pack, rows of a tile, full tiles that a task sees together.
 LEAF, PACK, TILE, GROUP = 64, 512, 2048, 8
 TILE_COLUMNS = "tile long, ids binary, labels binary, matrix binary, width int"
 
@@ -136,7 +136,8 @@ def _products(q: np.ndarray, c: np.ndarray, leaf: int) -> np.ndarray:
 
 def _met(packs: DataFrame, tiles: DataFrame, run, schema: str) -> DataFrame:
     """`run` over every pack with every tile; the tiles of a group follow each other for a pack."""
-    groups = max(1, -(-tiles.count() // GROUP))
+    rows = tiles.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 8
+    groups = max(1, -(-rows // (GROUP * TILE)))  # by rows: many small tiles don't make more groups
     grouped = tiles.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int"))
     asked = packs.withColumnsRenamed({c: f"q_{c}" for c in ("tile", "ids", "labels", "matrix", "width")}).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
