@@ -20,11 +20,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Batches, documents, slices
-
-#: Words encoded by one query, tokens decoded by one query, texts split at once, words a task keeps, and bytes up to which a word takes part
-#: in the query: it needs as many rounds as merges, so the rare longer ones are contracted by a heap of their pairs.
-WORDS_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 40_000, 400_000, 1200, 500_000, 512
+from .common import Batches, documents, kept, slices
+
+#: Bytes of words encoded by one query, tokens decoded by one query, texts split at once, words a worker keeps, and bytes up to
+#: which a word takes part in the query.  A word needs as many rounds as merges, and every round reads all its rows, so that work
+#: grows with the square of its length; from about 64 bytes on a heap of its pairs is faster, and words are rarely that long.
+BYTES_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 1 << 18, 400_000, 1200, 500_000, 64
+#: Embedded databases hold one query's rows and a table of the file; they don't spill.
+DUCK = {"threads": 1, "memory_limit": "500MB", "temp_directory": ""}
 #: White space as Unicode has it.
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts without characters from here on are split by the faster engine, whose classes are spelled out below that.
@@ -82,7 +85,7 @@ class Splitter:
 
 
 class Encoder:
-    """Merge table and words of one task."""
+    """Merge table and words of one worker."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
@@ -90,7 +93,7 @@ class Encoder:
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.tokens = {self._text(t): np.array([r], "<u4").tobytes() for t, r in self.ranks.items() if self._text(t) is not None}
         self.known = dict(self.tokens)
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.duck = duckdb.connect(config=DUCK)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         pair = np.array([a << 32 | b for a, b, _ in pairs], np.int64)
         self.duck.register("given", pa.table({"pair": pair, "merged": np.array([r for *_, r in pairs], np.int64)}))
@@ -104,11 +107,11 @@ class Encoder:
             return None
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words, each by the recursive query."""
+        """Ids of words, each by the recursive query; words of like length, which need like numbers of rounds, go together."""
         out = [b""] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for at in range(0, len(short), WORDS_AT_ONCE):
-            part = short[at:at + WORDS_AT_ONCE]
+        short = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: len(words[i]))
+        cuts_at = np.flatnonzero(np.diff(np.cumsum([0, *(len(words[i]) for i in short)]) // BYTES_AT_ONCE)) + 1
+        for part in filter(None, (short[a:b] for a, b in zip([0, *cuts_at.tolist()], [*cuts_at.tolist(), len(short)], strict=True))):
             sizes = np.array([len(words[i]) for i in part], np.int64)
             ends = np.cumsum(sizes)
             start = pa.table({"word": np.repeat(np.array(part, np.int64), sizes), "pos": np.arange(ends[-1]) - np.repeat(ends - sizes, sizes),
@@ -163,11 +166,11 @@ class Encoder:
 
 
 class Decoder:
-    """Vocabulary of one task."""
+    """Vocabulary of one worker."""
 
     def __init__(self, path: str) -> None:
         ranks = read_ranks(path)
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.duck = duckdb.connect(config=DUCK)
         self.duck.register("given", pa.table({"id": np.array(list(ranks.values()), np.int64), "hex": pa.array([t.hex() for t in ranks])}))
         self.duck.execute("create table vocabulary as select * from given")
 
@@ -199,9 +202,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Batches) -> Batches:
-        codec = None
         for batch in slices(batches, TEXTS_AT_ONCE):
-            codec = codec or Encoder(path, pattern)
+            codec = kept(("encoder", path, pattern), lambda: Encoder(path, pattern))
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.encode(texts), pa.binary())], ["doc_id", "ids"])
 
@@ -212,9 +214,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded (the bytes the ids stand for) of every row of encode()'s form; null ids give null."""
 
     def run(batches: Batches) -> Batches:
-        codec = None
         for batch in slices(batches, TEXTS_AT_ONCE):
-            codec = codec or Decoder(path)
+            codec = kept(("decoder", path), lambda: Decoder(path))
             ids = batch.column(1).to_pylist()
             text = [t if i is not None else None for i, t in zip(ids, codec.decode([i or b"" for i in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +21,17 @@ def slices(batches: Batches, rows: int = 1000) -> Batches:
             yield batch.slice(at, rows)
 
 
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker has made under `key` in this or an earlier task: tables that depend on a file, not on the rows.
+
+    Functions reach the workers by value, and their globals with them anew for every task; a module of its own stays.
+    """
+    own = sys.modules.setdefault("_codestrata_kept", ModuleType("_codestrata_kept")).__dict__
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -34,7 +35,9 @@ def test_codec_is_the_librarys(spark, words):
         assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
 
 
-def test_long_words_agree():
+def test_long_words_agree(monkeypatch):
+    """The recursive query and the heap, on words of any length."""
+    monkeypatch.setattr(bpe, "LONG", 1 << 20)
     encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
     draw = random.Random(4)
     for _ in range(50):
@@ -42,6 +45,18 @@ def test_long_words_agree():
         assert encoder.contract([word])[0] == encoder._long(word)
 
 
+def test_a_batch_of_long_words_ends():
+    """Thousands of words of up to 500 bytes in one batch, as in hex dumps: seconds, and the ids of the library."""
+    encoder, draw = bpe.Encoder(RANKS, public_tokenizers.PATTERN), random.Random(6)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    found = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(1, 500))) for _ in range(6000)]
+    begun = time.monotonic()
+    ids = encoder.contract([w.encode() for w in found])
+    assert time.monotonic() - begun < 60
+    for word, own in zip(found[::20], ids[::20], strict=True):
+        assert np.frombuffer(own, "<u4").tolist() == library.encode_ordinary(word)
+
+
 def test_splitters_agree():
     split = bpe.Splitter(public_tokenizers.PATTERN)
     draw = random.Random(5)
