@@ -6,8 +6,8 @@ home).  Of two halves one bit apart, each lies within radius 1 + threshold 1 of
 replicated to every anchor within that distance (at most 17 a half), and compared where one of them is at home.  An
 anchor is 27 bits, the halves are kept apart by one more.
 
-Near copies by five-word similarity meet at other anchors: BANDS groups of BAND least hashes of their shingles.  What meets
-there is checked by the shingles themselves.
+Near copies by five-word similarity meet at other anchors: BANDS groups of BAND least hashes of their shingles.  What hangs
+together by what meets there is compared by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ NEAR_WORDS, SIMILARITY, SKETCH = 5, 0.8, 256
 #: Anchors of a text, and least hashes that make one: at similarity 0.8 all differ for 4 pairs in 10 million.  Deviations
 #: that the bits of SKETCH may be off before a pair is left unchecked.
 BANDS, BAND, DEVIATIONS = 28, 4, 6
-#: Refuted links a node may have in the first search after the forest; each further one allows WIDER times as many.
-TRIED, WIDER = 16, 16
+#: Members and shingles of a family that are compared in one task, and shingles of a product of their matrices.
+CELL, CELL_SHINGLES, COLUMNS = 2048, 1 << 22, 4096
 WORDS = 3
 SEED = 42
 #: Rows above which an anchor is dealt in blocks of homes and blocks of all its rows, a task for two of them.
@@ -206,44 +206,25 @@ def _compare(nodes: np.ndarray, checks: np.ndarray, is_home: np.ndarray, bits: i
     return nodes[a], nodes[b]
 
 
-def _across(nodes: np.ndarray, checks: np.ndarray, is_home: np.ndarray, bits: int, roots: np.ndarray, tried: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one anchor with different roots, `tried` of a home at most; a home with more is paired with itself besides."""
-    homes, a, b = np.flatnonzero(is_home), [], []
-    step = max(1, PAIRS_AT_ONCE // len(nodes) // checks.shape[1])
-    for at in range(0, len(homes), step):
-        rows = homes[at:at + step]
-        left, right = np.nonzero((roots[rows][:, None] != roots[None, :]) & (_apart(checks[rows][:, None, :], checks[None, :, :]) <= bits))
-        first = np.searchsorted(left, left)  # left is sorted
-        use = np.arange(len(left)) - first < tried
-        more = np.unique(rows[left[~use]])
-        a += [nodes[rows[left[use]]], nodes[more]]
-        b += [nodes[right[use]], nodes[more]]
-    return np.concatenate(a), np.concatenate(b)
-
-
 def _words(column: pa.Array) -> np.ndarray:
     """Checks of one length as rows of 64-bit words."""
     joined = b"".join(column.to_pylist())
     return np.frombuffer(joined, "<u8").reshape(len(column), -1)
 
 
-def _links(bits: int, tried: int | None = None):
-    """Columns anchor, node, check, home (and root, with `tried`), sorted by anchor → links of each anchor."""
+def _links(bits: int):
+    """Columns anchor, node, check, home, sorted by anchor → links of each anchor."""
 
-    def emit(keys: np.ndarray, nodes: np.ndarray, homes: np.ndarray, *roots: np.ndarray):
-        """keys sorted; whole anchors.  The last of `roots` are the checks."""
-        *roots, checks = roots
+    def emit(keys: np.ndarray, nodes: np.ndarray, homes: np.ndarray, checks: np.ndarray):
+        """keys sorted; whole anchors."""
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         useful = (sizes > 1) & (np.add.reduceat(homes.astype(np.int64), starts) > 0)
         first = starts[useful & (sizes == 2)]
         first = first[_apart(checks[first], checks[first + 1]) <= bits]
-        if tried is not None:
-            first = first[roots[0][first] != roots[0][first + 1]]
         a, b = [nodes[first]], [nodes[first + 1]]
         for start, size in zip(starts[useful & (sizes > 2)].tolist(), sizes[useful & (sizes > 2)].tolist(), strict=True):
-            own = [c[start:start + size] for c in (nodes, checks, homes)]
-            x, y = _compare(*own, bits) if tried is None else _across(*own, bits, roots[0][start:start + size], tried)
+            x, y = _compare(*(c[start:start + size] for c in (nodes, checks, homes)), bits)
             a.append(x)
             b.append(y)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -253,7 +234,7 @@ def _links(bits: int, tried: int | None = None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, *range(4, batch.num_columns))), _words(batch.column(2))]
+            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)), _words(batch.column(2))]
             if held and held[-1][0][0] != now[0][0]:
                 yield emit(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
@@ -291,8 +272,8 @@ def dealt(placed: DataFrame, counted: DataFrame, block: int | None = None) -> Da
     return met.select(*[F.col(f"__cell.{c}").alias(c) if c in ("anchor", "home") else c for c in placed.columns])
 
 
-def _met(placed: DataFrame, bits: int, tried: int | None = None) -> DataFrame:
-    return placed.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(_links(bits, tried), "a long, b long")
+def _met(placed: DataFrame, bits: int) -> DataFrame:
+    return placed.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(_links(bits), "a long, b long")
 
 
 def links(fps: DataFrame, bits: int = BITS, block: int | None = None) -> DataFrame:
@@ -305,14 +286,14 @@ def links(fps: DataFrame, bits: int = BITS, block: int | None = None) -> DataFra
     return _met(dealt(placed, placed, block), bits).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that links reach, for nodes with links.
 
     Rounds of large and small stars: each rewires every node to the smallest node it knows, so a chain's length shrinks
     by a factor a round.  Hubs are aggregated before the shuffle, and joins with them can be split.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
-    for _ in range(most_rounds):
+    while True:
         both = union_all(edges, edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("low"))
         # stored, so that the join deals both sides anew and can split a hub
@@ -326,7 +307,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
             return new
         edges = new
-    raise RuntimeError("components did not settle")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -375,11 +355,91 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b, ok: whether shingles of the two are shared to `similarity` of all their shingles, or more."""
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return met.select("a", "b", (shared / (F.size("x") + F.size("y") - shared) >= similarity).alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok"))
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the left sets shares with each of the right ones: products of 0-1 matrices, some columns at a time."""
+    sizes = np.array([len(x) for x in (*left, *right)])
+    values, column, held = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    use = held[column] > 1
+    row, column = np.repeat(np.arange(len(sizes)), sizes)[use], (np.cumsum(held > 1) - 1)[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24, as sets are cut to cells by their size
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        dense = np.zeros((len(sizes), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        dense[row[part], column[part] - at] = 1
+        out += dense[:len(left)] @ dense[len(left):].T
+    return out
+
+
+def _alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which left sets share `similarity` of all their shingles with which right ones, or more."""
+    x, y, shared = np.array([len(s) for s in left], float), np.array([len(s) for s in right], float), _shared(left, right)
+    return np.stack([row / (n + y - row) >= similarity for n, row in zip(x, shared, strict=True)]) if len(left) else np.zeros((0, len(right)), bool)
+
+
+def _tree(alike: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    out, waiting = [], np.ones(len(alike), bool)
+    for start in range(len(alike)):
+        if not waiting[start]:
+            continue
+        waiting[start], front = False, [start]
+        while front:
+            node = front.pop()
+            new = np.flatnonzero(alike[node] & waiting)
+            waiting[new] = False
+            out += [(node, other) for other in new.tolist()]
+            front += new.tolist()
+    return out
+
+
+def _cell(nodes: np.ndarray, sides: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of one cell that connect what is alike and not known to be connected: of all its members, or of one side with the other."""
+    if sides.any():
+        order = np.argsort(sides, kind="stable")
+        nodes, roots, sets, n = nodes[order], roots[order], [sets[i] for i in order.tolist()], int((sides == 1).sum())
+        alike = np.zeros((len(sets), len(sets)), bool)
+        alike[:n, n:] = _alike(sets[:n], sets[n:], similarity)
+        alike |= alike.T
+    else:
+        alike = _alike(sets, sets, similarity)
+    place = {root: i for i, root in enumerate(np.unique(roots).tolist())}
+    forest, own = _Forest(len(place)), [place[r] for r in roots.tolist()]
+    return [(int(nodes[a]), int(nodes[b])) for a, b in _tree(alike) if forest.join(own[a], own[b])]
+
+
+def _cells(similarity: float):
+    """Columns cell, side, node, root, shingles, sorted by cell → links of each cell."""
+
+    def run(batches: Batches) -> Batches:
+        now, held = None, []
+
+        def emit() -> pa.RecordBatch:
+            nodes, sides, roots = (np.array([r[i] for r in held], np.int64) for i in range(3))
+            found = _cell(nodes, sides, roots, [r[3] for r in held], similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            sets, values = batch.column(4), batch.column(4).flatten().to_numpy()
+            ends = np.asarray(sets.offsets) - (sets.offsets[0].as_py() if len(sets.offsets) else 0)
+            for i, (cell, side, node, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if cell != now:
+                    if held:
+                        yield emit()
+                    now, held = cell, []
+                held.append((node, side, root, values[ends[i]:ends[i + 1]]))
+        if held:
+            yield emit()
+
+    return run
+
+
+def _compared(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of rows (cell, side, node, root): each cell's sets meet in one task."""
+    met = rows.join(sets, "node").select("cell", "side", "node", "root", "shingles")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    return met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(similarity), "a long, b long").select(*pair).distinct()
 
 
 def _rooted(edges: DataFrame) -> DataFrame:
@@ -388,35 +448,53 @@ def _rooted(edges: DataFrame) -> DataFrame:
     return union_all(linked, linked.select(F.col("root").alias("node"), "root").distinct())
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block: int | None = None, tried: int = TRIED) -> DataFrame:
+def _with_roots(members: DataFrame, edges: DataFrame) -> DataFrame:
+    return members.drop("root").join(_rooted(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def family_links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, weight: int = CELL_SHINGLES) -> DataFrame:
+    """Links (a, b) of at least `similarity` that connect what all such links within families connect.
+
+    members: family, node; sets: node, shingles.  A family is compared in cells of some `cell` members or `weight` shingles,
+    whose sets meet in one task; only links of a spanning forest leave it.  What one cell holds is done then.  Of a larger
+    family one member of every group found so is compared next; where more than one group is left, all pairs of its cells.
+    """
+    sized = members.join(sets.select("node", F.size("shingles").alias("size")), "node")
+    families = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("size") / weight)).cast("int").alias("parts"))
+    placed = stored(members.join(families, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "members")
+    within = lambda rows: rows.select(F.xxhash64("family", "part").alias("cell"), F.lit(0).alias("side"), "node", "root")
+    found = stored(_compared(within(placed.withColumn("root", F.col("node"))), sets, similarity), "links")
+    large = placed.where("parts > 1")
+    if large.isEmpty():
+        return found
+    rooted = stored(_with_roots(large, found), "rooted")
+    heads = rooted.groupBy("family", F.col("root").alias("node")).agg(F.count("*").alias("n"))
+    counted = heads.groupBy("family").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
+    heads = heads.join(counted, "family").select("family", "node", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).alias("part"), F.col("node").alias("root"))
+    found = stored(union_all(found, _compared(within(heads), sets, similarity)), "links")
+    rooted = stored(_with_roots(large, found), "rooted")
+    several = rooted.groupBy("family").agg(F.count_distinct("root").alias("n")).where("n > 1").select("family")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")))
+    pairs = rooted.join(several, "family", "left_semi").select("family", "node", "root", "part", other.alias("other"))
+    cells = pairs.select(F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other"), F.lit(2)).alias("cell"),
+                         F.when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"), "node", "root")
+    return union_all(found, _compared(cells, sets, similarity)).distinct()
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block: int | None = None, cell: int = CELL, weight: int = CELL_SHINGLES) -> DataFrame:
     """Links (a, b) of at least `similarity` that connect what all such links connect.  `nodes`: low, sketch, bands; `docs`: doc_id, text.
 
-    First every anchor gives a spanning forest of the links its sketches propose, and all of them are checked by their
-    shingles.  Where one is refuted, its nodes are searched again for pairs not yet connected, more of each node every
-    time, until no pair is left unchecked.
+    First every anchor gives a spanning forest of the links its sketches propose; what hangs together by them is a family.
+    Then the shingles of a family's members are compared with each other, whoever proposed them.
     """
     share = (1 - similarity) / 2  # of their bits, two sketches differ in this on average
     bits = int(SKETCH * share + DEVIATIONS * (SKETCH * share * (1 - share)) ** 0.5)
     placed = nodes.select(F.explode("bands").alias("anchor"), F.col("low").alias("node"), F.col("sketch").alias("check"), F.lit(True).alias("home"))
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    proposed = stored(_met(dealt(placed, placed, block), bits).where("a <> b").select(*pair).distinct(), "simhash")
-    ends = stored(proposed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash")
-    sets = stored(shingle_sets(docs.join(ends, "doc_id", "left_semi")), "simhash")
-    known = stored(checked(proposed, sets, similarity), "simhash")
-    while not known.where("not ok").isEmpty():
-        # what hangs together by proposed links, refuted ones too, and holds a refuted one
-        groups = _rooted(proposed)
-        open_groups = groups.join(known.where("not ok").select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
-        mine = groups.join(open_groups, "root", "left_semi").select("node")
-        rooted = stored(mine.join(_rooted(known.where("ok").select("a", "b")), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "simhash")
-        again = stored(placed.join(rooted, "node").select("anchor", "node", "check", "home", "root"), "simhash")
-        found = stored(_met(dealt(again, again, block), bits, tried).select(*pair).distinct(), "simhash")
-        new = checked(found.where("a <> b").join(known, ["a", "b"], "left_anti"), sets, similarity)
-        known = stored(union_all(known, new), "simhash")
-        if found.where("a = b").isEmpty():
-            break
-        tried *= WIDER
-    return known.where("ok").select("a", "b")
+    proposed = stored(_met(dealt(placed, placed, block), bits).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash")
+    members = stored(_rooted(proposed).withColumnRenamed("root", "family"), "simhash")
+    sets = stored(shingle_sets(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")).withColumnRenamed("doc_id", "node")
+                  .dropDuplicates(["node"]), "simhash")
+    return family_links(members, sets, similarity, cell, weight)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -432,4 +510,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lows = nodes.select("node", "low").join(linked.select(F.col("node").alias("low"), "root"), "low", "left").select("node", F.coalesce("root", "low").alias("keep"))
     # stored, so that the join deals both sides anew and can split a hot signature
     dropped = rows.select("doc_id", "node").join(stored(lows, "simhash"), "node").where("doc_id <> keep").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(dropped, F.col(f"`{id_col}`").cast("long") == F.col("__drop"), "left_anti")
+    return docs.join(dropped, docs[f"`{id_col}`"].cast("long") == dropped["__drop"], "left_anti")

@@ -228,7 +228,7 @@ def test_near_copies_against_brute_force(spark):
 
 
 def test_refuted_links_hide_no_other(spark):
-    """All pairs of a large group meet, at 0.7 to 0.9, and a node has than it tries at first: the same components as by brute force."""
+    """All pairs of a large group meet, at 0.7 to 0.9, in one cell or many: the same components as by brute force."""
     draw, rows = random.Random(13), []
     base = [f"w{i}" for i in range(200)]
     for i in range(80):
@@ -241,12 +241,53 @@ def test_refuted_links_hide_no_other(spark):
             roots[a] = roots[b] = min(roots[a], roots[b])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     nodes = simhash.signatures(docs).selectExpr("doc_id as low", "sketch", "bands")
-    for tried in (1, 16):
-        linked = {r.node: r.root for r in simhash.components(simhash.similar_links(nodes, docs, block=30, tried=tried)).collect()}
+    for cell, weight in ((1000, 1 << 22), (7, 1 << 22), (1000, 3000)):
+        linked = {r.node: r.root for r in simhash.components(simhash.similar_links(nodes, docs, block=30, cell=cell, weight=weight)).collect()}
         assert {i: linked.get(i, i) for i in sets} == roots
     assert 1 < len(set(roots.values())) < 80
 
 
+@pytest.mark.parametrize("family", [400, 2000])
+def test_a_family_below_the_similarity_stays_linear(spark, family):
+    """Members share 0.6 to 0.79 of their shingles with each other: no link, and few rows leave the tasks on the way."""
+    draw, base = random.Random(15), [f"w{i}" for i in range(240)]
+    rows = [(i, " ".join([*base[:draw.randrange(190, 215)], *(f"v{i}x{j}" for j in range(28))])) for i in range(family)]
+    rows += [(family + i, rows[i][1] + " end") for i in range(5)]  # five true copies
+    sets = [plain_shingles(t) for _, t in rows[:60]]
+    similar = [len(a & b) / len(a | b) for a in sets for b in sets if a is not b]
+    assert 0.6 < min(similar) and max(similar) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = simhash.signatures(docs).selectExpr("doc_id as low", "sketch", "bands")
+    found = simhash.similar_links(nodes, docs, cell=300).collect()
+    every = {i: plain_shingles(t) for i, t in rows}
+    roots = plain_similar(every)
+    linked = {r.node: r.root for r in simhash.components(spark.createDataFrame([(r.a, r.b) for r in found], "a long, b long")).collect()}
+    assert {i: linked.get(i, i) for i in every} == roots and len(set(roots.values())) == family
+    assert len(found) <= 2 * 5
+
+
+def plain_similar(sets):
+    """Roots of the sets by brute force, over counts of common shingles."""
+    places = {s: i for i, s in enumerate(set().union(*sets.values()))}
+    ids = sorted(sets)
+    dense = np.zeros((len(ids), len(places)), np.float32)
+    for row, i in enumerate(ids):
+        dense[row, [places[s] for s in sets[i]]] = 1
+    shared, size = dense @ dense.T, dense.sum(axis=1)
+    alike = shared >= 0.8 * (size[:, None] + size[None, :] - shared).astype(float)
+    roots = {i: i for i in ids}
+
+    def find(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+        x, y = find(ids[a]), find(ids[b])
+        roots[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
 @pytest.mark.parametrize("block", [8, 50])
 def test_hot_anchors_are_dealt_in_blocks(spark, block):
     """A family around one fingerprint: no task's anchor holds more than its blocks, and no link is lost."""
