@@ -2,9 +2,10 @@
 
 Files are placed once by (repository_id, path). Their lines, the bracket depth or indentation of every line, the
 matching of a definition to its last line, and the join back to the text all use that placement: one shuffle of text.
-Rules are data: a pattern gives the kind and the name of the definition that starts on a line. Block ends come from
-bracket depth (JavaScript, TypeScript, Java, Go) or indentation (Python). The result is approximate by design: a
-bracket inside a construct the cleaning does not know can move an end line.
+A lexer tells code from strings, comments and regular expressions, and cuts a line where a definition begins inside it.
+Rules are data: a pattern gives the kind and the name of the definition that starts on such a piece. Block ends come from
+bracket depth (JavaScript, TypeScript, Java, Go) or indentation (Python). The result is approximate by design: a syntax tree
+would know more of what a rule can only guess.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codestrata.functions import constants as C
+from codestrata.functions.lexer import file_code, file_pieces
 from codestrata.functions.paths import route_of_file
 from codestrata.functions.routes import CONTROLLER_PREFIX, REQUEST_MAPPING_PREFIX, decorator_route, router_prefixes
 from codestrata.functions.text import call_names, clip, header_of, lines_of
@@ -69,55 +71,22 @@ JS_ROUTE = (
 GO_ROUTE = r"\.(HandleFunc|Handle|GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete|Any)\(\s*[\"`](/[^\"`]*)[\"`]"
 JSX = r"(?m)(?:^|return|[(=>&|?:,{])\s*<(?:[A-Za-z][\w.]*(?:\s|/?>)|>)"
 
-STRINGS = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
-TEMPLATES = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
-MARK = "\u0001"
-
-
-def _clean(line: Column, language: Column) -> Column:
-    """A line without strings and line comments; an unclosed long string leaves a mark or a back-quote."""
-    hashed = F.regexp_replace(line, r'"""(?:[^"\\]|\\.|"(?!""))*+"""|' + r"'''(?:[^'\\]|\\.|'(?!''))*+'''", "''")
-    hashed = F.regexp_replace(hashed, r'"""|' + r"'''", MARK)
-    hashed = F.regexp_replace(F.regexp_replace(hashed, f"({STRINGS})|#.*$", "$1"), STRINGS, "''")
-    slashed = F.regexp_replace(line, '"""', MARK)
-    slashed = F.regexp_replace(slashed, f"({STRINGS}|{TEMPLATES})" + r"|//.*$|/\*.*?\*/", "$1")
-    slashed = F.regexp_replace(slashed, f"{STRINGS}|{TEMPLATES}", "''")
-    return F.when(language.isin(*PY), hashed).otherwise(slashed)
-
 
 def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def scanned_lines(files: DataFrame) -> DataFrame:
-    """Lines with what the block rules need: depth before and after, indentation, cleaned code, decorator runs.
+    """Pieces of files with what the block rules need: depth before and after, indentation, code, decorator runs.
 
-    files(repository_id, path, language, content) must already be placed by (repository_id, path).
+    files(repository_id, path, language, pieces) must already be placed by (repository_id, path).  A piece is a line, or a
+    part of one; `n` numbers the pieces of a file.
     """
     order = Window.partitionBy(*FILE).orderBy("n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     is_py, c = F.col("language").isin(*PY), F.col
-    lines = files.select(*FILE, "language", F.posexplode(lines_of(c("content"))).alias("i", "raw")).select(
-        *FILE, "language", (c("i") + 1).alias("n"), F.regexp_replace("raw", r"\s+$", "").alias("line")
-    ).withColumn("clean", _clean(c("line"), c("language")))
-
-    # Long strings: an odd number of marks on a line opens or closes one.
-    odd = F.size(F.split(c("clean"), f"[{MARK}`]")) % 2 == 0
-    lines = lines.withColumns({"odd": odd, "in_text": F.coalesce(F.sum(odd.cast("int")).over(before), F.lit(0)) % 2 == 1})
-    code = F.expr(
-        f"case when in_text and odd then regexp_replace(clean, '^[^{MARK}`]*[{MARK}`]', '') when in_text then '' "
-        f"when odd then concat(regexp_replace(clean, '[{MARK}`].*$', ''), '\\'\\'') else clean end"
-    )
-    # Block comments, likewise.
-    lines = lines.withColumn("code", code)
-    opened = F.when(~is_py & F.contains(c("code"), F.lit("/*")), 1).otherwise(0)
-    closed = F.when(~is_py & F.contains(c("code"), F.lit("*/")), 1).otherwise(0)
-    in_note = F.coalesce(F.sum(opened - closed).over(before), F.lit(0)) > 0
-    lines = lines.withColumn("in_note", in_note).withColumn(
-        "code",
-        F.when(c("in_note") & (closed == 1), F.regexp_replace("code", r"^.*?\*/", ""))
-        .when(c("in_note"), F.lit("")).when(opened == 1, F.regexp_replace("code", r"/\*.*$", "")).otherwise(c("code")),
-    )
+    lines = files.select(*FILE, "language", F.posexplode("pieces").alias("i", "piece")).select(
+        *FILE, "language", (c("i") + 1).alias("n"), F.regexp_replace("piece.line", r"\s+$", "").alias("line"), "piece.code", "piece.in_text")
     delta = _count(c("code"), r"[({\[]") - _count(c("code"), r"[)}\]]")
     depth = F.coalesce(F.sum(delta).over(before), F.lit(0))
     lines = lines.withColumns({"depth": depth, "after": depth + delta})
@@ -226,13 +195,13 @@ def definition_ranges(lines: DataFrame) -> DataFrame:
     )
 
 
-def _call_text(name: Column, language: Column, text: Column) -> Column:
-    """The text behind a definition's own name, without strings and comments."""
-    at = F.instr(text, name)
-    body = F.when(at > 0, F.substring(text, at + F.length(name), F.length(text))).otherwise(text)
-    hashed = F.regexp_replace(body, r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + STRINGS + r"|#[^\n]*|\bdef\s+\w+", "''")
-    slashed = F.regexp_replace(body, STRINGS + "|" + TEMPLATES + r"|//[^\n]*|/\*[\s\S]*?\*/|\bfunction\s*\*?\s*\w*", "''")
-    return F.when(language.isin(*PY), hashed).otherwise(slashed)
+def _call_text(name: Column, language: Column, code: Column) -> Column:
+    """The code behind a definition's own name, without the names of functions defined in it."""
+    at = F.instr(code, name)
+    body = F.when(at > 0, F.substring(code, at + F.length(name), F.length(code))).otherwise(code)
+    own = F.when(language.isin(*PY), F.regexp_replace(body, r"\bdef\s+\w+", "''")).otherwise(F.regexp_replace(body, r"\bfunction\s*\*?\s*\w*", "''"))
+    # Type arguments stand between a name and its parenthesis in scripts.
+    return F.when(language.isin(*JS), F.regexp_replace(own, r"([A-Za-z_$][\w$]*)<[\w$\s,.|\[\]<>]+>(?=\()", "$1")).otherwise(own)
 
 
 HEADS = {  # definitions, whose names stand before a parenthesis without being called
@@ -244,7 +213,7 @@ HEADS = {  # definitions, whose names stand before a parenthesis without being c
 
 def loose_calls(content: Column, language: Column) -> Column:
     """Names called in a whole file: strings, comments, and the names of definitions are left out."""
-    bare = _call_text(F.lit("\0"), language, content)
+    bare = _call_text(F.lit("\0"), language, file_code(content, language))
     text = F.regexp_replace(bare, HEADS[""], "''")
     for name in ("Python", "Java", "Go"):
         text = F.when(language == name, F.regexp_replace(bare, HEADS[name], "''")).otherwise(text)
@@ -257,14 +226,20 @@ def extract_entities(files: DataFrame, clipped: bool = False, max_calls: int | N
     files(repository_id, path, language, content); other languages are passed over. `clipped` cuts the stored text of an
     entity to the lines a small index keeps, `max_calls` its call names.
     """
-    placed = place(files.where(F.col("language").isin(*PARSED)).select(*FILE, "language", "content"), *FILE)
+    placed = place(files.where(F.col("language").isin(*PARSED)).select(*FILE, "language", "content"), *FILE).withColumn(
+        "pieces", file_pieces(F.col("content"), F.col("language")))
     found = definition_ranges(scanned_lines(placed))
     # A file's definitions meet its text once; both sides are placed by file already.
     listed = found.groupBy(*FILE).agg(F.collect_list(F.struct("n", "start", "end", "kind", "place", "name", "receiver", "called", "owner",
                                                              "owner_n", "owner_start")).alias("defs"))
-    rows = placed.join(listed, FILE).select(*FILE, "language", "content", lines_of(F.col("content")).alias("lines"),
-                                            F.explode("defs").alias("d")).select(*FILE, "language", "content", "lines", "d.*")
+    rows = placed.join(listed, FILE).select(*FILE, "language", "content", "pieces", lines_of(F.col("content")).alias("lines"),
+                                            F.explode("defs").alias("d")).select(*FILE, "language", "content", "pieces", "lines", "d.*")
     c = F.col
+    # Definitions are ranges of pieces; from here on they are ranges of lines, but for the code, which is that of the pieces.
+    line_at = lambda piece: F.get("pieces", c(piece) - 1)["n"]
+    code = F.array_join(F.transform(F.slice("pieces", c("n"), c("end") - c("n") + 1), lambda p: p["code"]), "\n")
+    rows = rows.select("*", F.inline(F.array(F.struct(code.alias("code"), F.get("pieces", c("n") - 1)["line"].alias("first_line"))))).withColumns(
+        {name: line_at(name) for name in ("n", "start", "end", "owner_n", "owner_start")}).drop("pieces")
     lang, kind, lines = c("language"), c("kind"), c("lines")
     is_js, is_py, is_java, is_go = (lang.isin(*g) for g in (JS, PY, JAVA, GO))
 
@@ -274,7 +249,7 @@ def extract_entities(files: DataFrame, clipped: bool = False, max_calls: int | N
     header = header_of(lines, F.when(is_js, c("n")).otherwise(start), F.when(is_js, 1).when(is_py, 3).otherwise(4))
     # An inlined struct is computed once per row; filters on what follows are not pushed below it.
     computed = F.struct(
-        start.alias("first"), clip(lines, start, c("end")).alias("body"), F.get(lines, c("n") - 1).alias("first_line"), header.alias("header"),
+        start.alias("first"), clip(lines, start, c("end")).alias("body"), header.alias("header"),
         header_of(lines, start, F.lit(3)).alias("type_header"),
         F.when(c("owner").isNotNull(), header_of(lines, owner_at, F.when(is_js, 2).otherwise(3))).alias("owner_header"),
     )
@@ -328,7 +303,7 @@ def extract_entities(files: DataFrame, clipped: bool = False, max_calls: int | N
     )
     no_calls = (symbol == "class") | (is_js & symbol.isin("interface", "type", "enum")) | (is_py & (symbol == "model")) | (is_java & ~symbol.isin("method")) | (is_go & symbol.isin("class", "interface", "type"))
     own_name = F.when(kind == "route", F.lit("(")).otherwise(c("symbol_name"))
-    calls = F.when(no_calls, F.array().cast("array<string>")).otherwise(call_names(_call_text(own_name, lang, c("body")), max_calls, lang))
+    calls = F.when(no_calls, F.array().cast("array<string>")).otherwise(call_names(_call_text(own_name, lang, c("code")), max_calls, lang))
     last_argument = F.substring_index(F.regexp_extract(F.regexp_replace("body", r"\s+", " "), r",\s*([\w$.]+)\s*,?\s*\)\s*;?\s*$", 1), ".", -1)
     handler = F.when((kind == "route") & (last_argument != "") & ~last_argument.rlike(r"^\d"), last_argument)
     calls = F.when(kind == "route", F.array_remove(calls, c("receiver"))).otherwise(calls)

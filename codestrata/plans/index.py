@@ -8,7 +8,7 @@ from codestrata.functions import constants as C
 from codestrata.functions.paths import is_ignored_folder
 from codestrata.operators import architecture, chunks, extract, resolve, search, stats
 from codestrata.operators.ranking import cut, stable_id, union_all
-from codestrata.sources import files as file_source, store
+from codestrata.sources import files as file_source, versions
 
 from .search import embed_entities
 
@@ -82,8 +82,7 @@ def repository_facts(tables: dict[str, DataFrame], raw: DataFrame) -> dict[str,
 def write_index(tables: dict[str, DataFrame], root: str, indexed: DataFrame | None = None) -> None:
     """Replaces the `indexed` repositories (column repository_id) in the tables under `root`: all that have files, if not given.
 
-    A repository that has no rows in a table any more has none there afterwards either.
+    Readers (`versions.read_tables`) see a repository's new rows in all tables at once. One that has no rows in a table any more
+    has none there afterwards either.
     """
-    indexed = cut((tables["files"] if indexed is None else indexed).select("repository_id").distinct())
-    for name in tables:
-        store.replace_repositories(tables[name], f"{root}/{name}", indexed)
+    versions.write_tables(tables, root, tables["files"] if indexed is None else indexed)

@@ -1,13 +1,15 @@
 """Queries over the catalogue, conversations, and table maintenance."""
 
+from contextlib import suppress
+
 from pyspark.sql import functions as F
 
 from codestrata.operators.ranking import scratch_folder, union_all
 from codestrata.operators.verify import verify_answers, answer_paths, unknown_paths, invalid_citations
-from codestrata.sources import catalog, events, files as file_source, store
+from codestrata.sources import catalog, events, files as file_source, store, versions
 from codestrata.streaming import answers as folding
 
-from . import query
+from . import REGISTRY, query
 from .paths import lit
 from .views import Views, ctes
 from codestrata.functions import constants as C
@@ -111,6 +113,21 @@ def replaced_repositories(v: Views):
     return v.spark.read.parquet(folder).select("repository_id", "path", "language", "line_count")
 
 
+# The same through versions, with a batch of other rows that fails before its pointers are written, and a compaction.
+@query("replaced_versions_s8", REGISTRY["replaced_repositories_s8"].sql)
+def replaced_versions(v: Views):
+    root = scratch_folder(v.spark, "versions")
+    versions.write_tables({"files": v.files}, root, v.files)
+    changed = v.files.where(F.col("repository_id").isin("repo0", "repo1")).withColumn("line_count", F.col("line_count") + 1)
+    broken = changed.withColumn("line_count", F.raise_error(F.lit("failed")).cast("long"))
+    with suppress(Exception):
+        versions.write_tables({"files": changed, "other": broken}, root, changed)
+    indexed = v.spark.createDataFrame([("repo0",), ("repo1",), ("repo2",)], "repository_id string")
+    versions.write_tables({"files": changed}, root, indexed)
+    versions.compact(v.spark, root)
+    return versions.read_table(v.spark, root, "files").select("repository_id", "path", "language", "line_count")
+
+
 # Every document is written as a file, many under names that file readers pass over, and scanned back.
 CORPUS = """select concat('r', cast(doc_id % 7 as string)) as repository_id, text as content, concat(cast(doc_id as string),
  case doc_id % 6 when 0 then '/__init__.py' when 1 then '/_app.tsx' when 2 then '/.env.example' when 3 then '/__tests__/x.ts' when 4 then '/.github/a b.yml' else '/main.py' end) as path
@@ -145,6 +162,17 @@ def cascade_delete(v: Views):
     return out
 
 
+@query("deleted_versions_s9", REGISTRY["cascade_delete_s9"].sql)
+def deleted_versions(v: Views):
+    root = scratch_folder(v.spark, "versions")
+    names = ("code_entities", "relationships", "files", "file_imports")
+    versions.write_tables({name: getattr(v, name) for name in names}, root, v.files)
+    versions.delete_repositories(v.spark.createDataFrame([("repo1",), ("repo2",)], "repository_id string"), root)
+    counted = [df.groupBy("repository_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "repository_id", "n")
+               for name, df in versions.read_tables(v.spark, root).items()]
+    return union_all(*counted)
+
+
 @query("dense_ids_s10", ctes("paths") + " SELECT path, row_number() OVER (ORDER BY repository_id, path) AS id FROM (SELECT repository_id, path FROM paths)")
 def assigned_ids(v: Views):
     from codestrata.operators.ranking import dense_ids

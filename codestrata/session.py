@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
     "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites of every column cost more than the planning
     "spark.sql.unionOutputPartitioning": "false",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codestrata.functions import constants as C
 from codestrata.functions.paths import is_ignored, is_source_language, language_of, module_of
-from codestrata.operators.ranking import place, top_k
+from codestrata.operators.ranking import MOST_PARTITIONS, PARTITION_BYTES, cut, place, top_k, union_all
+
+# Files that a task opens, at most on average.
+FILES_AT_ONCE = 20_000
 
 
 def _folder(root: str) -> tuple[FileSystem, str]:
@@ -19,6 +22,10 @@ def _folder(root: str) -> tuple[FileSystem, str]:
     return LocalFileSystem(), root
 
 
+def _below(base: str, *names: str) -> str:
+    return "/".join(x for x in (base.rstrip("/"), *names) if x)
+
+
 def _children(root: str):
     """Rows of folders (path below the root) → rows of the folders in them."""
 
@@ -27,26 +34,36 @@ def _children(root: str):
         for batch in batches:
             found = []
             for folder in batch.column(0).to_pylist():
-                inside = system.get_file_info(FileSelector(f"{base}/{folder}".rstrip("/")))
-                found += [f"{folder}/{i.base_name}".lstrip("/") for i in inside if i.type == FileType.Directory]
+                inside = system.get_file_info(FileSelector(_below(base, folder)))
+                found += [_below(folder, i.base_name).lstrip("/") for i in inside if i.type == FileType.Directory]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["repository_id"])
 
     return run
 
 
-def _listed(root: str):
-    """Rows of repositories → rows of all their files, whatever their names."""
+ENTRY = "repository_id string, path string, size long"
+
+
+def _entries(root: str, whole: bool):
+    """Rows of folders (repository, path in it) → a row for every file in them, whatever its name, and for every folder, without a
+    size; with `whole`, rows of the files of all folders below instead.  A task holds the entries of one folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _folder(root)
         for batch in batches:
-            for repository in batch.column(0).to_pylist():
-                top = f"{base}/{repository}".rstrip("/")
-                inside = [i for i in system.get_file_info(FileSelector(top, recursive=True)) if i.type == FileType.File]
-                for at in range(0, len(inside), 10_000):
-                    some = inside[at:at + 10_000]
+            for repository, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                waiting = [first]
+                while waiting:
+                    folder = waiting.pop()
+                    inside = system.get_file_info(FileSelector(_below(base, repository, folder)))
+                    folders = [_below(folder, i.base_name).lstrip("/") for i in inside if i.type == FileType.Directory]
+                    files = [(_below(folder, i.base_name).lstrip("/"), i.size) for i in inside if i.type == FileType.File]
+                    if whole:
+                        waiting += folders
+                    else:
+                        files += [(name, None) for name in folders]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([repository] * len(some), pa.string()), pa.array([i.path[len(top):].lstrip("/") for i in some], pa.string()), pa.array([i.size for i in some], pa.int64())],
+                        [pa.array([repository] * len(files), pa.string()), pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64())],
                         ["repository_id", "path", "size"])
 
     return run
@@ -60,34 +77,55 @@ def _opened(root: str):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                where = "/".join(x for x in (base.rstrip("/"), row.column(0)[0].as_py(), row.column(1)[0].as_py()) if x)
-                with system.open_input_stream(where) as file:
+                with system.open_input_stream(_below(base, row.column(0)[0].as_py(), row.column(1)[0].as_py())) as file:
                     text = file.read().decode("utf-8", "replace")
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text], pa.string())], ["repository_id", "path", "size", "content"])
 
     return run
 
 
-def list_corpus(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
+def folders_below(spark: SparkSession, root: str, depth: int, spread: int) -> tuple[DataFrame, DataFrame]:
+    """The files met on the way, and the folders `spread` levels below the repositories: rows (repository_id, path), dealt out."""
+    repositories = spark.createDataFrame([("",)], "repository_id string")
+    for _ in range(depth):
+        repositories = place(repositories.mapInArrow(_children(root), "repository_id string"), "repository_id")
+    folders, files = repositories.select("repository_id", F.lit("").alias("path")), spark.createDataFrame([], ENTRY)
+    for _ in range(spread):
+        entries = cut(folders.mapInArrow(_entries(root, False), ENTRY))
+        files = union_all(files, entries.where(F.col("size").isNotNull()))
+        folders = place(entries.where(F.col("size").isNull()).select("repository_id", "path"), "repository_id", "path")
+    return files, folders
+
+
+def list_corpus(spark: SparkSession, root: str, depth: int = 1, spread: int = 2) -> DataFrame:
     """(repository_id, path, size) of every file under `root`, whose first `depth` directory levels name the repository.
 
-    Folders are listed in tasks, one repository a row. Names that begin with a dot or an underscore count like others.
+    Folders are listed in tasks, one folder a row down to `spread` levels below a repository, so that a large repository is
+    many rows. Names that begin with a dot or an underscore count like others.
     """
-    folders = spark.createDataFrame([("",)], "repository_id string")
-    for _ in range(depth):
-        folders = place(folders.mapInArrow(_children(root), "repository_id string"), "repository_id")
-    return folders.mapInArrow(_listed(root), "repository_id string, path string, size long")
+    files, folders = folders_below(spark, root, depth, spread)
+    return union_all(files, folders.mapInArrow(_entries(root, True), ENTRY))
 
 
-def scan_corpus(spark: SparkSession, root: str, depth: int = 1, max_bytes: int | None = None) -> DataFrame:
-    """Raw files under `root`: (repository_id, path, size, content), `depth` as in `list_corpus`.
+def scan_corpus(spark: SparkSession, root: str, depth: int = 1, max_bytes: int | None = None, where: Column | str | None = None,
+                content: bool = True, spread: int = 2) -> DataFrame:
+    """Raw files under `root`: (repository_id, path, size, content), `depth` and `spread` as in `list_corpus`.
 
-    Files larger than `max_bytes`, if given, are not opened. Bytes that are not UTF-8 become replacement characters.
+    The listing is stored; `where`, a condition on repository_id, path and size, and `max_bytes` are pushed into its scan, and
+    files that don't meet them are not opened; without `content` none is. Files are opened in tasks of PARTITION_BYTES or
+    FILES_AT_ONCE files. Bytes that are not UTF-8 become replacement characters.
     """
-    files = list_corpus(spark, root, depth)
+    files = cut(list_corpus(spark, root, depth, spread))
     if max_bytes is not None:
         files = files.where(F.col("size") <= max_bytes)
-    return place(files, "repository_id", "path").mapInArrow(_opened(root), "repository_id string, path string, size long, content string")
+    if where is not None:
+        files = files.where(where)
+    if not content:
+        return files
+    count, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(configured, min(MOST_PARTITIONS, max(-(-size // PARTITION_BYTES), -(-count // FILES_AT_ONCE))))
+    return files.repartition(tasks, "repository_id", "path").mapInArrow(_opened(root), "repository_id string, path string, size long, content string")
 
 
 def write_corpus(files: DataFrame, root: str) -> int:
