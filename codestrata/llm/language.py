@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Batches, documents, remainder, slices
+from ..operators.ranking import PARTIAL_LIMIT, top_k
+from .common import Batches, documents, kept, remainder, slices
 
 #: n-grams of a profile, longest n-gram, training rows of a language at most.
 PROFILE, LONGEST, SAMPLE_ROWS = 300, 3, 3000
@@ -16,17 +19,15 @@ PIECE = 1 << 20  # characters that are counted at once
 
 
 class Letters:
-    """Which code points are letters; made once a task."""
+    """Which code points are letters, all there are; made once a worker."""
 
     def __init__(self) -> None:
-        self.table = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+        self.table = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of a text, as numbers, and their counts.  Words are bounded by one blank each; no gram spans a blank inside."""
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        letter = np.zeros(len(codes), bool)
-        known = codes < len(self.table)
-        letter[known] = self.table[codes[known]]
+        letter = self.table[codes]
         if not letter.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         codes = np.where(letter, codes, 32)
@@ -84,12 +85,16 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", MODULUS) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n").distinct()
+    # Of a language with many more rows only those of the smallest hashes are ranked, some more than are wanted.
+    known = known.distinct().withColumn("draw", F.xxhash64("doc_id"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    lot = (F.col("draw").cast("double") + 2.0 ** 63) / 2.0 ** 64
+    likely = known.join(sizes, "lang").where(lot * F.col("size") <= F.lit(1.2 * rows + 200)).select("doc_id", "lang", "draw")
+    drawn = top_k(likely, ["lang"], [F.asc("draw"), F.asc("doc_id")], max(rows, PARTIAL_LIMIT), "n").where(F.col("n") <= rows).select("doc_id", "lang")
     texts = documents(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")  # `rows` ids a language
 
     def run(batches: Batches) -> Batches:
-        letters = Letters()
+        letters = kept(("letters",), Letters)
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), object)
             texts = batch.column(0).to_pylist()
@@ -111,7 +116,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
     """doc_id, lang_pred, score of every row; `und` and 0 for texts that are null or have no letter, or without profiles."""
 
     def run(batches: Batches) -> Batches:
-        letters, known = Letters(), Profiles(profiles)
+        letters, known = kept(("letters",), Letters), Profiles(profiles)
         for batch in slices(batches):
             found = []
             for text in batch.column(1).to_pylist():

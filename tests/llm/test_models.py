@@ -123,6 +123,32 @@ def test_out_of_place_distance():
     assert name == "aa" and score == pytest.approx(1 - 303 / 900)
 
 
+def test_letters_beyond_the_first_planes(spark):
+    """Letters of every plane count, and a text of them has a language."""
+    rare = "\U00030010\U00030020 \U00031350\U000313af \U00020000"
+    grams, _ = language.Letters().grams(rare)
+    assert len(grams) > 5
+    docs = spark.createDataFrame([(i, rare if i % 2 else "plain words", "zz" if i % 2 else "aa") for i in range(40)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.learn(docs)).collect()}
+    assert got == {i: "zz" if i % 2 else "aa" for i in range(40)}
+
+
+def test_a_language_with_most_of_the_rows(spark):
+    """Nine rows in ten are of one language: the profile is that of its rows of the smallest hashes, and few rows are ranked."""
+    docs = spark.createDataFrame([(i, f"w{i % 61} x{i % 7}" if i % 10 else f"y{i % 5}", "aa" if i % 10 else "bb") for i in range(6000)], "doc_id long, text string, lang string").repartition(5)
+    profiles = language.learn(docs, rows=300)
+    known = docs.where(language.remainder("doc_id", language.MODULUS) != language.HELD_OUT)
+    for lang in ("aa", "bb"):
+        texts = [r.text for r in known.where(f"lang = '{lang}'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()]
+        assert profiles[lang] == plain_profile_of(texts)
+
+
+def plain_profile_of(texts):
+    grams, counts = zip(*(language.Letters().grams(t) for t in texts), strict=True)
+    unique, where = np.unique(np.concatenate(grams), return_inverse=True)
+    return language.ranked(unique, np.bincount(where, np.concatenate(counts)).astype(np.int64)).tolist()
+
+
 def test_language_awkward(spark, awkward, empty):
     docs = spark.createDataFrame([(i, "the cat and the dog " * 3 if i % 2 else "der hund und die katze " * 3, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
     profiles = language.learn(docs)
