@@ -25,9 +25,9 @@ from .common import Batches, documents, kept, slices
 #: Bytes of words encoded by one query, tokens decoded by one query, texts split at once, words a worker keeps, and bytes up to
 #: which a word takes part in the query.  A word needs as many rounds as merges, and every round reads all its rows, so that work
 #: grows with the square of its length; from about 64 bytes on a heap of its pairs is faster, and words are rarely that long.
-BYTES_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 1 << 18, 400_000, 1200, 500_000, 64
+BYTES_AT_ONCE, TOKENS_AT_ONCE, TEXTS_AT_ONCE, KEPT, LONG = 1 << 18, 400_000, 1200, 250_000, 64
 #: Embedded databases hold one query's rows and a table of the file; they don't spill.
-DUCK = {"threads": 1, "memory_limit": "500MB", "temp_directory": ""}
+DUCK = {"threads": 1, "memory_limit": "300MB", "temp_directory": ""}
 #: White space as Unicode has it.
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts without characters from here on are split by the faster engine, whose classes are spelled out below that.
