@@ -3,7 +3,7 @@
 Anchors travel in packs, all rows in tiles.  Every pack meets every tile in some task, whose product of int64 matrices is
 taken by seven half-sized ones, down to leaves; odd sizes are padded with zeros.  Additions are exact (modulo 2^64, as are the
 products, so intermediate sums may pass the range).  A first pass keeps every anchor's positives in heaps, a second one the rows
-within every positive's window; heaps of consecutive tiles are merged in the task, those of different tasks by Spark.
+within every positive's window; heaps of a task's tiles are merged there, those of different tasks by Spark.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .topk import _bytes, _matrix, _numbers
 
 #: Side from which on a product is split, anchors of a pack, rows of a tile, full tiles that a task sees together.
 LEAF, PACK, TILE, GROUP = 64, 512, 2048, 8
+#: Heaps that a task holds, each of a few entries; more are handed on and merged with those to come by Spark.
+HEAPS = 50_000
 TILE_COLUMNS = "tile long, ids binary, labels binary, matrix binary, width int"
 
 
@@ -145,10 +147,13 @@ def _met(packs: DataFrame, tiles: DataFrame, run, schema: str) -> DataFrame:
 
 
 def _heaped(k: int, leaf: int, offers, names: list[str]):
-    """Runs over (pack, tile) rows, heaps of a pack merged over its consecutive tiles.  offers(row, pack, tile, scores) → (key, scores, ids)."""
+    """Runs over (pack, tile) rows in any order; heaps are merged over all tiles of a task, HEAPS of them at a time.
+
+    offers(row, pack, tile, scores) → (key, scores, ids).
+    """
 
     def run(batches: Batches) -> Batches:
-        now, pack, heaps = None, None, {}
+        packs, heaps = {}, {}
 
         def emit() -> pa.RecordBatch:
             rows = [(*key, score, -other) for key, heap in heaps.items() for score, other in heap.kept]
@@ -157,14 +162,15 @@ def _heaped(k: int, leaf: int, offers, names: list[str]):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = _row(batch, i)
-                if r["q_tile"] != now:
-                    if heaps:
-                        yield emit()
-                    now, pack, heaps = r["q_tile"], _unpacked(r, "q_"), {}
-                tile = _unpacked(r, "")
+                if r["q_tile"] not in packs:
+                    packs = {r["q_tile"]: _unpacked(r, "q_"), **(packs if len(packs) < GROUP else {})}
+                pack, tile = packs[r["q_tile"]], _unpacked(r, "")
                 for key, scores, ids in offers(r, pack, tile, _products(pack[2], tile[2], leaf)):
                     if len(scores):
                         heaps.setdefault(key, Heap(k)).offer(scores, ids)
+                if len(heaps) > HEAPS:
+                    yield emit()
+                    heaps = {}
         if heaps:
             yield emit()
 

@@ -72,6 +72,13 @@ def test_hard_negatives_over_many_tiles(spark):
         assert mined(spark, rows, anchors, tile=tile, leaf=leaf) == expected
 
 
+def test_heaps_that_are_handed_on_early(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), [rng.randrange(-4, 5) for _ in range(5)]) for i in range(200)]
+    monkeypatch.setattr(hard_negatives, "HEAPS", 3)
+    assert mined(spark, rows, rows[::10], tile=16) == plain(rows, rows[::10])
+
+
 def test_repeated_rows_lengths_and_empty_tables(spark):
     rows = [(1, 0, [2, 2]), (1, 0, [2, 2]), (2, 0, [2, 2, 9]), (2, 0, [2, 2, 9]), (3, 1, [1, 1]), (3, 1, [1, 1]), (4, 1, []), (5, 2, [-5, 0])]
     for anchors in (rows, rows[:2], rows[6:]):
