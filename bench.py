@@ -12,6 +12,7 @@ HEADLINE = (
     "impact_summary_a8_u2", "call_edges_e7_e8", "import_edges_e6", "vector_neighbours_t1", "document_search_t2", "symbol_matches_j9",
     "hybrid_search_c2_w2", "evidence_sources_c3", "file_chunks_g1_g2_g3", "uncovered_lines_g5", "verified_answers_c5",
     "definitions_x1_to_x6_x9_to_x12_x14", "import_specifiers_x7", "index_corpus_c1", "postings_t2", "related_entities_a13",
+    "stemmed_search_t2", "pruned_search_t2", "symbols_by_needle_p20_t3", "module_entities_g5",
 )
 
 
