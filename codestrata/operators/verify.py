@@ -20,9 +20,11 @@ def answer_paths(text: Column, limit: int | None = None) -> Column:
 def unknown_paths(asked: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of asked(repository_id, path, …) whose path is neither a known path nor the tail of one.
 
-    Known paths are spread to their tails once, so that the test is an equi anti-join.
+    Known paths with a file name that is asked for are spread to their tails once, so that the test is an equi anti-join.
     """
-    tails = files.select("repository_id", F.explode(suffixes(F.col("path"))).alias("path"))
+    name = F.substring_index("path", "/", -1).alias("_name")
+    named = files.select("repository_id", "path", name).join(asked.select("repository_id", name).distinct(), ["repository_id", "_name"], "left_semi")
+    tails = named.select("repository_id", F.explode(suffixes(F.col("path"))).alias("path"))
     return asked.join(tails, ["repository_id", "path"], "left_anti")
 
 
