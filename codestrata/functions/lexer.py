@@ -23,14 +23,16 @@ TEXTS = {
     "Go": re.compile(rf"{_NOTES}|`[^`]*(?:`|\Z)|{_DOUBLE}|{_SINGLE}", re.S),
 }
 SCRIPT_TOKEN = re.compile(
-    rf"(?P<note>{_NOTES})|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<template>`)|(?P<open>\{{)|(?P<close>\}})"
-    r"|(?P<slash>/)|(?P<word>[A-Za-z_$][\w$]*|\d[\w.]*)|(?P<space>\s+)|(?P<other>.)", re.S)
+    rf"(?P<plain>[^'\"`{{}}/]+)|(?P<note>{_NOTES})|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<template>`)|(?P<open>\{{)|(?P<close>\}})"
+    r"|(?P<slash>/)|(?P<other>.)", re.S)
+LAST_WORD = re.compile(r"[A-Za-z_$][\w$]*\Z")
 TEMPLATE_TEXT = re.compile(r"(?:\\.|\$(?!\{)|[^\\`$])*", re.S)
 REGEX = re.compile(r"/(?![*/>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 #: Words behind which an operand is expected, so that a slash begins a regular expression and a quote a string.
 BEFORE_OPERAND = frozenset("return typeof case in of instanceof new delete void throw do else yield await default from import export".split())
 
 _BRACED = r"[A-Za-z_$#][\w$]*\s*(?:<[^<>]*>)?\s*\([^()]*\)\s*(?::[^={;]+)?\{"
+INSIDE = re.compile(r"[{};]\s*[\w@$#<]")
 #: What a definition begins with, for the part of a line behind a brace or a semicolon.
 STARTS = {
     "script": re.compile(
@@ -115,12 +117,14 @@ def _script(text: str) -> tuple[str, list[tuple[int, int]]]:
         elif kind == "slash" and not operand and (not at or text[at - 1] != "<") and (regex := REGEX.match(text, at)):
             out.append("/" + " " * (len(regex.group()) - 2) + "/")
             end, operand = regex.end(), True
+        elif kind == "plain":
+            out.append(whole)
+            if seen := whole.rstrip():
+                word = LAST_WORD.search(seen[-12:])  # no word of BEFORE_OPERAND is longer
+                operand = word.group() not in BEFORE_OPERAND if word else seen[-1].isalnum() or seen[-1] in "_$)]"
         else:
             out.append(whole)
-            if kind == "word":
-                operand = whole not in BEFORE_OPERAND
-            elif kind != "space":
-                operand = whole in ")]"
+            operand = False
         at = end
     return "".join(out), long
 
@@ -133,7 +137,7 @@ def code_of(text: str, language: str) -> tuple[str, list[tuple[int, int]]]:
 def _cuts(code: str, starts: re.Pattern | None) -> list[int]:
     """Places in a line behind a brace or a semicolon, outside parentheses, where a definition begins."""
     cuts, depth = [], 0
-    if starts is None or not ("{" in code or ";" in code or "}" in code):
+    if starts is None or not INSIDE.search(code):
         return cuts
     for i, letter in enumerate(code[:-1]):
         if letter in "([":
