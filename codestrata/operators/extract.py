@@ -85,7 +85,8 @@ def scanned_lines(files: DataFrame) -> DataFrame:
     order = Window.partitionBy(*FILE).orderBy("n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     is_py, c = F.col("language").isin(*PY), F.col
-    lines = files.select(*FILE, "language", F.posexplode("pieces").alias("i", "piece")).select(
+    # A plain explode would make the optimizer look at the number of pieces first, and scan every file once more for it.
+    lines = files.select(*FILE, "language", F.posexplode_outer("pieces").alias("i", "piece")).select(
         *FILE, "language", (c("i") + 1).alias("n"), F.regexp_replace("piece.line", r"\s+$", "").alias("line"), "piece.code", "piece.in_text")
     delta = _count(c("code"), r"[({\[]") - _count(c("code"), r"[)}\]]")
     depth = F.coalesce(F.sum(delta).over(before), F.lit(0))
