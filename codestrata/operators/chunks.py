@@ -119,7 +119,7 @@ def with_uncovered(files: DataFrame, entities: DataFrame) -> DataFrame:
 
     A file's ranges meet it as one row; its lines are cut where they lie and never move on their own.
     """
-    met = files.join(covered_ranges(entities), FILE, "left")
+    met = files.join(covered_ranges(entities).hint("merge"), FILE, "left")  # texts, whatever size is expected of them
     lined = met.select("*", F.inline(F.array(F.struct(lines_of(F.col("content")).alias("lines")))))
     free = lined.select("*", F.inline(F.array(F.struct(gaps(F.col("ranges"), F.size("lines")).alias("free")))))
     row = lambda line, n: F.struct(n.alias("n"), line.alias("line"))

@@ -230,10 +230,10 @@ def extract_entities(files: DataFrame, clipped: bool = False, max_calls: int | N
     placed = place(files.where(F.col("language").isin(*PARSED)).select(*FILE, "language", "content"), *FILE).withColumn(
         "pieces", file_pieces(F.col("content"), F.col("language")))
     found = definition_ranges(scanned_lines(placed))
-    # A file's definitions meet its text once; both sides are placed by file already.
+    # A file's definitions meet its text once; both sides are placed by file already, and neither is to be broadcast.
     listed = found.groupBy(*FILE).agg(F.collect_list(F.struct("n", "start", "end", "kind", "place", "name", "receiver", "called", "owner",
                                                              "owner_n", "owner_start")).alias("defs"))
-    rows = placed.join(listed, FILE).select(*FILE, "language", "content", "pieces", lines_of(F.col("content")).alias("lines"),
+    rows = placed.join(listed.hint("merge"), FILE).select(*FILE, "language", "content", "pieces", lines_of(F.col("content")).alias("lines"),
                                             F.explode("defs").alias("d")).select(*FILE, "language", "content", "pieces", "lines", "d.*")
     c = F.col
     # Definitions are ranges of pieces; from here on they are ranges of lines, but for the code, which is that of the pieces.

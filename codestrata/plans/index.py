@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from codestrata.functions import constants as C
 from codestrata.functions.paths import is_ignored_folder
 from codestrata.operators import architecture, chunks, extract, resolve, search, stats
-from codestrata.operators.ranking import cut, stable_id, union_all
+from codestrata.operators.ranking import broadcasts_by_measure, cut, stable_id, union_all
 from codestrata.sources import files as file_source, versions
 
 from .search import embed_entities
@@ -40,6 +40,7 @@ def index_corpus(raw: DataFrame, embed_batch=None, max_files: int | None = None,
 
     Entities and specifiers are stored once at the checkpoint folder, since every later table starts from them.
     """
+    broadcasts_by_measure(raw.sparkSession)
     found = file_source.discover(raw, max_files=max_files)
     texts = found.select("repository_id", "path", "language", "module", "size", "content")
     files = file_source.file_table(texts)
