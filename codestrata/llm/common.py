@@ -74,6 +74,12 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
+def known_labels(labels: DataFrame, label: str, modulus: int, held_out: int) -> DataFrame:
+    """doc_id and label of all labels of 0 or 1 whose id has another remainder than `held_out`; the largest of an id's."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+            .where((F.col("label").isin(0, 1)) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
+            .groupBy("doc_id").agg(F.max("label").alias("label")))
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,9 +88,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     Drawn evenly by a hash of the id, so only the ids of about `rows` rows are ever sorted, and only texts of the drawn
     documents leave the scan.  Repeated labels of a document count once, by the largest.
     """
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-             .where((F.col("label").isin(0, 1)) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
-             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    known = known_labels(labels, label, modulus, held_out)
     share = min(1.0, 1.1 * rows / max(1, labels.count()))
     drawn = (known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))

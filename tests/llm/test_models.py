@@ -90,6 +90,32 @@ def test_quality_awkward(spark, awkward, empty):
     assert quality.quality_scores(empty, model).count() == 0
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """More labelled rows than one table of the driver is to hold: all of them are features, and buckets of pairs hold them all."""
+    ids = spark.range(28_000).select(F.col("id").alias("doc_id"))
+    labels = ids.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    docs = ids.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("one plain line about number "), F.col("doc_id").cast("string")))
+                      .otherwise(F.concat(F.lit("## $$ ** ## $$ "), F.col("doc_id").cast("string"))).alias("text"))
+    rows = quality.labelled_features(docs, labels)
+    assert rows.count() == labels.where(remainder("doc_id", 4) != 2).count() > 20_000
+    monkeypatch.setattr(quality, "RANKED", 100)
+    scores = quality.quality_scores(docs, quality.train(rows)).join(labels, "doc_id")
+    assert scores.where((F.col("score") >= 0.7).cast("int") != F.col("quality")).count() == 0
+
+
+def test_partners_leave_no_row_out():
+    few, many = np.eye(8)[:3], np.arange(800.0).reshape(100, 8)
+    pairs = quality._partners(few, many, 0)
+    assert len(pairs) >= 100 and {tuple(m) for m in many} == {tuple(f - p) for f in few for p in pairs} & {tuple(m) for m in many}
+
+
+def test_values_of_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RANKED", 10)
+    values = [float(x) for x in np.random.default_rng(3).normal(size=600)] + [0.25] * 50
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [quality.nth(df, i) for i in (0, 7, 320, 649)] == [sorted(values)[i] for i in (0, 7, 320, 649)]
+
+
 def test_pairs_are_ordered():
     """The fit prefers the first of every pair it can."""
     draw = np.random.default_rng(1)
