@@ -328,18 +328,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the set of shingles as one hash, their sketch and anchors; texts without words have none."""
+    """doc_id, the set of shingles as one hash, their sketch and anchors, the fingerprint; texts without words have none."""
 
     def run(batches: Batches) -> Batches:
         for batch in slices(batches):
-            found = [signature(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [signature(t) for t in texts]
             use = [i for i, f in enumerate(found) if f]
             numbers = np.array([[found[i][0], *found[i][2]] for i in use], np.uint64).reshape(len(use), BANDS + 1).view(np.int64)
             anchors_of = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BANDS), pa.array(numbers[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use, pa.int64())), pa.array(numbers[:, 0]), pa.array([found[i][1] for i in use], pa.binary()), anchors_of],
-                                             ["doc_id", "node", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use, pa.int64())), pa.array(numbers[:, 0]), pa.array([found[i][1] for i in use], pa.binary()), anchors_of,
+                                              pa.array(np.array([fingerprint(texts[i]) for i in use], np.uint64).view(np.int64))],
+                                             ["doc_id", "node", "sketch", "bands", "fp"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, sketch binary, bands array<long>")
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, sketch binary, bands array<long>, fp long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -482,15 +484,20 @@ def family_links(members: DataFrame, sets: DataFrame, similarity: float = SIMILA
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block: int | None = None, cell: int = CELL, weight: int = CELL_SHINGLES) -> DataFrame:
-    """Links (a, b) of at least `similarity` that connect what all such links connect.  `nodes`: low, sketch, bands; `docs`: doc_id, text.
+    """Links (a, b) of at least `similarity` that connect what all such links connect.  `nodes`: low, sketch, bands, fp if known; `docs`: doc_id, text.
 
-    First every anchor gives a spanning forest of the links its sketches propose; what hangs together by them is a family.
+    First fingerprints within BITS bits propose links, and every anchor gives a spanning forest of those its sketches propose,
+    for copies too far apart for fingerprints; what hangs together by either is a family.
     Then the shingles of a family's members are compared with each other, whoever proposed them.
     """
     share = (1 - similarity) / 2  # of their bits, two sketches differ in this on average
     bits = int(SKETCH * share + DEVIATIONS * (SKETCH * share * (1 - share)) ** 0.5)
     placed = nodes.select(F.explode("bands").alias("anchor"), F.col("low").alias("node"), F.col("sketch").alias("check"), F.lit(True).alias("home"))
-    proposed = stored(_met(dealt(placed, placed, block), bits).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash")
+    met = _met(dealt(placed, placed, block), bits).where("a <> b")
+    if "fp" in nodes.columns:
+        signs = nodes.select(F.col("low").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("check"), F.col("fp").alias("sign"))
+        met = union_all(links(signs, BITS, block), met)
+    proposed = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash")
     members = stored(_rooted(proposed).withColumnRenamed("root", "family"), "simhash")
     sets = stored(shingle_sets(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")).withColumnRenamed("doc_id", "node")
                   .dropDuplicates(["node"]), "simhash")
@@ -505,8 +512,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts that met another; the ids to drop meet the texts in an anti-join that Spark may split.
     """
     rows = stored(signatures(docs, id_col, text_col).where("doc_id is not null"), "simhash")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "simhash")
-    linked = components(similar_links(nodes.select("low", "sketch", "bands"), documents(docs, id_col, text_col), similarity))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
+                                             F.min_by("fp", "doc_id").alias("fp")), "simhash")
+    linked = components(similar_links(nodes.select("low", "sketch", "bands", "fp"), documents(docs, id_col, text_col), similarity))
     lows = nodes.select("node", "low").join(linked.select(F.col("node").alias("low"), "root"), "low", "left").select("node", F.coalesce("root", "low").alias("keep"))
     # stored, so that the join deals both sides anew and can split a hot signature
     dropped = rows.select("doc_id", "node").join(stored(lows, "simhash"), "node").where("doc_id <> keep").select(F.col("doc_id").alias("__drop")).distinct()

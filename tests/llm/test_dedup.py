@@ -266,6 +266,18 @@ def test_a_family_below_the_similarity_stays_linear(spark, family):
     assert len(found) <= 2 * 5
 
 
+def test_fingerprints_propose_links(spark):
+    """Copies that share no anchor meet by their fingerprints; what fingerprints propose is compared like the rest."""
+    draw = random.Random(5)
+    base = [f"word{draw.randrange(4000)}" for _ in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(f"other{draw.randrange(4000)}" for _ in range(400)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = simhash.signatures(docs).selectExpr("doc_id as low", "sketch", "array(doc_id) as bands", "fp")
+    assert [(r.a, r.b) for r in simhash.similar_links(nodes, docs).collect()] in ([(1, 2)], [(2, 1)])
+    same = nodes.selectExpr("low", "sketch", "bands", "7L as fp")
+    assert simhash.components(simhash.similar_links(same, docs)).where("node = 3 or root = 3").isEmpty()
+
+
 def plain_similar(sets):
     """Roots of the sets by brute force, over counts of common shingles."""
     places = {s: i for i, s in enumerate(set().union(*sets.values()))}
