@@ -30,7 +30,7 @@ def test_texts_of_files_are_not_broadcast(spark, planned_broadcasts):
     assert "Broadcast" not in _plan(chunks.module_entities(files, found))
 
 
-def test_queries_broadcast_by_measured_sizes_only(spark, planned_broadcasts):
-    found = load_all()["neighbours_j1"].run(spark, SMALL)
+def test_an_index_broadcasts_by_measured_sizes_only(spark, planned_broadcasts):
+    found = load_all()["indexed_imports_c1"].run(spark, SMALL)
     assert "Broadcast" not in _plan(found)
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10485760"
