@@ -1,8 +1,11 @@
 """What must hold for larger tables, seen on plans and small inputs."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from codestrata.operators import chunks, extract
+from codestrata.operators import chunks, extract, search
+from codestrata.plans import search as plan
 from codestrata.queries import load_all
 from codestrata.queries.views import Views
 
@@ -34,3 +37,33 @@ def test_an_index_broadcasts_by_measured_sizes_only(spark, planned_broadcasts):
     found = load_all()["indexed_imports_c1"].run(spark, SMALL)
     assert "Broadcast" not in _plan(found)
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10485760"
+
+
+def test_vectors_are_cut_into_few_blocks(spark):
+    """A row goes to every block of the other side, so the number of blocks must not grow with the rows."""
+    rows = spark.range(40_000).select(F.lit("r").alias("repository_id"), F.col("id").alias("question_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    assert search.questions_in_blocks(rows).agg(F.max("qbs")).first()[0] <= search.QUESTION_BLOCKS
+    wide = rows.limit(2000).withColumn("embedding", F.array_repeat(F.lit(1.0), 200_000))  # 1.6 GB: more than few blocks hold
+    assert search.questions_in_blocks(wide).agg(F.max("qbs")).first()[0] * search.BLOCK_BYTES >= 2000 * 200_000 * 4 * 0.9
+
+
+def test_equal_questions_are_searched_once(spark):
+    asked = spark.createDataFrame([("r", i, f"what calls f{i % 3}?", None if i % 2 else "f") for i in range(60)] + [("s", 60, "what calls f0?", None)],
+                                  "repository_id string, question_id long, text string, focus_name string")
+    once, members = plan.asked_once(asked)
+    assert sorted(r.question_id for r in once.collect()) == [0, 1, 2, 3, 4, 5, 60]
+    hits = once.select("repository_id", "question_id", F.upper("text").alias("hit"), "focus_name")
+    got = {(r.question_id, r.repository_id, r.hit, r.focus_name) for r in plan.given_to_all(hits, members).collect()}
+    assert got == {(r.question_id, r.repository_id, r.text.upper(), r.focus_name) for r in asked.collect()}
+
+
+def test_best_rows_over_many_parts():
+    rng = np.random.default_rng(4)
+    similar, ids = np.round(rng.random((7, 300)), 1), rng.permutation(300)  # many ties
+    best = search.BestRows(7, 9)
+    for at in range(0, 300, 23):
+        of = np.arange(7) if at % 2 else np.array([5, 0, 1, 2, 3, 4, 6])
+        best.add(of, similar[of, at:at + 23], ids[at:at + 23])
+    for q in range(7):
+        order = np.lexsort((ids, -similar[q]))[:9]
+        assert best.ids[q].tolist() == ids[order].tolist() and best.scores[q].tolist() == similar[q][order].tolist()
