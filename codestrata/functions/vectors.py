@@ -13,6 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import constants as C
 
 EmbedBatch = Callable[[list[str]], np.ndarray]
+# Bytes of a batch of texts that goes to a worker, which holds it several times and a matrix of its rows.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's limit of a batch at BATCH_BYTES: rows of whole files would be 64 MB a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -36,7 +44,7 @@ def cosine(left: Column, right: Column) -> Column:
 def hashed_terms(dimensions: int = C.EMBEDDING_DIMENSIONS) -> EmbedBatch:
     """Batch function: signed feature hashing of the lower-case words of each text. Deterministic, no model needed."""
 
-    known: dict[str, tuple[int, float]] = {}  # places of words this task has met
+    known: dict[str, tuple[int, float]] = {}  # places of words this task has met, some 25 MB at most
 
     def place(word: str) -> tuple[int, float]:
         digest = hashlib.md5(word.encode()).hexdigest()
@@ -48,7 +56,7 @@ def hashed_terms(dimensions: int = C.EMBEDDING_DIMENSIONS) -> EmbedBatch:
             for word in re.findall(r"[a-z0-9]+", text.lower()):
                 at = known.get(word)
                 if at is None:
-                    if len(known) >= 500_000:
+                    if len(known) >= 100_000:
                         known.clear()
                     at = known[word] = place(word)
                 rows.append(row)
@@ -80,7 +88,7 @@ def embed(df: DataFrame, text_col: str, embed_batch: EmbedBatch | None = None, o
                 rows.extend((matrix / np.where(length == 0, 1.0, length)).astype("float32"))
             yield pd.Series(rows, index=texts.index)
 
-    return df.withColumn(out_col, run(F.col(text_col)))
+    return bounded_batches(df).withColumn(out_col, run(F.col(text_col)))
 
 
 def embed_questions(df: DataFrame, text_col: str, embed_batch: EmbedBatch | None = None, out_col: str = "embedding",

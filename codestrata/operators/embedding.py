@@ -9,7 +9,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from codestrata.functions.vectors import EmbedBatch
+from codestrata.functions.vectors import EmbedBatch, bounded_batches
 
 from .ranking import cut, union_all
 
@@ -36,7 +36,7 @@ def embed_once(df: DataFrame, text_col: str, load: Callable[[], EmbedBatch], kno
         return predict
 
     model = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    hashed = df.withColumn("text_hash", text_hash(F.col(text_col), prefix))
+    hashed = bounded_batches(df).withColumn("text_hash", text_hash(F.col(text_col), prefix))
     texts = hashed.groupBy("text_hash").agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     if known is None:
         made = cut(texts.select("text_hash", model("text").alias("embedding")))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata.functions import vectors
 from codestrata.operators import chunks, extract, impact, reach, search
 from codestrata.plans import search as plan
 from codestrata.queries import load_all
@@ -82,3 +83,12 @@ def test_owners_of_one_name_share_their_members(spark):
     assert (brought.count(), members.count()) == (40, 30)
     rows = lambda df: sorted(tuple(r[c] for c in ("target_id", "high", "medium", "low", "importing_files", "files")) for r in df.collect())
     assert rows(reach.impact_counts(entities, entities, edges, imports)) == rows(impact.impact_summary(entities, entities, edges, imports, frontier_cap=10_000))
+
+
+def test_embedding_bounds_its_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    vectors.embed(spark.createDataFrame([("a",)], "t string"), "t")
+    assert int(spark.conf.get(name)) == vectors.BATCH_BYTES
+    spark.conf.set(name, before)
