@@ -85,6 +85,29 @@ def test_owners_of_one_name_share_their_members(spark):
     assert rows(reach.impact_counts(entities, entities, edges, imports)) == rows(impact.impact_summary(entities, entities, edges, imports, frontier_cap=10_000))
 
 
+def test_capped_rounds_are_walked_once(spark):
+    """Rounds with a cap start from stored rows: one walk is left in the plan, and its rows are those of a plain search."""
+    kinds = ("calls", "handles")
+    edges = sorted({(s, t, kinds[(s + t) % 2]) for s in range(60) for t in ((s * 7 + 3) % 60, (s * 11 + 41) % 20, s % 5) if s != t})
+    entities = spark.createDataFrame([("r", i, f"f{i}", "class" if i == 9 else "method", "a.ts", "f9" if i in (7, 30) else None) for i in range(60)],
+                                     "repository_id string, id long, symbol_name string, symbol_type string, file_path string, parent string")
+    rows = spark.createDataFrame([("r", *e) for e in edges], "repository_id string, source_entity_id long, target_entity_id long, relationship_type string")
+    found = impact.change_impact(entities, entities, rows, frontier_cap=2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    expected = set()
+    for target in range(60):
+        seen = frontier = {target, 7, 30} if target == 9 else {target}
+        for depth in (1, 2, 3):
+            new = {}
+            for s, t, kind in edges:
+                if t in frontier and s not in seen:
+                    new[s] = min(new.get(s, (t, kind)), (t, kind))
+            expected |= {(target, i, depth, *via) for i, via in new.items()}
+            seen, frontier = seen | set(new), set(sorted(new, key=lambda i: (new[i][0], i))[:2])
+    got = [tuple(r[c] for c in ("target_id", "id", "depth", "via", "relationship")) for r in found.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
 def test_embedding_bounds_its_batches(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
