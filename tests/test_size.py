@@ -1,5 +1,7 @@
 """What must hold for larger tables, seen on plans and small inputs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +50,28 @@ def test_vectors_are_cut_into_few_blocks(spark):
     assert search.questions_in_blocks(wide).agg(F.max("qbs")).first()[0] * search.BLOCK_BYTES >= 2000 * 200_000 * 4 * 0.9
 
 
+def test_no_search_shuffles_a_repository_into_one_task(spark):
+    """Sizes of repositories reach the rows without a shuffle by repository, which would put all rows of one into one task."""
+    rows = spark.range(300).select(F.lit("r").alias("repository_id"), F.col("id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    words = rows.select("repository_id", "id", F.concat(F.lit("w"), F.col("id") % 7).alias("term"), F.lit(1.0).alias("weight"))
+    asked = spark.createDataFrame([("r", i, [f"w{i}", "none"]) for i in range(9)], "repository_id string, question_id long, terms array<string>")
+    found = search.term_top_k(asked, words, 3, stem=None)
+    for df in (found, search.vector_top_k(rows.limit(9).withColumnRenamed("id", "question_id"), rows, 3)):
+        assert not re.search(r"hashpartitioning\(repository_id#\d+, \d+\)", _plan(df))
+    assert {(r.question_id, r.id) for r in found.collect()} == {(q, q + 7 * n) for q in range(7) for n in range(3)}
+
+
+def test_tiles_move_the_smaller_table(spark):
+    """Few questions go to many blocks, and the entities, thirty times as many, to few; equal tables are cut alike."""
+    def numbers(questions, entities):
+        rows = lambda n, c: spark.range(n).select(F.lit("r").alias("repository_id"), F.col("id").alias(c))
+        return search.tile_numbers(rows(questions, "question_id"), rows(entities, "id"), F.lit(400)).first()
+    few, alike = numbers(10_000, 300_000), numbers(200_000, 200_000)
+    assert few.qbs <= 2 and few.qbs * few.ebs >= search.TILES
+    assert alike.qbs == alike.ebs and 200_000 * 400 / alike.ebs <= search.BLOCK_BYTES
+    assert numbers(5, 50).qbs == numbers(5, 50).ebs == 1
+
+
 def test_equal_questions_are_searched_once(spark):
     asked = spark.createDataFrame([("r", i, f"what calls f{i % 3}?", None if i % 2 else "f") for i in range(60)] + [("s", 60, "what calls f0?", None)],
                                   "repository_id string, question_id long, text string, focus_name string")
