@@ -8,6 +8,8 @@ from codestrata.functions import constants as C
 from codestrata.functions.paths import suffixes
 from codestrata.functions.text import code_reference
 
+from .ranking import spread
+
 ANSWER = ["repository_id", "question_id"]
 
 
@@ -52,11 +54,17 @@ def match_references(references: DataFrame, sources: DataFrame) -> DataFrame:
     """references(question_id, text) to the first source of the question with that path or path tail.
 
     sources(question_id, n, file, start_line, end_line) → (question_id, text, n, file, start_line, end_line).
+
+    Sources are counted and spread before their tails are made, so that no task holds those of a whole file of a table, and no tails
+    are sent to all tasks.
     """
+    rows = sources.count()
+    references, sources = (spread(df, "question_id", rows=rows) for df in (references, sources))
     parsed = references.select("question_id", "text", F.inline(F.array(F.struct(code_reference(F.col("text")).alias("r"))))).where(F.col("r").isNotNull())
     parsed = parsed.withColumn("tail", F.col("r.path"))
     tails = sources.select("question_id", "n", "file", "start_line", "end_line", F.explode(suffixes(F.col("file"))).alias("tail"))
-    joined = parsed.join(tails, ["question_id", "tail"]).select(
+    key = ["question_id", "tail"]
+    joined = spread(parsed, *key, rows=rows).join(spread(tails, *key, rows=rows).hint("merge"), key).select(
         "question_id", "text", "n", "file",
         F.coalesce("r.start_line", "start_line").alias("start_line"),
         F.coalesce("r.end_line", "r.start_line", "end_line").alias("end_line"),

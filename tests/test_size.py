@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.functions import vectors
-from codestrata.operators import chunks, evidence, extract, impact, reach, search
+from codestrata.operators import chunks, evidence, extract, impact, ranking, reach, search, verify
 from codestrata.plans import search as plan
 from codestrata.queries import load_all
 from codestrata.queries.views import Views
@@ -154,3 +154,14 @@ def test_embedding_bounds_its_batches(spark):
     vectors.embed(spark.createDataFrame([("a",)], "t string"), "t")
     assert int(spark.conf.get(name)) == vectors.BATCH_BYTES
     spark.conf.set(name, before)
+
+
+def test_tails_of_sources_are_spread_and_not_broadcast(spark, planned_broadcasts, monkeypatch):
+    monkeypatch.setattr(ranking, "SPREAD_ROWS", 10, raising=False)
+    asked = spark.range(100).select(F.col("id").alias("question_id"), F.concat(F.lit("b/f"), F.col("id"), F.lit(".py:7")).alias("text"))
+    sources = spark.range(100).select(F.col("id").alias("question_id"), F.lit(1).alias("n"), F.concat(F.lit("a/b/f"), F.col("id"), F.lit(".py")).alias("file"),
+                                      F.lit(3).alias("start_line"), F.lit(9).alias("end_line"))
+    found = verify.match_references(asked, sources)
+    assert "Broadcast" not in _plan(found)
+    assert re.search(r"hashpartitioning\(question_id#\d+L?, 10\)", _plan(found))
+    assert {(r.question_id, r.file, r.start_line, r.end_line) for r in found.collect()} == {(i, f"a/b/f{i}.py", 7, 7) for i in range(100)}
