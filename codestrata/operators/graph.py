@@ -4,32 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .ranking import union_all
+from .ranking import fan_join, spread, union_all
 
 EDGE = ["repository_id", "source_entity_id", "target_entity_id", "relationship_type"]
 
 
-def neighbour_edges(anchors: DataFrame, relationships: DataFrame, set_col: str = "set_id") -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], rows: int | None, how: str = "inner") -> DataFrame:
+    """A join, for many `rows` in partitions of bounded rows: else few tasks sort them all, since they are few bytes when shuffled."""
+    if rows is None:
+        return left.join(right, keys, how)
+    return spread(left, *keys, rows=rows).join(spread(right, *keys, rows=rows).hint("merge"), keys, how)
+
+
+def neighbour_edges(anchors: DataFrame, relationships: DataFrame, set_col: str = "set_id", rows: int | None = None) -> DataFrame:
     """Edges that touch a set of entities: (set, repository_id, anchor, id, relationship_type, direction).
 
-    An edge with both ends in one set appears once, outgoing. Two equi-joins take the place of an OR join.
+    An edge with both ends in one set appears once, outgoing. Two equi-joins take the place of an OR join. `rows` is the number of
+    edges, where most of them are wanted.
     """
     anchors = anchors.select(set_col, "repository_id", F.col("id").alias("anchor")).distinct()
-    outgoing = relationships.withColumnRenamed("source_entity_id", "anchor").join(anchors, ["repository_id", "anchor"]).select(
+    key = ["repository_id", "anchor"]
+    outgoing = _meet(relationships.withColumnRenamed("source_entity_id", "anchor"), anchors, key, rows).select(
         set_col, "repository_id", "anchor", F.col("target_entity_id").alias("id"), "relationship_type",
         F.lit("out").alias("direction"),
     )
-    incoming = relationships.withColumnRenamed("target_entity_id", "anchor").join(anchors, ["repository_id", "anchor"]).select(
+    incoming = _meet(relationships.withColumnRenamed("target_entity_id", "anchor"), anchors, key, rows).select(
         set_col, "repository_id", "anchor", F.col("source_entity_id").alias("id"), "relationship_type",
         F.lit("in").alias("direction"),
     )
     inside = anchors.select(set_col, "repository_id", F.col("anchor").alias("id"))
-    return union_all(outgoing, incoming.join(inside, [set_col, "repository_id", "id"], "left_anti"))
+    return union_all(outgoing, _meet(incoming, inside, [set_col, "repository_id", "id"], rows, "left_anti"))
 
 
-def with_entities(rows: DataFrame, entities: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds entity columns by id; only the wanted columns take part in the join."""
-    return rows.join(entities.select("repository_id", "id", *columns), ["repository_id", "id"])
+def with_entities(rows: DataFrame, entities: DataFrame, columns: list[str], expected: int | None = None) -> DataFrame:
+    """Adds entity columns by id; only the wanted columns take part in the join. `expected` is the number of `rows`, where they are many."""
+    return _meet(rows, entities.select("repository_id", "id", *columns), ["repository_id", "id"], expected)
 
 
 def in_degrees(relationships: DataFrame) -> DataFrame:
@@ -47,13 +56,15 @@ def dependency_cards(targets: DataFrame, entities: DataFrame, relationships: Dat
     """One row per fact about a target: its callees, callers, external imports, file imports and importing files.
 
     Columns: target_id, repository_id, section, id, name, file_path, relationship_type. Long form keeps a target with
-    very many callers spread over the cluster; nothing is collected per target.
+    very many callers spread over the cluster; nothing is collected per target. Edges and imports are read twice and should be
+    stored. A file's imports are many rows of each of its entities: they are made in tasks of bounded rows.
     """
     from codestrata.functions.text import external_imports
 
     anchors = targets.select(F.col("id").alias("target_id"), "repository_id", "id")
+    edges = relationships.count()
     near = with_entities(
-        neighbour_edges(anchors, relationships, "target_id"), entities, ["symbol_name", "file_path"]
+        neighbour_edges(anchors, relationships, "target_id", edges), entities, ["symbol_name", "file_path"], 2 * edges
     ).select(
         "target_id", "repository_id",
         F.when(F.col("direction") == "out", "depends_on").otherwise("used_by").alias("section"),
@@ -64,7 +75,7 @@ def dependency_cards(targets: DataFrame, entities: DataFrame, relationships: Dat
 
     def file_side(own: str, other: str, section: str) -> DataFrame:
         edges = file_imports.select("repository_id", F.col(own).alias("file_path"), F.col(other).alias("other"))
-        return owners.join(edges, ["repository_id", "file_path"]).select(
+        return fan_join(owners, edges, ["repository_id", "file_path"], "target_id").select(
             "target_id", "repository_id", F.lit(section).alias("section"), none("long").alias("id"),
             none("string").alias("name"), F.col("other").alias("file_path"), none("string").alias("relationship_type"),
         )

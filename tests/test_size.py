@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.functions import vectors
-from codestrata.operators import chunks, evidence, extract, impact, ranking, reach, search, verify
+from codestrata.operators import chunks, evidence, extract, graph, impact, ranking, reach, search, verify
 from codestrata.plans import search as plan
 from codestrata.queries import load_all
 from codestrata.queries.views import Views
@@ -165,3 +165,25 @@ def test_tails_of_sources_are_spread_and_not_broadcast(spark, planned_broadcasts
     assert "Broadcast" not in _plan(found)
     assert re.search(r"hashpartitioning\(question_id#\d+L?, 10\)", _plan(found))
     assert {(r.question_id, r.file, r.start_line, r.end_line) for r in found.collect()} == {(i, f"a/b/f{i}.py", 7, 7) for i in range(100)}
+
+
+def test_edges_meet_their_entities_in_partitions_of_bounded_rows(spark, planned_broadcasts, monkeypatch):
+    monkeypatch.setattr(ranking, "SPREAD_ROWS", 100, raising=False)
+    found = load_all()["neighbours_j1"].run(spark, SMALL)
+    edges = Views(spark, SMALL).relationships.count()
+    assert "Broadcast" not in _plan(found)
+    assert re.search(rf"hashpartitioning\(repository_id#\d+, id#\d+L?, {-(-2 * edges // 100)}\)", _plan(found))
+
+
+def test_imports_of_a_file_with_many_entities_are_many_tasks(spark, monkeypatch):
+    """A row for each entity and import of a file: a few bytes that become very many rows."""
+    monkeypatch.setattr(ranking, "FAN_ROWS", 500, raising=False)
+    one = lambda name: F.concat(F.lit(name), F.col("id") % 1)  # noqa: E731  a constant would be moved out of the join
+    entities = spark.range(300).select("id", one("r").alias("repository_id"), one("a").alias("file_path"), F.lit("n").alias("symbol_name"),
+                                       F.array().cast("array<string>").alias("imports"))
+    imports = spark.range(50).select(one("r").alias("repository_id"), one("a").alias("source_file"), F.concat(F.lit("b"), "id").alias("target_file"))
+    none = spark.createDataFrame([], "repository_id string, source_entity_id long, target_entity_id long, relationship_type string")
+    cards = graph.dependency_cards(entities, entities, none, imports)
+    sizes = [r["count"] for r in cards.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == cards.distinct().count() == 300 * 50
+    assert max(sizes) < 5000
