@@ -187,3 +187,49 @@ def test_imports_of_a_file_with_many_entities_are_many_tasks(spark, monkeypatch)
     sizes = [r["count"] for r in cards.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == cards.distinct().count() == 300 * 50
     assert max(sizes) < 5000
+
+
+def _owners(spark, copies=40):
+    """Copies of a class and of its member in one file; a caller of each member, and callers of these."""
+    kinds = [(i, f"m{i}" if i >= 2 * copies else ("c" if i < copies else "m"), "class" if i < copies else "method", "c" if copies <= i < 2 * copies else None) for i in range(4 * copies)]
+    entities = spark.createDataFrame([(i, "r", "a.py", name, kind, parent) for i, name, kind, parent in kinds],
+                                     "id long, repository_id string, file_path string, symbol_name string, symbol_type string, parent string")
+    calls = [(2 * copies + i, copies + i, "calls") for i in range(copies)] + [(3 * copies + i, 2 * copies + i, "handles") for i in range(copies)]
+    calls += [(3 * copies + i, i, "calls") for i in range(copies)] + [(i, (i + 1) % copies, "calls") for i in range(copies)]
+    calls += [(2 * copies, copies, "handles"), (1, copies + 2, "calls"), (copies + 3, 3, "calls")]
+    edges = spark.createDataFrame([("r", *c) for c in calls], "repository_id string, source_entity_id long, target_entity_id long, relationship_type string")
+    return entities, edges, kinds, calls
+
+
+def _brute_impact(kinds, calls):
+    found = {}
+    for target, name, kind, _ in kinds:
+        seen = frontier = {target} | ({i for i, _, _, parent in kinds if parent == name} if kind == "class" else set())
+        for depth in (1, 2, 3):
+            hits = [(s, (depth, t, how)) for s, t, how in calls if t in frontier and s not in seen]
+            for s, hit in hits:
+                found[target, s] = min(hit, found.get((target, s), hit))
+            frontier = {s for s, _ in hits}
+            seen = seen | frontier
+    return found
+
+
+def _stored(monkeypatch):
+    rows, store = [], impact.cut
+
+    def counted(df):
+        out = store(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(impact, "cut", counted)
+    return rows
+
+
+def test_members_are_walked_once_for_all_owners_of_one_name(spark, monkeypatch):
+    entities, edges, kinds, calls = _owners(spark)
+    rows = _stored(monkeypatch)
+    found = impact.change_impact(entities, entities, edges).collect()
+    assert {(r.target_id, r.id): (r.depth, r.via, r.relationship) for r in found} == _brute_impact(kinds, calls)
+    assert len(found) == len(_brute_impact(kinds, calls)) > 40 * 80
+    assert max(rows) < 40 * 20  # no row for a pair of an owner and a member
