@@ -233,3 +233,23 @@ def test_members_are_walked_once_for_all_owners_of_one_name(spark, monkeypatch):
     assert {(r.target_id, r.id): (r.depth, r.via, r.relationship) for r in found} == _brute_impact(kinds, calls)
     assert len(found) == len(_brute_impact(kinds, calls)) > 40 * 80
     assert max(rows) < 40 * 20  # no row for a pair of an owner and a member
+
+
+@pytest.mark.parametrize("k", [1, 3, 30, 200])
+def test_first_impacts_are_those_of_all_impacts(spark, k):
+    entities, edges, kinds, calls = _owners(spark)
+    found = impact.first_impacts(entities, entities, edges, k).collect()
+    best = {}
+    for (target, i), (depth, via, how) in _brute_impact(kinds, calls).items():
+        best.setdefault(target, []).append((depth, i, via, how))
+    expected = {(t, n, *hit) for t, hits in best.items() for n, hit in enumerate(sorted(hits)[:k], 1)}
+    assert {(r.target_id, r.rank, r.depth, r.id, r.via, r.relationship) for r in found} == expected
+
+
+def test_targets_with_enough_impacts_go_no_further(spark, monkeypatch):
+    edges = spark.createDataFrame([("r", 10 + i, 0, "calls") for i in range(50)] + [("r", 100 + i, 10 + i, "calls") for i in range(50)],
+                                  "repository_id string, source_entity_id long, target_entity_id long, relationship_type string")
+    entities = spark.createDataFrame([(0, "r", "a.py", "n", "function", None)], "id long, repository_id string, file_path string, symbol_name string, symbol_type string, parent string")
+    rows = _stored(monkeypatch)
+    assert impact.first_impacts(entities, entities, edges, 30).count() == 30
+    assert sorted(rows)[-2:] == [50, 100]  # the first round and the edges
