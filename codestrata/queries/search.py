@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import constants as C, vectors
 from codestrata.operators import pruned, search
-from codestrata.operators.ranking import cut
+from codestrata.operators.ranking import broadcasts_by_measure, cut
 from codestrata.plans import search as search_plan
 
 from . import REGISTRY, query
@@ -194,6 +194,7 @@ def hybrid_search(v: Views):
 
 def retrieved(v: Views, questions=None):
     """Hits of every question, over embeddings and postings stored beforehand as an index would."""
+    broadcasts_by_measure(v.spark)
     return search_plan.hybrid_search(
         v.questions if questions is None else questions, v.code_entities, cut(search_plan.embed_entities(v.entity_text)),
         cut(search.postings(v.entity_text, stem=None)), stem=None,

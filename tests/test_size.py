@@ -253,3 +253,28 @@ def test_targets_with_enough_impacts_go_no_further(spark, monkeypatch):
     rows = _stored(monkeypatch)
     assert impact.first_impacts(entities, entities, edges, 30).count() == 30
     assert sorted(rows)[-2:] == [50, 100]  # the first round and the edges
+
+
+def test_neighbours_of_hits_are_lists_and_not_broadcast(spark, planned_broadcasts, monkeypatch):
+    """Neighbours of a question's best hits, against the rows counted by hand; an entity with many of them has several lists."""
+    monkeypatch.setattr(evidence, "NEAR_ROW", 3)
+    kinds = {i: "doc" if i == 9 else "function" for i in range(40)}
+    edges = [(1, i) for i in range(2, 20)] + [(i, 2) for i in range(20, 30)] + [(2, 1), (3, 1), (25, 1), (1, 25)]
+    hits = [(q, i, r, "flow" if q == 2 else "general") for q in (1, 2, 3) for r, i in enumerate((1, 2, 30) if q < 3 else (2,), 1)]
+    left_out = {1: {1, 2, 30}, 2: {4}, 3: set()}
+    entities = spark.createDataFrame([("r", i, k) for i, k in kinds.items()], "repository_id string, id long, symbol_type string")
+    relationships = spark.createDataFrame([("r", a, b, "calls") for a, b in edges], "repository_id string, source_entity_id long, target_entity_id long, relationship_type string")
+    retrieved = spark.createDataFrame([("r", *h) for h in hits], "repository_id string, question_id long, id long, rank int, query_type string")
+    picked = spark.createDataFrame([("r", q, i) for q, ids in left_out.items() for i in ids], "repository_id string, question_id long, id long")
+    found = evidence.related_entities(retrieved, picked, entities, relationships)
+    assert "Broadcast" not in _plan(found)
+    want = set()
+    for q in left_out:
+        ranks = {i: r for a, i, r, _ in hits if a == q}
+        near = [(b, ranks[a], 0, a) for a, b in edges if a in ranks] + [(a, ranks[b], 1, b) for a, b in edges if b in ranks and a not in ranks]
+        near = [x for x in near if x[0] not in left_out[q] and kinds[x[0]] != "doc"]
+        counted = sorted({i: [x[1:] for x in near if x[0] == i] for i, *_ in near}.items(), key=lambda c: (-len(c[1]), c[0]))
+        want |= {(q, i, len(f), "in" if min(f)[1] else "out", min(f)[2], n) for n, (i, f) in enumerate(counted[:8 if q == 2 else 5], 1)}
+    assert {tuple(r) for r in found.select("question_id", "id", "n", "direction", "anchor", "rank").collect()} == want
+    lists = evidence._near_lists(entities, relationships)
+    assert lists.agg(F.max(F.size("near"))).first()[0] == 3
