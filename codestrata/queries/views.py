@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codestrata.operators.ranking import cut
+
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -205,6 +207,12 @@ class Views:
                 self._made[name] = self.spark.sql(text)
         return self._made[name]
 
+    def store(self, *names: str) -> "Views":
+        """Stores tables, as an index would: they, and tables that rest on them, are read from there and not made again."""
+        for name in names:
+            self._made[name] = cut(getattr(self, name))
+        return self
+
     @cached_property
     def targets(self) -> DataFrame:
         """Every entity as an impact target."""

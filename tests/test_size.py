@@ -278,3 +278,19 @@ def test_neighbours_of_hits_are_lists_and_not_broadcast(spark, planned_broadcast
     assert {tuple(r) for r in found.select("question_id", "id", "n", "direction", "anchor", "rank").collect()} == want
     lists = evidence._near_lists(entities, relationships)
     assert lists.agg(F.max(F.size("near"))).first()[0] == 3
+
+
+@pytest.mark.parametrize("gathered", [1 << 20, 5])
+def test_what_reaches_an_entity_is_one_row(spark, monkeypatch, gathered):
+    """Lists of one, two and three steps against walks by hand, gathered whole or, for hubs, made distinct as rows first."""
+    monkeypatch.setattr(reach, "GATHERED", gathered)
+    calls = {(s, t) for s in range(60) for t in ((s * 7 + 3) % 60, (s * 5 + 1) % 60, 0) if s != t}
+    edges = spark.createDataFrame(sorted(calls | {(n, n) for n in range(60)}), "u long, v long")
+    found = {r["v"]: r for r in reach.reached_lists(edges).collect()}
+    assert len(found) == 60
+    callers = lambda ids: set(ids) | {s for s, t in calls if t in ids}
+    for v, row in found.items():
+        ids = {v}
+        for name in reach.STEPS:
+            ids = callers(ids)
+            assert sorted(row[name]) == sorted(ids)
